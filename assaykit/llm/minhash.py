@@ -8,14 +8,13 @@ their resemblance, and those that may reach the limit are confirmed on full sets
 
 Links inside lists are sought without emitting all pairs: each round compares the members of a
 list with one hub, links found contract the graph, and a list whose members are one component is
-done. Values held by more than HEAVY documents make no lists; documents with many of them are
+done; what is left is compared in blocks that give links only. Values held by more than HEAVY documents make no lists; documents with many of them are
 listed again by the rarest values of their full sets (a prefix that any document 75 % alike must
 share), so nothing is lost to common passages or large groups of copies.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,8 +29,8 @@ SKETCH = 24
 #: A pair 75 % alike shares fewer of its SKETCH smallest values with probability below 2e-7.
 SHARED = 6
 HEAVY = 32
-#: Rounds with one hub for each list, before what is left in the lists is paired directly.
-HUB_ROUNDS = 3
+#: Rounds with one hub for each list, before what is left in the lists is compared in blocks of so many members.
+HUB_ROUNDS, BLOCK = 1, 256
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -121,31 +120,74 @@ def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([get("a"), get("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def links(lists: DataFrame, sketches: DataFrame, full: DataFrame) -> DataFrame:
-    """(id, component) of all documents linked, from lists (v, id)."""
+def blocks(lists: DataFrame, full: DataFrame) -> DataFrame:
+    """(a, b) of links between components inside lists (v, id, c), on full sets.
+
+    Of each list, the members outside its largest component meet all members, in blocks of
+    bounded size. A block gives one link for each member and component, not its pairs.
+    """
+    per = lists.groupBy("v", "c").agg(F.count("*").alias("n"))
+    major = per.groupBy("v").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("all"))
+    size = major.select("v", F.col("m.c").alias("major"), F.ceil((F.col("all") - F.col("m.n")) / BLOCK).alias("rows"), F.ceil(F.col("all") / BLOCK).alias("cols"))
+    dealt = lists.join(size, "v").join(full, "id")
+    block = F.xxhash64("id", F.lit(3))
+    left = dealt.where("c <> major").select("v", F.pmod(block, "rows").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"), F.lit(True).alias("left"), "id", "c", "_full")
+    right = dealt.select("v", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(block, "cols").alias("j"), F.lit(False).alias("left"), "id", "c", "_full")
+    return left.unionAll(right).groupBy("v", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+
+
+def meet(table: pa.Table) -> pa.Table:
+    is_left = table["left"].to_numpy()
+    ids, comps = table["id"].to_numpy(), table["c"].to_numpy()
+    column = table["_full"].combine_chunks()
+    values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+    sizes = np.diff(offsets)
+    right = np.flatnonzero(~is_left)
+    owner = np.repeat(right, sizes[right])
+    held = np.concatenate([values[offsets[r] : offsets[r + 1]] for r in right.tolist()]) if len(right) else values[:0]
+    order = np.argsort(held, kind="stable")
+    held, owner = held[order], owner[order]
+    found = set()
+    for i in np.flatnonzero(is_left).tolist():
+        own = values[offsets[i] : offsets[i + 1]]
+        lo, hi = np.searchsorted(held, own), np.searchsorted(held, own, side="right")
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        met = np.bincount(owner[at], minlength=len(ids))
+        linked = np.flatnonzero((LIMIT[1] * met >= LIMIT[0] * (sizes[i] + sizes - met)) & (met > 0) & (comps != comps[i]))
+        for k in np.unique(comps[linked], return_index=True)[1]:
+            a, b = int(ids[i]), int(ids[linked[k]])
+            found.add((max(a, b), min(a, b)))
+    pairs = sorted(found)
+    return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+
+
+def links(wide: DataFrame, lists: DataFrame, sketches: DataFrame, full: DataFrame) -> DataFrame:
+    """(id, component) of all documents linked, from lists (v, id).
+
+    ``wide`` has one list for each document, that of its most common value: its hubs gather large
+    groups of copies before the other lists are read, of which most are then done.
+    """
     spark = lists.sparkSession
     edges = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "id long, component long")
-    for turn in range(HUB_ROUNDS + 1):
-        now = lists.join(labels, "id", "left").select("v", "id", F.coalesce("component", "id").alias("c"))
-        mixed = now.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("id").alias("hub"), F.min(F.struct("id", "c")).alias("h")).where("lo < hi").select("v", "hub", F.col("h.c").alias("hc"))
+    for turn in range(-1, HUB_ROUNDS + 1):
+        now = (wide if turn < 0 else lists).join(labels, "id", "left").select("v", "id", F.coalesce("component", "id").alias("c"))
+        # the hub of a list is a member of its first component
+        mixed = now.groupBy("v").agg(F.max("c").alias("hi"), F.min(F.struct("c", "id")).alias("h")).where("h.c < hi").select("v", F.col("h.id").alias("hub"), F.col("h.c").alias("hc"))
         if turn < HUB_ROUNDS:
-            # compare all with the hub of their list, then take the hub out of it: its pairs are done
+            # compare others with the hub of their list, then take the hub out of it: its pairs are done
             met = now.join(mixed, "v")
-            pairs = met.where("id <> hub and c <> hc").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-            lists = saved(met.where("id <> hub").select("v", "id"), "near-lists")
+            pairs = met.where("c <> hc").select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b"))
+            if turn >= 0:
+                lists = saved(met.where("id <> hub").select("v", "id"), "near-lists")
+            new = saved(alike(pairs.distinct(), sketches, full), "near-links")
         else:
-            rest = now.join(mixed.select("v"), "v")
-            x, y = rest.alias("x"), rest.alias("y")
-            pairs = x.join(y, F.expr("x.v = y.v and x.id > y.id and x.c <> y.c")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        new = saved(alike(pairs.distinct(), sketches, full), "near-links")
-        if new.isEmpty():
-            if turn < HUB_ROUNDS and not lists.isEmpty():
-                continue
-            break
-        edges = edges.unionAll(new)
-        labels = saved(components(edges), "near-labels")
-        if turn < HUB_ROUNDS and lists.isEmpty():
+            new = saved(blocks(now.join(mixed.select("v"), "v"), full), "near-links")
+        if not new.isEmpty():
+            edges = edges.unionAll(new)
+            labels = saved(components(edges), "near-labels")
+        if turn >= 0 and lists.isEmpty():
             break
     return labels
 
@@ -166,12 +208,19 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     sketches = saved(own.join(classes.select("_set", "id", "n"), ["_set", "id"]).dropDuplicates(["_set", "id"]).select("id", "_set", "n", "_sketch"), "near-representatives")
     posted = sketches.select("id", "n", F.explode("_sketch").alias("v"))
     often = posted.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    # documents that share too little with all others to have a link leave here
     shared = saved(posted.join(often, "v").select("v", "id", "n", "df"), "near-shared")
     per = shared.groupBy("id").agg(F.first("n").alias("n"), F.count("*").alias("met"), F.count_if(F.col("df") > HEAVY).alias("heavy"))
     able = saved(per.where(F.col("met") >= least_shared(F.col("n"))).select("id", (F.col("heavy") >= least_shared(F.col("n"))).alias("again")), "near-able")
     ids = bounded(able.select("id"))
     full = saved(map_texts(docs.join(ids, "id", "left_semi"), "_text", "_full array<bigint>", set_maker, keep=["id"]), "near-sets")
-    light = shared.where(F.col("df") <= HEAVY).join(able, "id", "left_semi").select("v", "id")
+    # the rarest value that two documents share is in both their prefixes, if they share as many as they must
+    ours = shared.join(able, "id")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "v"))
+    most = F.count("*").over(Window.partitionBy("id")) - least_shared(F.col("n")) + 1
+    ranked = ours.select("v", "id", "df", (place <= most).alias("in"))
+    light = ranked.where(F.col("in") & (F.col("df") <= HEAVY)).select("v", "id")
+    wide = ours.groupBy("id").agg(F.max(F.struct("df", "v")).alias("x")).select("x.v", "id")
     # common values: the rarest quarter of the full sets of the documents that hold many of them
     again = full.join(able.where("again"), "id", "left_semi").select("id", F.size("_full").alias("n"), F.explode("_full").alias("v"))
     rare = again.join(again.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "v")
@@ -181,7 +230,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     prefix = F.col("n") - F.ceil(F.col("n") * LIMIT[0] / LIMIT[1]) + 1
     heavy = rare.select("v", "id", (rank <= prefix).alias("in")).where("in").select(F.xxhash64("v", F.lit("again")).alias("v"), "id")
     lists = saved(light.unionAll(heavy), "near-lists")
-    found = links(lists, sketches, full)
+    found = links(wide, lists, sketches, full)
     label = classes.join(found, "id", "left").select("_set", F.coalesce("component", "id").alias("_component"))
     out = table.join(label, "_set", "left").select("id", "n_shingles", F.coalesce("_component", "id").alias("component_id"))
     return out.select(F.col("id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
