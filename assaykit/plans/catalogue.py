@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.functions import detectors
-from assaykit.operators import relations, rows, values
+from assaykit.operators import generate, quality, relations, rows, values
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -187,3 +187,19 @@ ORACLE_SQL["date_order_orders_ship"] = "SELECT count(*) AS compared, count(*) FI
 # Arrays and objects.
 query("array_lengths_embeddings", "embeddings", lambda d: relations.array_profile(d, "embedding"), "SELECT len(embedding) AS length, count(*) AS cnt FROM $T GROUP BY 1")
 query("key_sets_events_props", "events", lambda d: relations.key_sets(d, "props"), "SELECT array_to_string(list_sort(json_keys(props)), ',') AS keys, count(*) AS cnt FROM $T GROUP BY 1")
+
+# Quality.
+query("observations_dirty_events", "dirty_events", lambda d: quality.observations(d.select("kind", "value", "note")), "WITH n AS (SELECT count(*) AS n FROM $T) SELECT 'kind' AS field, 'missing_values' AS rule, count(*) FILTER (kind IS NULL OR trim(kind) = '') AS count, any_value(n) AS of FROM $T, n UNION ALL SELECT 'value', 'missing_values', count(*) FILTER (value IS NULL), any_value(n) FROM $T, n UNION ALL SELECT 'note', 'missing_values', count(*) FILTER (note IS NULL), any_value(n) FROM $T, n UNION ALL SELECT 'note', 'constant_column', count(note), any_value(n) FROM $T, n")
+query("findings_dirty_dates", "dirty_dates", lambda d: quality.findings(d.select("v")), "SELECT 'v' AS field, 'temporal.ambiguous_date' AS code, 'issue' AS class, count(*) FILTER (r = 1 AND d <= 12 AND d <> 3) AS count, count(*) AS of FROM $T UNION ALL SELECT 'v', 'type.mixed', 'issue', count(*) - greatest(count(*) FILTER (r IN (0, 1, 4)), count(*) FILTER (r IN (2, 3, 5))), count(*) FROM $T UNION ALL SELECT 'v', 'temporal.invalid_calendar', 'error', count(*) FILTER (r = 2), count(*) FROM $T")
+query("classify_contacts", "contacts", lambda d: quality.classify(d.where("r = 0").select("id", "email", "phone", "postal", "uuid", "ip", "url")).select("field", "family", "type", "role"), "SELECT unnest(['id', 'email', 'phone', 'postal', 'uuid', 'ip', 'url']) AS field, unnest(['numeric', 'contact', 'contact', 'geographic', 'identifier', 'web_network', 'web_network']) AS family, unnest(['integer', 'email', 'phone', 'postal_code', 'uuid', 'ip_address', 'url']) AS type, unnest(['unique_id', NULL, NULL, NULL, NULL, NULL, NULL]) AS role")
+query("minority_lengths_contacts", "dirty_dates", lambda d: quality.minority_lengths(d.where("r = 0 or id = 4").select("v"), "v"), "SELECT length(v) AS length, count(*) AS cnt, 10::BIGINT AS usual FROM $T WHERE id = 4 GROUP BY 1")
+query("residual_dates", "dirty_dates", lambda d: quality.residuals(d, "v", "date", "id"), "SELECT v AS value, count(*) AS cnt, min(id) AS first_rec, CASE r WHEN 2 THEN 'invalid' ELSE 'not_matched' END AS state FROM $T WHERE r IN (2, 5) GROUP BY v, r")
+query("measures_dirty_numbers", "dirty_numbers", lambda d: quality.measures(d, "v"), "SELECT marker, count(*) AS n, min(x) AS min, max(x) AS max, round(avg(x), 6) AS mean FROM (SELECT CASE r WHEN 4 THEN '$' WHEN 5 THEN 'kg' ELSE '%' END AS marker, CASE r WHEN 4 THEN id + 0.25 WHEN 5 THEN id ELSE id % 100 END::DOUBLE AS x FROM $T WHERE r IN (4, 5, 6)) GROUP BY 1")
+
+# Rules, anomalies and generated tables.
+query("rules_eval_orders", "orders", lambda d: generate.evaluate(d, {"priced": {"gt": ["o_totalprice", 1000]}, "status": {"in": ["o_orderstatus", ["F", "O"]]}, "late": {"implies": [{"eq": ["o_orderstatus", "F"]}, {"lt": ["o_totalprice", 200000]}]}, "key": {"unique": "o_orderkey"}}), "SELECT unnest(['priced', 'status', 'late', 'key']) AS rule, unnest([count(*) FILTER (o_totalprice > 1000), count(*) FILTER (o_orderstatus IN ('F', 'O')), count(*) FILTER (o_orderstatus <> 'F' OR o_totalprice < 200000), count(*)]) AS holds, unnest([count(*) FILTER (o_totalprice <= 1000), count(*) FILTER (o_orderstatus NOT IN ('F', 'O')), count(*) FILTER (o_orderstatus = 'F' AND o_totalprice >= 200000), 0]) AS broken, 0::BIGINT AS unknown FROM $T")
+query("anomaly_journal_orders", "orders", lambda d: generate.inject(d.select("o_orderkey", "o_orderpriority"), "o_orderkey", [{"kind": "format", "transform": "upper", "column": "o_orderpriority", "count": 40}])[1], "SELECT o_orderkey AS record, 'o_orderpriority' AS \"column\", 'upper' AS operation, o_orderpriority AS before, upper(o_orderpriority) AS after FROM (SELECT * FROM $T ORDER BY md5('42|format0|o_orderpriority|' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 40) WHERE upper(o_orderpriority) <> o_orderpriority")
+query("truth_orders", "orders", lambda d: generate.truth(d.select("o_orderkey", "o_orderstatus"), d.selectExpr("o_orderkey", "CASE WHEN o_orderkey % 10 = 0 THEN lower(o_orderstatus) ELSE o_orderstatus END AS o_orderstatus"), "o_orderkey"), "SELECT o_orderkey AS record, 'o_orderstatus' AS \"column\", o_orderstatus AS before, lower(o_orderstatus) AS after FROM $T WHERE o_orderkey % 10 = 0")
+query("split_orders", "orders", lambda d: generate.split(d.select("o_orderkey", "o_custkey"), "o_custkey", {"train": 0.8, "test": 0.2}), "SELECT o_orderkey, o_custkey, CASE WHEN ('0x' || md5('42|split|o_custkey|value|' || CAST(o_custkey AS VARCHAR))[1:12])::BIGINT / 281474976710656.0 < 0.8 THEN 'train' ELSE 'test' END AS split FROM $T")
+QUERIES["generate_table"] = lambda spark, d: generate.table(spark, "t", 1000, {"id": {"kind": "sequence"}, "n": {"kind": "integer", "min": 1, "max": 6}, "c": {"kind": "choice", "values": ["a", "b"], "weights": [3, 1]}})
+ORACLE_SQL["generate_table"] = "WITH r AS (SELECT unnest(range(1000)) AS i), u AS (SELECT i, ('0x' || md5('42|t|n|value|' || CAST(i AS VARCHAR))[1:12])::BIGINT / 281474976710656.0 AS n, ('0x' || md5('42|t|c|value|' || CAST(i AS VARCHAR))[1:12])::BIGINT / 281474976710656.0 AS c FROM r) SELECT i + 1 AS id, floor(1 + n * 6)::BIGINT AS n, CASE WHEN c < 0.75 THEN 'a' ELSE 'b' END AS c FROM u"
