@@ -22,7 +22,7 @@ from assaykit.llm.common import map_texts
 VOCABULARY = "byte_bpe_50k.tiktoken"
 FIELDS = "ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Entries of the memo of encoded pieces; it is emptied when full.
-MEMO = 500_000
+MEMO = 200_000
 
 
 class Memo(dict):
@@ -86,7 +86,7 @@ class Codec:
     def compatible(self, left: int, right: int) -> bool:
         key = (left, right)
         if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) >= 4 * MEMO:
+            if len(self.pairs) >= 2 * MEMO:
                 self.pairs.clear()
             known = self.pairs[key] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
         return known

@@ -94,6 +94,8 @@ def map_texts(
                 columns = [batch.column(batch.schema.get_field_index(c)) for c in stay]
                 columns += [pa.array(got[n], kind) for n, kind in zip(names, kinds)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*stay, *names])
+        del work
+        pa.default_memory_pool().release_unused()  # a worker lives on between tasks of other operators
 
     return source.mapInArrow(run, schema)
 

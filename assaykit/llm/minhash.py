@@ -50,7 +50,7 @@ def shingler(size: int = WORDS) -> Callable[[str], np.ndarray]:
 
     def code(word: bytes) -> int:
         if (h := memo.get(word)) is None:
-            if len(memo) > 500_000:
+            if len(memo) > 200_000:
                 memo.clear()
             h = memo[word] = xxhash.xxh64_intdigest(word)
         return h

@@ -141,7 +141,7 @@ class Field:
 
     def feature(self, word: bytes) -> int:
         if (f := self.memo.get(word)) is None:
-            if len(self.memo) > 500_000:
+            if len(self.memo) > 200_000:
                 self.memo.clear()
             s = shape(word)
             f = self.memo[word] = self.shapes.get(s, self.shapes.get(coarse(s), 0))

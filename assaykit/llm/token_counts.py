@@ -27,7 +27,7 @@ from assaykit.llm.common import map_texts
 VOCABULARY = "word_bpe_49k.json"
 CHUNK, OVERLAP, LIMIT = 1 << 16, 1 << 10, 2048
 #: Entries of the memo; when they would be more, it starts anew with the texts at hand.
-MEMO = 500_000
+MEMO = 300_000
 FIELDS = "n_bytes long, n_tokens long, over_limit boolean"
 
 
