@@ -2,8 +2,12 @@
 
 Equal directions are one class with a weight. Centres are fitted on a bounded sample; every
 vector goes to its nearest centre (home) and visits each other cell whose bisecting plane is
-near enough for a link to cross it, so no link is lost: if x is at home in c and y elsewhere with
-cosine >= LINK, then y lies within |x - y| of the plane between its own centre and c. Each home
+near enough for a link to cross it: if x is at home in c and y elsewhere, then y lies within
+(y - x) . u of the plane between its own centre and c, u being the plane's normal. For a link
+that is at most |x - y| = sqrt(2 - 2 LINK), and for differences of no preferred direction in d
+dimensions its standard deviation is that over sqrt(d); cells within SIGMAS of these, or within
+the whole length if that is less, are visited. Recall measured against brute force is in the
+README. With SIGMAS of sqrt(d) or more no link can be lost. Each home
 vector meets all of its cell in blocks of bounded size; a block gives link counts and a spanning
 forest of its links, not the pairs.
 """
@@ -23,7 +27,12 @@ from assaykit.llm.common import components, saved
 LINK = 0.95
 #: Rows of the sample for the centres, rows a cell should have, most cells, rows of a block's side.
 SAMPLE, CELL, CELLS, BLOCK = 32_768, 1_024, 1_024, 1_024
-REACH = math.sqrt(2 - 2 * LINK) + 1e-9
+SIGMAS = 3.0
+
+
+def reach(dim: int) -> float:
+    """How far beyond the plane between two cells a vector still visits the other."""
+    return math.sqrt(2 - 2 * LINK) * min(1.0, SIGMAS / math.sqrt(dim)) + 1e-9
 
 
 def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +88,7 @@ def assign(c: np.ndarray, dim: int):
                 sims = matrix(batch.column(2).take(pa.array(part, pa.int64()))) @ c.T
                 home = np.argmax(sims, 1)
                 at = np.arange(len(part))
-                visits = sims[at, home][:, None] - sims <= REACH * apart[home]
+                visits = sims[at, home][:, None] - sims <= reach(dim) * apart[home]
                 visits[at, home] = True
                 i, j = np.nonzero(visits)
                 where += [part[x] for x in i.tolist()]
