@@ -11,7 +11,7 @@ shard, pieces are put in the order of a hash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -155,7 +155,7 @@ class Quotas:
         return out
 
 
-def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] | None = None, seed: int = 7) -> DataFrame:
+def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] | None = None, seed: int = 7, each: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, fields: T.StructType | None = None) -> DataFrame:
     """Add size, source_size, target (of the source), taken and pieces.
 
     ``pieces`` lists what the mix takes of a document: pass, output shard, place (order within
@@ -163,6 +163,8 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     sources are one source, the last. Equal keys are separate rows; rows equal in key and text
     are interchangeable. An empty table stays empty. Input columns with the names of added ones
     are replaced. Reruns agree, whatever the partitions. Hot sources are dealt by bucket.
+    ``each``, with the ``fields`` it gives, turns every batch of the result into another in the
+    same Python process, so a step after the mix needs no second one.
     """
     added = ["size", "source_size", "target", "taken", "pieces"]
     stay = [c for c in (df.columns if keep is None else keep) if c not in added]
@@ -188,7 +190,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     order = Window.partitionBy("idx", "_bucket").orderBy("_h", "_n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("_begin", F.col("_base") + F.sum("_n").over(order) - F.col("_n"))
     placed = placed.select(*[F.col("_row")[c].alias(c) for c in stay], F.col("_n").alias("size"), "source_size", "target", F.col("idx").alias("_idx"), "_begin")
-    schema = T.StructType([*placed.drop("_idx", "_begin").schema, *T.StructType.fromDDL(f"taken long, pieces {PIECE}")])
+    schema = fields or T.StructType([*placed.drop("_idx", "_begin").schema, *T.StructType.fromDDL(f"taken long, pieces {PIECE}")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Quotas(*quotas)
@@ -203,7 +205,8 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
                     got[i] = p
             names = [n for n in batch.schema.names if n not in ("_idx", "_begin")]
             lists = [[dict(zip(("epoch", "shard", "place", "start", "words"), x)) for x in p] for p in got]
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in names], pa.array([sum(x[4] for x in p) for p in got], pa.int64()), pa.array(lists, kind)], names=[*names, "taken", "pieces"])
+            out = pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in names], pa.array([sum(x[4] for x in p) for p in got], pa.int64()), pa.array(lists, kind)], names=[*names, "taken", "pieces"])
+            yield each(out) if each else out
 
     return placed.mapInArrow(run, schema)
 

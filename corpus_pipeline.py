@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,38 +30,33 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return clean.withColumn("n_chars", F.length("text").cast(clean.schema["n_chars"].dataType)) if "n_chars" in clean.columns else clean
 
 
-def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def drawn(names: list[str], batch: pa.RecordBatch) -> pa.RecordBatch:
     """A row for each pass that takes words of a document, with the text of those words."""
-    for batch in batches:
-        rows, texts = [], []
-        get = lambda n: batch.column(batch.schema.get_field_index(n)).to_pylist()  # noqa: B023, E731
-        for i, (text, size, pieces) in enumerate(zip(get("text"), get("size"), get("pieces"))):
-            words = None
-            for epoch in sorted({p["epoch"] for p in pieces}):
-                runs: list[list[int]] = []
-                for p in sorted((p for p in pieces if p["epoch"] == epoch), key=lambda p: p["start"]):
-                    if runs and runs[-1][1] == p["start"]:
-                        runs[-1][1] += p["words"]
-                    else:
-                        runs.append([p["start"], p["start"] + p["words"]])
-                if runs == [[0, size]]:
-                    rows.append(i)
-                    texts.append(text)
-                    continue
-                words = words or [m.span() for m in pii.WORD.finditer(text)]
-                rows.append(i)
-                texts.append("\n".join(text[words[a][0] : words[b - 1][1]] for a, b in runs))
-        out = batch.take(pa.array(rows, pa.int64()))
-        names = [n for n in batch.schema.names if n not in ("size", "pieces")]
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else out.column(out.schema.get_field_index(n)) for n in names], names=names)
+    rows, texts = [], []
+    get = lambda n: batch.column(batch.schema.get_field_index(n)).to_pylist()
+    for i, (text, size, pieces) in enumerate(zip(get("text"), get("size"), get("pieces"))):
+        words = None
+        for epoch in sorted({p["epoch"] for p in pieces}):
+            runs: list[list[int]] = []
+            for p in sorted((p for p in pieces if p["epoch"] == epoch), key=lambda p: p["start"]):
+                if runs and runs[-1][1] == p["start"]:
+                    runs[-1][1] += p["words"]
+                else:
+                    runs.append([p["start"], p["start"] + p["words"]])
+            rows.append(i)
+            if runs == [[0, size]]:
+                texts.append(text)
+                continue
+            words = words or [m.span() for m in pii.WORD.finditer(text)]
+            texts.append("\n".join(text[words[a][0] : words[b - 1][1]] for a, b in runs))
+    out = batch.take(pa.array(rows, pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else out.column(out.schema.get_field_index(n)) for n in names], names=names)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes: a row for each pass over a document, with the words taken in it."""
-    mixed = mixing.mix(docs).drop("source_size", "target", "taken")
-    out = mixed.where(F.size("pieces") > 0).mapInArrow(drawn, mixed.drop("size", "pieces").schema)
-    out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
-    return out.select(*docs.columns)
+    out = mixing.mix(docs, each=partial(drawn, docs.columns), fields=docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
