@@ -137,6 +137,7 @@ def codec(path: str | None = None, pattern: str | None = None) -> Codec:
 
 def worker(path: str | None, pattern: str | None, ids: bool) -> Callable[[list[str]], dict[str, list]]:
     own = codec(path, pattern)
+    own.pairs.clear()
 
     def work(texts: list[str]) -> dict[str, list]:
         packed = [own.encode(t) for t in texts]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -83,6 +86,7 @@ def map_texts(
     source = df.select(*[F.col(f"`{c}`") for c in stay], *([F.col(f"`{text}`").alias(body)] if body == "__text" else []))
     schema = T.StructType([f for f in source.schema if f.name in stay] + list(added))
     kinds = [arrow_type(f.dataType) for f in added]
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
@@ -95,11 +99,26 @@ def map_texts(
                 columns += [pa.array(got[n], kind) for n, kind in zip(names, kinds)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*stay, *names])
         del work
-        pa.default_memory_pool().release_unused()  # a worker lives on between tasks of other operators
+        give_back()
 
     return source.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hold Arrow batches of texts to ``rows`` rows for this session, as their bytes are held by both processes at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, rows)
+
+
+def give_back() -> None:
+    """Return freed memory to the system at a task's end: a worker lives on for tasks of other operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def arrow_type(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
