@@ -173,8 +173,8 @@ def links(wide: DataFrame, lists: DataFrame, sketches: DataFrame, full: DataFram
     labels = spark.createDataFrame([], "id long, component long")
     for turn in range(-1, HUB_ROUNDS + 1):
         now = (wide if turn < 0 else lists).join(labels, "id", "left").select("v", "id", F.coalesce("component", "id").alias("c"))
-        # the hub of a list is a member of its first component
-        mixed = now.groupBy("v").agg(F.max("c").alias("hi"), F.min(F.struct("c", "id")).alias("h")).where("h.c < hi").select("v", F.col("h.id").alias("hub"), F.col("h.c").alias("hc"))
+        # the hub of a list is a member of its first component; hubs are written, so that the join with them can split a long list
+        mixed = saved(now.groupBy("v").agg(F.max("c").alias("hi"), F.min(F.struct("c", "id")).alias("h")).where("h.c < hi").select("v", F.col("h.id").alias("hub"), F.col("h.c").alias("hc")), "near-hubs")
         if turn < HUB_ROUNDS:
             # compare others with the hub of their list, then take the hub out of it: its pairs are done
             met = now.join(mixed, "v")
@@ -207,7 +207,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     classes = saved(own.groupBy("_set").agg(F.min("id").alias("id"), F.count("*").alias("n_rows"), F.min("n_shingles").alias("n")), "near-classes")
     sketches = saved(own.join(classes.select("_set", "id", "n"), ["_set", "id"]).dropDuplicates(["_set", "id"]).select("id", "_set", "n", "_sketch"), "near-representatives")
     posted = sketches.select("id", "n", F.explode("_sketch").alias("v"))
-    often = posted.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    often = saved(posted.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "near-often")
     # documents that share too little with all others to have a link leave here
     shared = saved(posted.join(often, "v").select("v", "id", "n", "df"), "near-shared")
     per = shared.groupBy("id").agg(F.first("n").alias("n"), F.count("*").alias("met"), F.count_if(F.col("df") > HEAVY).alias("heavy"))
