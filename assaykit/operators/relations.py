@@ -143,7 +143,7 @@ def association(df: DataFrame, a: str, b: str) -> DataFrame:
     total = rows.agg(F.sum("ra").alias("n"), F.count("*").alias("r")).crossJoin(cols.agg(F.count("*").alias("c")))
     # chi squared = n (sum of o^2 / (ra cb) - 1): cells without rows add nothing
     part = cells.join(rows, "category").join(cols, "class").agg(F.sum(F.col("cnt").cast("double") * F.col("cnt") / (F.col("ra").cast("double") * F.col("cb"))).alias("s"))
-    t = part.crossJoin(total).withColumn("phi2", F.col("s") - 1)
+    t = part.crossJoin(total).withColumn("phi2", F.greatest(F.lit(0.0), F.col("s") - 1))
     n, r, c = (F.col(k).cast("double") for k in ("n", "r", "c"))
     t = t.withColumn("p", F.greatest(F.lit(0.0), F.col("phi2") - (r - 1) * (c - 1) / (n - 1))).withColumn("rr", r - (r - 1) * (r - 1) / (n - 1)).withColumn("cc", c - (c - 1) * (c - 1) / (n - 1))
     reason = F.when(r < 2, "single_category").when(c < 2, "single_class")
