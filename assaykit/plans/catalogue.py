@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.functions import detectors
-from assaykit.operators import generate, quality, relations, rows, values
+from assaykit.operators import explore, generate, patterns, quality, relations, rows, smart, values
+from assaykit.streaming import values as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -203,3 +204,27 @@ query("truth_orders", "orders", lambda d: generate.truth(d.select("o_orderkey",
 query("split_orders", "orders", lambda d: generate.split(d.select("o_orderkey", "o_custkey"), "o_custkey", {"train": 0.8, "test": 0.2}), "SELECT o_orderkey, o_custkey, CASE WHEN ('0x' || md5('42|split|o_custkey|value|' || CAST(o_custkey AS VARCHAR))[1:12])::BIGINT / 281474976710656.0 < 0.8 THEN 'train' ELSE 'test' END AS split FROM $T")
 QUERIES["generate_table"] = lambda spark, d: generate.table(spark, "t", 1000, {"id": {"kind": "sequence"}, "n": {"kind": "integer", "min": 1, "max": 6}, "c": {"kind": "choice", "values": ["a", "b"], "weights": [3, 1]}})
 ORACLE_SQL["generate_table"] = "WITH r AS (SELECT unnest(range(1000)) AS i), u AS (SELECT i, ('0x' || md5('42|t|n|value|' || CAST(i AS VARCHAR))[1:12])::BIGINT / 281474976710656.0 AS n, ('0x' || md5('42|t|c|value|' || CAST(i AS VARCHAR))[1:12])::BIGINT / 281474976710656.0 AS c FROM r) SELECT i + 1 AS id, floor(1 + n * 6)::BIGINT AS n, CASE WHEN c < 0.75 THEN 'a' ELSE 'b' END AS c FROM u"
+
+# Patterns.
+query("pattern_structures_brand", "part", lambda d: patterns.structures(d, "p_brand"), "SELECT 'ULP#D' AS structure, count(DISTINCT p_brand) AS distinct_values, count(*) AS occurrences, 1.0::DOUBLE AS score, true AS material FROM $T")
+query("pattern_signatures_brand", "part", lambda d: patterns.patterns(d, "p_brand").select("structure", "signature", "distinct_values", "occurrences", "score"), "WITH g AS (SELECT length(p_brand) AS k, count(DISTINCT p_brand) AS d, count(*) AS o FROM $T GROUP BY 1), t AS (SELECT sum(d) AS td, sum(o) AS tot FROM g) SELECT 'ULP#D' AS structure, '''Brand#''' || repeat('9', k - 6) AS signature, d AS distinct_values, o AS occurrences, round(greatest(d / td, o / tot), 9)::DOUBLE AS score FROM g, t")
+query("pattern_signature_c_name", "customer", lambda d: patterns.patterns(d, "c_name").select("signature", "distinct_values", "occurrences"), "SELECT '''Customer#000''999999' AS signature, count(DISTINCT c_name) AS distinct_values, count(*) AS occurrences FROM $T")
+query("pattern_validation_brand", "part", lambda d: patterns.validate(d, "p_brand", patterns.patterns(d.where("length(p_brand) = 7"), "p_brand")), "SELECT CASE WHEN length(p_brand) = 7 THEN 'known' ELSE 'new_length' END AS outcome, count(DISTINCT p_brand) AS distinct_values, count(*) AS occurrences FROM $T GROUP BY 1")
+query("pattern_eligibility_c_name", "customer", lambda d: patterns.eligibility(d, "c_name"), "SELECT count(DISTINCT c_name) AS distinct_values, 1.0::DOUBLE AS top_share, true AS eligible FROM $T")
+_place = "CASE WHEN o_orderkey % 2 = 0 THEN 'QC' ELSE 'ON' END"
+_code = _place + " || lpad(cast(o_orderkey * 7919 % 10000 AS string), 4, '0')"
+_gains = "greatest(d * (b + log2(d / ad)) - b - 2, o * (b + log2(o / ao)) - b - 2)"
+query("pattern_heads_codes", "orders", lambda d: patterns.heads(d.selectExpr(_code + " v"), "v").select("structure", "place", "head", "distinct_values", "occurrences", F.round("gain", 4).alias("gain")), f"WITH v AS (SELECT {_place} AS h, {_code} AS v FROM $T), g AS (SELECT h, count(DISTINCT v) AS d, count(*) AS o FROM v GROUP BY 1), t AS (SELECT sum(d) AS ad, sum(o) AS ao, 2 * log2(26) AS b FROM g) SELECT 'UD' AS structure, 0 AS place, h AS head, d AS distinct_values, o AS occurrences, round({_gains}, 4) AS gain FROM g, t")
+_plate = "CASE WHEN o_orderkey % 10 = 0 THEN '7' ELSE 'A' END || lpad(cast(o_orderkey % 1000 AS string), 3, '0')"
+query("pattern_edge_merges", "orders", lambda d: patterns.edge_merges(d.selectExpr(_plate + " v"), "v"), f"SELECT '9999' AS form, 'A999' AS into, 'X999' AS merged, count(DISTINCT {_plate}) AS distinct_values, count(*) AS occurrences FROM $T WHERE o_orderkey % 10 = 0")
+
+# Exploration, covering samples, windows.
+query("explore_facts_events", "events", lambda d: explore.facts(d.select("event_id", "event_type", "user_id")), "SELECT 'event_id' AS field, 'integer' AS native_type, count(event_id) AS present, count(DISTINCT event_id) AS distinct_values, true AS identifier_like, false AS category_like FROM $T UNION ALL SELECT 'event_type', 'string', count(event_type), count(DISTINCT event_type), false, true FROM $T UNION ALL SELECT 'user_id', 'integer', count(user_id), count(DISTINCT user_id), false, count(DISTINCT user_id) BETWEEN 2 AND 50 FROM $T")
+query("explore_number_pairs_lineitem", "lineitem", lambda d: explore.number_pairs(d, ["l_quantity", "l_extendedprice", "l_discount"]).select("a", "b", "n", F.round("r", 5).alias("r")), "SELECT unnest(['l_quantity', 'l_quantity', 'l_extendedprice']) AS a, unnest(['l_extendedprice', 'l_discount', 'l_discount']) AS b, count(*) AS n, round(unnest([corr(l_quantity, l_extendedprice), corr(l_quantity, l_discount), corr(l_extendedprice, l_discount)]), 5) AS r FROM $T")
+query("explore_category_tables_orders", "orders", lambda d: explore.category_tables(d, ["o_orderstatus", "o_orderpriority"]).drop("chosen"), "SELECT 'o_orderstatus' AS a, 'o_orderpriority' AS b, n, v, v_corrected, 1 AS place FROM (" + ORACLE_SQL["cramers_v_status_priority"] + ")")
+query("explore_numbers_by_category", "customer", lambda d: explore.numbers_by_category(d, ["c_mktsegment"], ["c_acctbal"]).drop("chosen"), "SELECT 'c_mktsegment' AS a, 'c_acctbal' AS b, n, k, epsilon2, 1 AS place FROM (" + ORACLE_SQL["eta_acctbal_by_segment"] + ")")
+QUERIES["explore_date_orders"] = lambda spark, d: explore.date_orders(load(spark, d, "lineitem").join(load(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")), ["o_orderdate", "l_shipdate"])
+ORACLE_SQL["explore_date_orders"] = "WITH c AS (SELECT count(*) AS n, count(*) FILTER (o_orderdate <= l_shipdate) AS f, count(*) FILTER (l_shipdate <= o_orderdate) AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT CASE WHEN f >= b THEN 'o_orderdate' ELSE 'l_shipdate' END AS first, CASE WHEN f >= b THEN 'l_shipdate' ELSE 'o_orderdate' END AS second, n AS compared, greatest(f, b) AS ordered, round(greatest(f, b) / n, 6) AS share, greatest(f, b) / n >= 0.99 AS holds FROM c"
+query("smart_coverage_orders", "orders", lambda d: smart.sample(d, "o_orderkey", ["o_orderstatus", "o_orderpriority"], 40)[1].select("target", "rows", (F.col("taken") > 0).alias("covered")), "SELECT 'o_orderstatus=' || o_orderstatus AS target, count(*) AS rows, true AS covered FROM $T GROUP BY 1 UNION ALL SELECT 'o_orderpriority=' || o_orderpriority, count(*), true FROM $T GROUP BY 1")
+QUERIES["smart_sample_orders"] = lambda spark, d: smart.sample(load(spark, d, "orders"), "o_orderkey", ["o_orderstatus", "o_orderpriority", "o_totalprice"], 60)[0]
+query("windows_events", "events", lambda d: streaming.windowed(d, "ts", "event_type", "1 hour"), "SELECT date_trunc('hour', ts) AS start, event_type AS key, count(*) AS cnt FROM $T GROUP BY 1, 2")

@@ -29,7 +29,7 @@ def totals(spark: SparkSession, path: str) -> DataFrame:
 
 def windowed(stream: DataFrame, time: str, key: str, width: str = "1 hour", delay: str = "10 minutes", value: Column | None = None) -> DataFrame:
     """start, key, cnt and (with a value) its sum in event-time windows; rows later than ``delay`` are left out. Works on tables too."""
-    t = F.col(time).cast("timestamp")
+    t = F.col(time).cast("timestamp") if stream.isStreaming else F.col(time)
     rows = stream.select(t.alias("_t"), F.col(key).alias("key"), *([value.alias("_v")] if value is not None else []))
     if stream.isStreaming:
         rows = rows.withWatermark("_t", delay)
