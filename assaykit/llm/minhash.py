@@ -128,7 +128,7 @@ def blocks(lists: DataFrame, full: DataFrame) -> DataFrame:
     """
     per = lists.groupBy("v", "c").agg(F.count("*").alias("n"))
     major = per.groupBy("v").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("all"))
-    size = major.select("v", F.col("m.c").alias("major"), F.ceil((F.col("all") - F.col("m.n")) / BLOCK).alias("rows"), F.ceil(F.col("all") / BLOCK).alias("cols"))
+    size = saved(major.select("v", F.col("m.c").alias("major"), F.ceil((F.col("all") - F.col("m.n")) / BLOCK).alias("rows"), F.ceil(F.col("all") / BLOCK).alias("cols")), "near-blocks")
     dealt = lists.join(size, "v").join(full, "id")
     block = F.xxhash64("id", F.lit(3))
     left = dealt.where("c <> major").select("v", F.pmod(block, "rows").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"), F.lit(True).alias("left"), "id", "c", "_full")
@@ -183,7 +183,7 @@ def links(wide: DataFrame, lists: DataFrame, sketches: DataFrame, full: DataFram
                 lists = saved(met.where("id <> hub").select("v", "id"), "near-lists")
             new = saved(alike(pairs.distinct(), sketches, full), "near-links")
         else:
-            new = saved(blocks(now.join(mixed.select("v"), "v"), full), "near-links")
+            new = saved(blocks(saved(now.join(mixed.select("v"), "v"), "near-left"), full), "near-links")
         if not new.isEmpty():
             edges = edges.unionAll(new)
             labels = saved(components(edges), "near-labels")
