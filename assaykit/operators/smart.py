@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from assaykit.operators.rows import lacks, priority
 from assaykit.operators.values import native_type
 
-LOW_CARDINALITY, CANDIDATES, WORST = 100, 2, 3
+LOW_CARDINALITY, WORST = 100, 3
 #: Weights: base * (1 + rarity), at most TOP; shares below FLOOR count as FLOOR.
 TOP, FLOOR = 20.0, 1e-6
 BASE = {"missing": 6.0, "value": 4.0, "extreme": 5.0, "sign": 3.0, "bin": 2.0, "length": 3.0}
