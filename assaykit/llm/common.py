@@ -47,6 +47,13 @@ def bounded(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
 
 
+def free(name: str, taken: list[str]) -> str:
+    """``name``, lengthened until no column is called so."""
+    while name.lower() in {x.lower() for x in taken}:
+        name += "_"
+    return name
+
+
 def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part has about SLICE_BYTES of text (one longer text stands alone)."""
     column = batch.column(batch.schema.get_field_index(text))
@@ -82,8 +89,8 @@ def map_texts(
     added = T.StructType.fromDDL(fields)
     names = [f.name for f in added]
     stay = [c for c in (df.columns if keep is None else keep) if c not in names]
-    body = "__text" if text not in stay else text
-    source = df.select(*[F.col(f"`{c}`") for c in stay], *([F.col(f"`{text}`").alias(body)] if body == "__text" else []))
+    body = text if text in stay else free("__text", [*stay, *names])
+    source = df.select(*[F.col(f"`{c}`") for c in stay], *([F.col(f"`{text}`").alias(body)] if body != text else []))
     schema = T.StructType([f for f in source.schema if f.name in stay] + list(added))
     kinds = [arrow_type(f.dataType) for f in added]
     small_batches(df.sparkSession)

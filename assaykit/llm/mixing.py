@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assaykit.llm.common import saved
+from assaykit.llm.common import free, saved
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -168,6 +168,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     """
     added = ["size", "source_size", "target", "taken", "pieces"]
     stay = [c for c in (df.columns if keep is None else keep) if c not in added]
+    at_source, at_word = free("_idx", [*stay, *added]), free("_begin", [*stay, *added])
     size = F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long")
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in stay]).alias("_row"), F.col(f"`{source}`").alias("_src"), size.alias("_n"), F.xxhash64(F.lit(seed), F.col(f"`{key}`"), F.col(f"`{text}`")).alias("_h"))
     if text in stay:
@@ -189,21 +190,21 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     placed = numbered(rows).join(base, ["idx", "_bucket"])
     order = Window.partitionBy("idx", "_bucket").orderBy("_h", "_n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("_begin", F.col("_base") + F.sum("_n").over(order) - F.col("_n"))
-    placed = placed.select(*[F.col("_row")[c].alias(c) for c in stay], F.col("_n").alias("size"), "source_size", "target", F.col("idx").alias("_idx"), "_begin")
-    schema = fields or T.StructType([*placed.drop("_idx", "_begin").schema, *T.StructType.fromDDL(f"taken long, pieces {PIECE}")])
+    placed = placed.select(*[F.col("_row")[c].alias(c) for c in stay], F.col("_n").alias("size"), "source_size", "target", F.col("idx").alias(at_source), F.col("_begin").alias(at_word))
+    schema = fields or T.StructType([*placed.drop(at_source, at_word).schema, *T.StructType.fromDDL(f"taken long, pieces {PIECE}")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Quotas(*quotas)
         kind = pa.list_(pa.struct([("epoch", pa.int32()), ("shard", pa.int32()), ("place", pa.int64()), ("start", pa.int64()), ("words", pa.int64())]))
         for batch in batches:
             col = lambda n: batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False)  # noqa: B023, E731
-            idx, begin, size = col("_idx"), col("_begin"), col("size")
+            idx, begin, size = col(at_source), col(at_word), col("size")
             got: list[list[tuple]] = [[]] * len(idx)
             for s in np.unique(idx):
                 at = np.flatnonzero(idx == s)
                 for i, p in zip(at.tolist(), own.pieces(int(s), begin[at], size[at])):
                     got[i] = p
-            names = [n for n in batch.schema.names if n not in ("_idx", "_begin")]
+            names = [n for n in batch.schema.names if n not in (at_source, at_word)]
             lists = [[dict(zip(("epoch", "shard", "place", "start", "words"), x)) for x in p] for p in got]
             out = pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in names], pa.array([sum(x[4] for x in p) for p in got], pa.int64()), pa.array(lists, kind)], names=[*names, "taken", "pieces"])
             yield each(out) if each else out

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import map_texts
+from assaykit.llm.common import free, map_texts
 
 KINDS = ("email", "ip", "card", "phone", "name", "tel", "id")
 BASE = 4
@@ -344,13 +344,13 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def worker(model, mode: str) -> Callable[[list[str]], dict[str, list]]:
+def worker(model, mode: str, new: str = "") -> Callable[[list[str]], dict[str, list]]:
     field = Field(*model)
 
     def work(texts: list[str]) -> dict[str, list]:
         spans = found(texts, field)
         if mode == "redact":
-            return {"__redacted": [redacted(t, s) if s else t for t, s in zip(texts, spans)]}
+            return {new: [redacted(t, s) if s else t for t, s in zip(texts, spans)]}
         got: dict[str, list] = {f"n_{KINDS[i]}": [sum(k == i for k, _, _ in s) for s in spans] for i in range(len(KINDS))}
         got["base_sha256"] = [hashlib.sha256(line([x for x in s if x[0] < BASE]).encode()).hexdigest() for s in spans]
         got["spans"] = [line(s) for s in spans]
@@ -374,8 +374,9 @@ def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> Da
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """Replace what is found by its kind in brackets; a null text stays null, other columns stay as they are."""
-    out = map_texts(df, text, "__redacted string", worker, trained(), "redact")
-    body = F.when(F.col(f"`{text}`").isNotNull(), F.col("__redacted")).alias(text)
+    new = free("__redacted", df.columns)
+    out = map_texts(df, text, f"{new} string", worker, trained(), "redact", new)
+    body = F.when(F.col(f"`{text}`").isNotNull(), F.col(new)).alias(text)
     return out.select(*[body if c == text else F.col(f"`{c}`") for c in df.columns])
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +19,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     gone = saved(minhash.near_duplicates(docs.select("doc_id", "text")).where("not kept").select("doc_id").distinct(), "near-gone")
-    return docs.join(bounded(gone), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(bounded(gone), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +28,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return clean.withColumn("n_chars", F.length("text").cast(clean.schema["n_chars"].dataType)) if "n_chars" in clean.columns else clean
 
 
-def drawn(names: list[str], batch: pa.RecordBatch) -> pa.RecordBatch:
-    """A row for each pass that takes words of a document, with the text of those words."""
+def drawn(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A row for each pass that takes words of a document, with the text of those words and its other columns."""
     rows, texts = [], []
     get = lambda n: batch.column(batch.schema.get_field_index(n)).to_pylist()
     for i, (text, size, pieces) in enumerate(zip(get("text"), get("size"), get("pieces"))):
@@ -49,13 +47,16 @@ def drawn(names: list[str], batch: pa.RecordBatch) -> pa.RecordBatch:
                 continue
             words = words or [m.span() for m in pii.WORD.finditer(text)]
             texts.append("\n".join(text[words[a][0] : words[b - 1][1]] for a, b in runs))
-    out = batch.take(pa.array(rows, pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else out.column(out.schema.get_field_index(n)) for n in names], names=names)
+    rest = batch.column(batch.schema.get_field_index("rest")).take(pa.array(rows, pa.int64()))
+    return pa.RecordBatch.from_arrays([rest, pa.array(texts, pa.string())], names=["rest", "text"])
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes: a row for each pass over a document, with the words taken in it."""
-    out = mixing.mix(docs, each=partial(drawn, docs.columns), fields=docs.schema)
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")
+    slim = docs.select(rest, "text", "doc_id", "source")
+    out = mixing.mix(slim, keep=["rest", "text"], each=drawn, fields=slim.select("rest", "text").schema)
+    out = out.select(*[F.col("text") if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
