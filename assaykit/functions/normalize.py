@@ -25,12 +25,15 @@ STAGES = ("raw", "nfc", "trim", "collapse_whitespace", "casefold", "strip_accent
 
 @cache
 def arrow_udf(name: str):
-    """The Arrow function of this name: nfc, casefold or strip_accents."""
+    """The Arrow function of this name: nfc, nfd, casefold or strip_accents."""
     import pyspark.sql.functions as f
 
     def nfc(s: pd.Series) -> pd.Series:
         return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
+    def nfd(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: unicodedata.normalize("NFD", x), na_action="ignore")
+
     def casefold(s: pd.Series) -> pd.Series:
         return s.map(str.casefold, na_action="ignore")
 
@@ -40,7 +43,7 @@ def arrow_udf(name: str):
 
         return s.map(bare, na_action="ignore")
 
-    return f.pandas_udf({"nfc": nfc, "casefold": casefold, "strip_accents": strip_accents}[name], "string")
+    return f.pandas_udf({"nfc": nfc, "nfd": nfd, "casefold": casefold, "strip_accents": strip_accents}[name], "string")
 
 
 def guarded(name: str, value: Column, plain: Column) -> Column:

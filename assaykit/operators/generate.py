@@ -12,6 +12,8 @@ import operator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from assaykit.functions import normalize
+
 
 def draw(seed: str, table: str, column: str, row: Column, stream: str = "value") -> Column:
     """A uniform number in [0, 1) for this cell and stream; 48 bits of MD5, the same on any engine with it."""
@@ -148,7 +150,8 @@ TRANSFORMS = {
     "currency_suffix": lambda c, u: F.concat(c, F.lit(" $")), "currency_prefix": lambda c, u: F.concat(F.lit("$"), c), "currency_fr": lambda c, u: F.concat(F.replace(c, F.lit("."), F.lit(",")), F.lit(" $")), "currency_code": lambda c, u: F.concat(c, F.lit(" CAD")), "float_precision_extreme": lambda c, u: F.concat(c, F.lit("0000000001")), "drop_leading_zeros": lambda c, u: _sub(c, "^0+", ""),
     "date_slash": lambda c, u: F.replace(c, F.lit("-"), F.lit("/")), "date_dmy": lambda c, u: _sub(c, "^([0-9]{4})-([0-9]{2})-([0-9]{2})", "$3/$2/$1"), "date_iso": lambda c, u: _sub(c, "^([0-9]{2})/([0-9]{2})/([0-9]{4})", "$3-$2-$1"), "date_mdy_iso": lambda c, u: _sub(c, "^([0-9]{4})-([0-9]{2})-([0-9]{2})", "$2-$3-$1"), "date_impossible": lambda c, u: _sub(c, "-[0-9]{2}-[0-9]{2}", "-02-30"), "date_swap_month_day": lambda c, u: _sub(c, "^([0-9]{4})-([0-9]{2})-([0-9]{2})", "$1-$3-$2"), "date_plus_century": lambda c, u: F.add_months(c.try_cast("date"), 1200).cast("string"), "date_minus_decade": lambda c, u: F.add_months(c.try_cast("date"), -120).cast("string"),
     "phone_spaces": lambda c, u: _sub(c, "[-.()]", " "), "phone_double_space": lambda c, u: _sub(c, "[- ]", "  "), "phone_drop_digit": lambda c, u: _sub(c, "[0-9]$", ""), "email_invalid": lambda c, u: F.replace(c, F.lit("@"), F.lit("@@")), "email_forbidden_domain": lambda c, u: _sub(c, "@.*$", "@invalid"), "postal_no_space": lambda c, u: F.replace(c, F.lit(" "), F.lit("")), "postal_invalid_syntax": lambda c, u: _sub(c, "^.", "D"),
-    "long_text": lambda c, u: F.repeat(F.concat(c, F.lit(" ")), 200), "json_text": lambda c, u: F.to_json(F.struct(c.alias("value"))), "quoted_delimiters": lambda c, u: F.concat(F.lit('"'), c, F.lit('",;')), "multiline_text": lambda c, u: F.concat(c, F.lit("\n"), c), "high_cardinality_uuid": lambda c, u: _sub(F.md5(F.concat(c, u.cast("string"))), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), "rare_category": lambda c, u: F.concat(F.lit("rare_"), F.substring(F.md5(u.cast("string")), 1, 4)),
+    "long_text": lambda c, u: F.repeat(F.concat(c, F.lit(" ")), 200), "json_text": lambda c, u: F.to_json(F.struct(c.alias("value"))), "quoted_delimiters": lambda c, u: F.concat(F.lit('"'), c, F.lit('",;')), "multiline_text": lambda c, u: F.concat(c, F.lit("\n"), c), "high_cardinality_uuid": lambda c, u: _sub(F.md5(F.concat(c, u.cast("string"))), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), "strip_accents": lambda c, u: normalize.strip_accents(c), "unicode_nfc": lambda c, u: normalize.nfc(c), "unicode_nfd": lambda c, u: normalize.guarded("nfd", c, c), "unicode_complex": lambda c, u: F.concat(c, F.lit(" é👩‍💻ﬁ")),
+    "rare_category": lambda c, u: F.concat(F.lit("rare_"), F.substring(F.md5(u.cast("string")), 1, 4)),
 }
 
 

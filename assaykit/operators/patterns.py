@@ -1,4 +1,4 @@
-"""Patterns of a text column: structures, length patterns, folded constants, edge merges, heads, validation.
+"""Patterns of a text column: structures, length patterns, folded constants, edge merges, heads and tails, validation.
 
 Everything is computed on the distinct values and their counts, by aggregations keyed on structure
 and lengths, so no column's values come together in one task. Null and empty values are no members.
@@ -140,9 +140,20 @@ def heads(df: DataFrame, column: str) -> DataFrame:
     """structure, lens, place, head, distinct_values, occurrences, gain: starts of tokens that save bits
     and whose next character is not chance (G-test); longer kept heads replace shorter ones, and a
     token is listed if its heads save a tenth of the bits they read."""
+    return facets(df, column, "head")
+
+
+def tails(df: DataFrame, column: str) -> DataFrame:
+    """As ``heads`` with the ends of tokens: structure, lens, place, tail, distinct_values, occurrences, gain."""
+    return facets(df, column, "tail").withColumn("head", F.reverse("head")).withColumnRenamed("head", "tail")
+
+
+def facets(df: DataFrame, column: str, side: str) -> DataFrame:
+    """``heads`` of the tokens, or of the tokens read backwards."""
     ok = tokenized(df, column).where("state = 'ok'")
     tokens = ok.select("structure", "lens", "cnt", F.posexplode("tokens").alias("place", "token")).where(F.col("token").rlike("^([0-9]+|[A-Z]+|[a-z]+)$"))
     group = ["structure", "lens", "place"]
+    tokens = tokens.withColumn("token", F.reverse("token")) if side == "tail" else tokens
     starts = F.sequence(F.lit(0), F.least(F.length("token"), F.lit(MAX_HEAD)))
     symbols = F.when(F.col("token").rlike("^[0-9]"), 10).otherwise(26)
     by = tokens.select(*group, "cnt", symbols.alias("symbols"), F.explode(F.transform(starts, lambda n: F.substring(F.col("token"), F.lit(1), n))).alias("head"))

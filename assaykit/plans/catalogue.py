@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.functions import detectors
-from assaykit.operators import explore, generate, patterns, quality, relations, rows, smart, values
+from assaykit.operators import explore, generate, patterns, population, quality, relations, rows, smart, values
 from assaykit.streaming import values as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,3 +228,15 @@ ORACLE_SQL["explore_date_orders"] = "WITH c AS (SELECT count(*) AS n, count(*) F
 query("smart_coverage_orders", "orders", lambda d: smart.sample(d, "o_orderkey", ["o_orderstatus", "o_orderpriority"], 40)[1].select("target", "rows", (F.col("taken") > 0).alias("covered")), "SELECT 'o_orderstatus=' || o_orderstatus AS target, count(*) AS rows, true AS covered FROM $T GROUP BY 1 UNION ALL SELECT 'o_orderpriority=' || o_orderpriority, count(*), true FROM $T GROUP BY 1")
 QUERIES["smart_sample_orders"] = lambda spark, d: smart.sample(load(spark, d, "orders"), "o_orderkey", ["o_orderstatus", "o_orderpriority", "o_totalprice"], 60)[0]
 query("windows_events", "events", lambda d: streaming.windowed(d, "ts", "event_type", "1 hour"), "SELECT date_trunc('hour', ts) AS start, event_type AS key, count(*) AS cnt FROM $T GROUP BY 1, 2")
+
+# Ends of tokens, related tables, labels, broken files.
+_tail = "CASE WHEN o_orderkey % 2 = 0 THEN 'QC' ELSE 'ON' END"
+_ending = "lpad(cast(o_orderkey * 7919 % 10000 AS string), 4, '0') || " + _tail
+query("pattern_tails_codes", "orders", lambda d: patterns.tails(d.selectExpr(_ending + " v"), "v").select("structure", "place", "tail", "distinct_values", "occurrences", F.round("gain", 4).alias("gain")), f"WITH v AS (SELECT {_tail} AS h, {_ending} AS v FROM $T), g AS (SELECT h, count(DISTINCT v) AS d, count(*) AS o FROM v GROUP BY 1), t AS (SELECT sum(d) AS ad, sum(o) AS ao, 2 * log2(26) AS b FROM g) SELECT 'DU' AS structure, 1 AS place, h AS tail, d AS distinct_values, o AS occurrences, round({_gains}, 4) AS gain FROM g, t")
+_u = lambda table, column, key: f"('0x' || md5('42|{table}|{column}|value|' || {key})[1:12])::BIGINT / 281474976710656.0"
+QUERIES["population_customers"] = lambda spark, d: population.population(spark, 2000)["customers"].select("household_id", "customer_id", "province", "language", "email")
+ORACLE_SQL["population_customers"] = f"WITH h AS (SELECT 'H' || i AS household_id FROM range(2000) t(i)), g AS (SELECT household_id, {_u('households', 'province', 'household_id')} AS p, {_u('households', 'size', 'household_id')} AS s FROM h), n AS (SELECT household_id, CASE WHEN p < 0.5 THEN 'QC' WHEN p < 0.75 THEN 'ON' WHEN p < 0.87 THEN 'BC' WHEN p < 0.96 THEN 'AB' ELSE 'NB' END AS province, unnest(range(1, CASE WHEN s < 0.3 THEN 2 WHEN s < 0.68 THEN 3 WHEN s < 0.84 THEN 4 WHEN s < 0.96 THEN 5 ELSE 6 END)) AS i FROM g), c AS (SELECT household_id, household_id || '-' || i AS customer_id, province FROM n) SELECT household_id, customer_id, province, CASE WHEN {_u('customers', 'language', 'customer_id')} < CASE WHEN province = 'QC' THEN 0.85 ELSE 0.1 END THEN 'fr' ELSE 'en' END AS language, CASE WHEN {_u('customers', 'email', 'customer_id')} < 0.9 THEN lower(customer_id) || '@example.org' END AS email FROM c"
+QUERIES["population_contracts"] = lambda spark, d: population.flattened(population.population(spark, 2000))
+query("ml_labels_orders", "orders", lambda d: population.labels(d, "o_orderkey", F.col("o_totalprice") > 250000), f"WITH l AS (SELECT o_orderkey, o_totalprice > 250000 AS is_fraud, {_u('labels', 'noise', 'o_orderkey')} < 0.02 AS is_noisy, {_u('labels', 'delay', 'o_orderkey')} < 0.1 AS is_delayed FROM $T) SELECT o_orderkey, is_fraud, CASE WHEN NOT is_delayed THEN is_fraud <> is_noisy END AS observed_fraud, is_noisy, is_delayed FROM l")
+query("ml_latent_orders", "orders", lambda d: population.latent(population.labels(d, "o_orderkey", F.col("o_totalprice") > 250000), "o_orderkey").select("o_orderkey", F.col("latent_fraud_probability").alias("chance"), F.expr("latent_fraud_probability between 0 and 1").alias("valid")), f"SELECT o_orderkey, round(CASE WHEN o_totalprice > 250000 THEN 0.35 + 0.6 * u ELSE 0.6 * pow(u, 2) END, 4) AS chance, true AS valid FROM (SELECT *, {_u('latent', 'fraud', 'o_orderkey')} AS u FROM $T)")
+query("malformed_customer", "customer", lambda d: population.malformed(d.selectExpr("c_custkey", "c_name", "c_nationkey"), "c_custkey").select("scenario", F.hex("content").alias("content")), "WITH t AS (SELECT c_custkey AS k, c_name AS n, c_nationkey::VARCHAR AS s, row_number() OVER (ORDER BY c_custkey) - 1 AS i, count(*) OVER () AS m FROM (SELECT * FROM $T ORDER BY c_custkey LIMIT 100)), l AS (SELECT i, k || ',' || n || ',' || s AS x, CASE WHEN i % 5 = 1 THEN k || ',' || n || ',' || s || ',,,,,' WHEN i % 5 = 3 THEN k::VARCHAR ELSE k || ',' || n || ',' || s END AS a, CASE WHEN i = m - 1 THEN left(k || ',' || n || ',' || s, 15) ELSE k || ',' || n || ',' || s END AS b, CASE WHEN i = 2 THEN k || ',\"UNCLOSED_QUOTE_START_' || n || ',' || s ELSE k || ',' || n || ',' || s END AS c FROM t), h AS (SELECT 'c_custkey,c_name,c_nationkey' || chr(10) AS h), j AS (SELECT h, string_agg(x, chr(10) ORDER BY i) AS x, string_agg(a, chr(10) ORDER BY i) AS a, string_agg(b, chr(10) ORDER BY i) AS b, string_agg(c, chr(10) ORDER BY i) AS c FROM l, h GROUP BY h) SELECT 'corrupted_separators' AS scenario, hex(h || a || chr(10)) AS content FROM j UNION ALL SELECT 'truncated_lines', hex(h || b) FROM j UNION ALL SELECT 'unclosed_quotes', hex(h || c || chr(10)) FROM j UNION ALL SELECT 'invalid_encoding', hex(h || left(x, 9)) || 'FFFE80C0' || hex(substr(x, 10) || chr(10)) FROM j")

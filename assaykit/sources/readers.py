@@ -119,6 +119,17 @@ def fingerprint(spark: SparkSession, path: str) -> DataFrame:
 # Sinks.
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """One small file of exactly these bytes, in any store that Spark reaches."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def write_csv(df: DataFrame, path: str, sep: str = ",", encoding: str = "UTF-8") -> None:
     df.write.mode("overwrite").option("header", True).option("sep", sep).option("encoding", encoding).option("escape", '"').csv(path)
 
