@@ -86,9 +86,19 @@ def set_maker() -> Callable[[list[str]], dict[str, list]]:
     return lambda texts: {"_full": [sets(t).view(np.int64) for t in texts]}
 
 
+def short_shared(n: int) -> int:
+    """Values of its sketch, its whole set, that a document of n <= SKETCH shingles shares at least with one that is 75 % alike.
+
+    One of m shingles has to share LIMIT of both, of which m - SKETCH may be missing in its own sketch.
+    """
+    a, b = LIMIT
+    return min(-(-a * (n + m) // (a + b)) - max(0, m - SKETCH) for m in range(-(-a * n // b), b * n // a + 1))
+
+
 def least_shared(n: Column) -> Column:
     """Values of the sketch that a document must share with one that is 75 % alike."""
-    return F.when(n <= SKETCH, F.ceil(n * LIMIT[0] / LIMIT[1])).otherwise(F.lit(SHARED))
+    short = F.array(*[F.lit(short_shared(i)) for i in range(1, SKETCH + 1)])
+    return F.when(n <= SKETCH, F.get(short, n.cast("int") - 1)).otherwise(F.lit(SHARED))
 
 
 def alike(pairs: DataFrame, sketches: DataFrame, full: DataFrame) -> DataFrame:

@@ -49,6 +49,25 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_nested_near_duplicates(spark):
+    """Short documents that come again with some words added, beyond what a sketch holds."""
+    rnd = random.Random(5)
+    docs = []
+    for n in range(20, 26):
+        for m in range(n, n * 4 // 3 + 1):
+            for _ in range(8):
+                words = [f"x{rnd.getrandbits(40)}" for _ in range(m + 4)]
+                docs += [(len(docs), " ".join(words[: n + 4])), (len(docs) + 1, " ".join(words))]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in docs}
+
+
+def test_least_shared():
+    for n in range(1, minhash.SKETCH + 1):
+        met = [k - max(0, m - minhash.SKETCH) for m in range(1, 2 * n + 2) for k in range(min(n, m) + 1) if 100 * k >= 75 * (n + m - k)]
+        assert minhash.short_shared(n) == min(met)
+
+
 def test_embeddings(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [1.0]), (6, [3.0]), (7, [float("nan"), 1.0]), (None, [1.0, 0.0]), (8, [1.0, None]), (9, [0.0, 1.0])]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
