@@ -1,13 +1,10 @@
 """Near-duplicates among embeddings: spherical k-means cells, blocked cosine products.
 
 Equal directions are one class with a weight. Centres are fitted on a bounded sample; every
-vector goes to its nearest centre (home) and visits each other cell whose bisecting plane is
-near enough for a link to cross it: if x is at home in c and y elsewhere, then y lies within
-(y - x) . u of the plane between its own centre and c, u being the plane's normal. For a link
-that is at most |x - y| = sqrt(2 - 2 LINK), and for differences of no preferred direction in d
-dimensions its standard deviation is that over sqrt(d); cells within SIGMAS of these, or within
-the whole length if that is less, are visited. Recall measured against brute force is in the
-README. With SIGMAS of sqrt(d) or more no link can be lost. Each home
+vector goes to its nearest centre (home) and visits each other cell of a lower number whose
+bisecting plane is near enough for a link to cross it, so no link is lost: if x is at home in e and
+y in c, then y lies beyond the plane between e and c, and x, a unit vector too, at most the sine of
+their angle before it. One of two cells is visited, and a link found there counts for both ends. Each home
 vector meets all of its cell in blocks of bounded size; a block gives link counts and a spanning
 forest of its links, not the pairs.
 """
@@ -27,12 +24,8 @@ from assaykit.llm.common import components, saved
 LINK = 0.95
 #: Rows of the sample for the centres, rows a cell should have, most cells, rows of a block's side.
 SAMPLE, CELL, CELLS, BLOCK = 32_768, 1_024, 1_024, 1_024
-SIGMAS = 3.0
-
-
-def reach(dim: int) -> float:
-    """How far beyond the plane between two cells a vector still visits the other."""
-    return math.sqrt(2 - 2 * LINK) * min(1.0, SIGMAS / math.sqrt(dim)) + 1e-9
+#: How far before the plane between two cells a vector still visits the other: the sine of a link's widest angle.
+REACH = math.sqrt(1 - LINK * LINK)
 
 
 def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +81,8 @@ def assign(c: np.ndarray, dim: int):
                 sims = matrix(batch.column(2).take(pa.array(part, pa.int64()))) @ c.T
                 home = np.argmax(sims, 1)
                 at = np.arange(len(part))
-                visits = sims[at, home][:, None] - sims <= reach(dim) * apart[home]
+                visits = sims[at, home][:, None] - sims <= REACH * apart[home] + 1e-9
+                visits &= np.arange(len(c)) < home[:, None]
                 visits[at, home] = True
                 i, j = np.nonzero(visits)
                 where += [part[x] for x in i.tolist()]
@@ -106,7 +100,7 @@ def assign(c: np.ndarray, dim: int):
 
 
 def compare(table: pa.Table) -> pa.Table:
-    """Counts of links of each home row in this block, and a spanning forest of the links."""
+    """Counts of links of each row in this block, and a spanning forest of the links. Home rows meet each other from both sides, visitors only here."""
     left, right = table.filter(table["left"]), table.filter(pa.compute.invert(table["left"]))
     if not len(left) or not len(right):
         return pa.table({"digest": pa.array([], pa.binary()), "n": pa.array([], pa.int64()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
@@ -116,6 +110,8 @@ def compare(table: pa.Table) -> pa.Table:
     other = dx[i] != dy[j]
     i, j = i[other], j[other]
     n = np.bincount(i, right["weight"].to_numpy()[j], len(dx)).astype(np.int64)
+    guest = ~right["home"].to_numpy()[j]
+    of_guests = np.bincount(j[guest], left["weight"].to_numpy()[i[guest]], len(dy)).astype(np.int64)
     idx, idy = left["id"].to_numpy(), right["id"].to_numpy()
     ids, at = np.unique(np.concatenate([idx, idy]), return_inverse=True)
     a, b = at[i], at[len(idx) + j]
@@ -128,6 +124,7 @@ def compare(table: pa.Table) -> pa.Table:
         if (label == old).all():
             break
     moved = np.flatnonzero(label != np.arange(len(ids)))
+    dx, n = np.concatenate([dx, dy]), np.concatenate([n, of_guests])
     m = np.flatnonzero(n)
     none = lambda k: [None] * k
     return pa.table({
@@ -166,7 +163,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
         sizes = cells.groupBy("cell").agg(F.ceil(F.count_if("home") / BLOCK).alias("rows"), F.ceil(F.count("*") / BLOCK).alias("cols"))
         dealt = cells.join(F.broadcast(sizes) if sizes.limit(CELLS * 4).count() < CELLS * 4 else sizes, "cell").where("rows > 0")
         block = F.xxhash64("digest", F.lit(9))
-        side = lambda d, left: d.select("cell", *([F.pmod(block, "rows").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j")] if left else [F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(block, "cols").alias("j")]), F.lit(left).alias("left"), "id", "digest", "vec", "weight")
+        side = lambda d, left: d.select("cell", *([F.pmod(block, "rows").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j")] if left else [F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(block, "cols").alias("j")]), F.lit(left).alias("left"), "home", "id", "digest", "vec", "weight")
         both = side(dealt.where("home"), True).unionAll(side(dealt, False))
         found = saved(both.groupBy("cell", "i", "j").applyInArrow(compare, "digest binary, n long, a long, b long"), "vector-links")
     counts = found.where("digest is not null").groupBy("digest").agg(F.sum("n").alias("n"))

@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from assaykit.llm import chat, embedding_dedup, licenses, minhash, mixing
@@ -75,6 +76,22 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_of_few_directions(spark, monkeypatch):
+    """Links cross the planes between cells far more often than in all dimensions alike."""
+    monkeypatch.setattr(embedding_dedup, "CELL", 64)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1000, 6))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = x + rng.normal(size=x.shape) * 0.11
+    v = np.concatenate([x, y, x[:20]]) @ np.linalg.qr(rng.normal(size=(128, 6)))[0].T
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    met = np.argwhere(np.triu(u @ u.T >= embedding_dedup.LINK, 1))
+    want = reach(range(len(v)), met.tolist())
+    rows = spark.createDataFrame([(i, r) for i, r in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(rows).collect()}
+    assert got == {i: (int((met == i).sum()), want[i]) for i in range(len(v))}
+
+
 def test_mixing(spark):
     rnd = random.Random(3)
     rows = [(i, " w" * rnd.randrange(3000), rnd.choice(["a", "b", "é", None])) for i in range(120)] + [(500, None, "a"), (None, "x y", "b")]
