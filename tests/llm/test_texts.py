@@ -1,5 +1,6 @@
 """Text operators against the libraries and brute force, with nulls, empty and long texts."""
 
+import base64
 import hashlib
 import random
 import re
@@ -98,3 +99,14 @@ def test_quality():
     assert quality.repeated_words([w.encode() for w in words]) == 10
     got = quality.worker()(["one two three four five six seven eight nine ten eleven", "ab " * 400, "", "x\nx\n\ny"])
     assert list(got["kept"]) == [True, False, False, False] and list(got["n_dup_lines"]) == [0, 0, 0, 1]
+
+
+def test_base64():
+    rnd = random.Random(7)
+    coded = {n: base64.encodebytes(rnd.randbytes(n)).decode()[:n] for n in (800, 1_000, 4_000, 12_000, 30_000)}
+    vowels, rest = "aeiou", "bcdfghjklmnprstvw"
+    words = ["".join(rnd.choice(rest) + rnd.choice(vowels) for _ in range(rnd.randrange(1, 4))) for _ in range(400)]
+    prose = " ".join(rnd.choices(words, k=2_500))
+    got = quality.worker()([*coded.values(), prose, prose[:8_192] + coded[30_000], prose[:1_000], prose[:450]])
+    assert list(got["reason"]) == ["incompressible"] * 5 + [None, "chunks", None, None]
+
