@@ -37,9 +37,28 @@ def shared_dir(spark: SparkSession) -> str:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: later steps start from
     files that survive lost executors, and nothing before is computed twice."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Tables(df.sparkSession).save(df, name)
+
+
+class Tables:
+    """Tables written to the shared folder during a job, which are deleted as soon as no later step reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete the tables saved under these names. What reads them must have run before."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for name in names:
+            for path in self.paths.pop(name, []):
+                place = jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(conf).delete(place, True)
 
 
 def bounded(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
@@ -136,15 +155,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph of long ids.
 
     ``edges`` has columns a, b. Returns id, component (the smallest id reachable) for every id
-    on an edge. Alternating large-star and small-star contraction: each round is two aggregations
-    by key with partial minima and two joins, the number of rounds grows with the logarithm of
-    the longest path, and every round is cut by a checkpoint in the shared folder.
+    on an edge; loops count as no edge, repeated edges as one, and no edges give an empty result.
+    Alternating large-star and small-star contraction: each round is two aggregations by key with
+    partial minima and two joins, the number of rounds grows with the logarithm of the longest
+    path, and every round is cut by a table in the shared folder, the one before then deleted.
     """
-    spark = edges.sparkSession
-    shared_dir(spark)
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+    tables = Tables(edges.sparkSession)
+    e = tables.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "star0")
     before = None
-    for _ in range(most_rounds):
+    for turn in range(most_rounds):
         state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == before or not state[0]:
             break
@@ -152,12 +171,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: larger neighbours of each node point to its smallest neighbour
-        e = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = tables.save(large, f"large{turn}")
         # small star: each node and its smaller neighbours point to the smallest of them
-        least = e.groupBy("a").agg(F.min("b").alias("m"))
-        e = e.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct().checkpoint()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
+        e = tables.save(small, f"star{turn + 1}")
+        tables.drop(f"star{turn}", f"large{turn}")
     else:
         raise RuntimeError("components did not settle")
     ends = e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
-    roots = ends.select(F.col("component").alias("id"), "component").distinct()
-    return ends.unionAll(roots)
+    out = tables.save(ends.unionAll(ends.select(F.col("component").alias("id"), "component").distinct()), "components")
+    tables.drop(*[n for n in tables.paths if n != "components"])
+    return out
