@@ -19,11 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import components, saved
+from assaykit.llm.common import Tables, bounded, components
 
 LINK = 0.95
-#: Rows of the sample for the centres, rows a cell should have, most cells, rows of a block's side.
-SAMPLE, CELL, CELLS, BLOCK = 32_768, 1_024, 1_024, 1_024
+#: Bytes of the sample for the centres, and how many of its rows a centre must stand for: so the number of cells
+#: grows with the vectors up to 131,072 / 16 centres of 64 dimensions, and cells only beyond.
+SAMPLE_BYTES, PER_CENTRE = 64 << 20, 16
+#: Rows a cell should have, rows of a block's side, and rows of the tiles in which a block is multiplied.
+CELL, BLOCK, TILE = 4_096, 4_096, 1_024
 #: How far before the plane between two cells a vector still visits the other: the sine of a link's widest angle.
 REACH = math.sqrt(1 - LINK * LINK)
 
@@ -105,24 +108,23 @@ def compare(table: pa.Table) -> pa.Table:
     if not len(left) or not len(right):
         return pa.table({"digest": pa.array([], pa.binary()), "n": pa.array([], pa.int64()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     x, y = (matrix(t["vec"].combine_chunks()) for t in (left, right))
-    i, j = np.nonzero(x @ y.T >= LINK)
     dx, dy = np.array(left["digest"].to_pylist(), object), np.array(right["digest"].to_pylist(), object)
-    other = dx[i] != dy[j]
-    i, j = i[other], j[other]
-    n = np.bincount(i, right["weight"].to_numpy()[j], len(dx)).astype(np.int64)
-    guest = ~right["home"].to_numpy()[j]
-    of_guests = np.bincount(j[guest], left["weight"].to_numpy()[i[guest]], len(dy)).astype(np.int64)
     idx, idy = left["id"].to_numpy(), right["id"].to_numpy()
+    wx, wy, guests = left["weight"].to_numpy(), right["weight"].to_numpy(), ~right["home"].to_numpy()
     ids, at = np.unique(np.concatenate([idx, idy]), return_inverse=True)
-    a, b = at[i], at[len(idx) + j]
+    px, py = at[: len(idx)], at[len(idx) :]
+    n, of_guests = np.zeros(len(dx), np.int64), np.zeros(len(dy), np.int64)
     label = np.arange(len(ids))
-    while True:
-        old = label.copy()
-        np.minimum.at(label, a, label[b])
-        np.minimum.at(label, b, label[a])
-        label = label[label]
-        if (label == old).all():
-            break
+    for lo in range(0, len(x), TILE):
+        for to in range(0, len(y), TILE):
+            i, j = np.nonzero(x[lo : lo + TILE] @ y[to : to + TILE].T >= LINK)
+            i, j = i + lo, j + to
+            other = dx[i] != dy[j]
+            i, j = i[other], j[other]
+            np.add.at(n, i, wy[j])
+            guest = guests[j]
+            np.add.at(of_guests, j[guest], wx[i[guest]])
+            join(label, px[i], py[j])
     moved = np.flatnonzero(label != np.arange(len(ids)))
     dx, n = np.concatenate([dx, dy]), np.concatenate([n, of_guests])
     m = np.flatnonzero(n)
@@ -135,6 +137,19 @@ def compare(table: pa.Table) -> pa.Table:
     })
 
 
+def join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Give places that are linked, directly or not, their smallest place."""
+    while len(a):
+        old = label.copy()
+        low = np.minimum(label[a], label[b])
+        for ends in (a, b):
+            np.minimum.at(label, label[ends], low)
+            np.minimum.at(label, ends, low)
+        label[:] = label[label]
+        if (label == old).all():
+            break
+
+
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """vec_id (named as ``key``), n_links, component_id and kept for every row.
 
@@ -143,7 +158,8 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     are not compared and are kept, with a null component. Equal keys are one node of the graph.
     An empty table gives an empty result. Other columns are not read.
     """
-    spark = df.sparkSession
+    spark, tables = df.sparkSession, Tables(df.sparkSession)
+    saved = tables.save
     rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("vec"))
     table = saved(rows.mapInArrow(unit, "id long, digest binary, vec binary"), "vectors")
     own = table.where("digest is not null and id is not null")
@@ -153,21 +169,22 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     n = own.count()
     found = spark.createDataFrame([], "digest binary, n long, a long, b long")
     if n:
-        sample = own.orderBy("digest").limit(SAMPLE).select("vec").toArrow()["vec"].combine_chunks().to_pylist()
-        lengths = [len(v) for v in sample]
-        dim = max(set(lengths), key=lambda x: (lengths.count(x), x))
-        of_dim = np.frombuffer(b"".join(v for v in sample if len(v) == dim), np.float64).reshape(-1, dim // 8)
-        c = centres(of_dim, max(1, min(CELLS, -(-n // CELL), len(of_dim) // 16)))
+        # the length that most vectors have; others have a cell by length
+        dim = own.groupBy(F.octet_length("vec").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()["dim"]
+        want = min(-(-n // CELL) * PER_CENTRE * 64, max(PER_CENTRE, SAMPLE_BYTES // dim))
+        sample = own.where(F.octet_length("vec") == dim).orderBy("digest").limit(want).select("vec").toArrow()["vec"].combine_chunks()
+        c = centres(matrix(sample), max(1, min(-(-n // CELL), len(sample) // PER_CENTRE)))
         cells = saved(own.mapInArrow(assign(c, dim // 8), "cell int, home boolean, id long, digest binary, vec binary, weight long"), "vector-cells")
-        # one row per cell: at most CELLS, and one for each other length of vectors
+        # one row per cell: a centre of the sample, or another length of vectors
         sizes = cells.groupBy("cell").agg(F.ceil(F.count_if("home") / BLOCK).alias("rows"), F.ceil(F.count("*") / BLOCK).alias("cols"))
-        dealt = cells.join(F.broadcast(sizes) if sizes.limit(CELLS * 4).count() < CELLS * 4 else sizes, "cell").where("rows > 0")
+        dealt = cells.join(bounded(sizes), "cell").where("rows > 0")
         block = F.xxhash64("digest", F.lit(9))
         side = lambda d, left: d.select("cell", *([F.pmod(block, "rows").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j")] if left else [F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(block, "cols").alias("j")]), F.lit(left).alias("left"), "home", "id", "digest", "vec", "weight")
         both = side(dealt.where("home"), True).unionAll(side(dealt, False))
         found = saved(both.groupBy("cell", "i", "j").applyInArrow(compare, "digest binary, n long, a long, b long"), "vector-links")
     counts = found.where("digest is not null").groupBy("digest").agg(F.sum("n").alias("n"))
     label = components(found.where("a is not null").select("a", "b"))
+    tables.drop("vector-representatives", "vector-cells")
     per = classes.join(counts, "digest", "left").join(label, "id", "left").select("digest", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
     out = table.join(per, "digest", "left").select("id", F.when(F.col("id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
     return out.select(F.col("id").alias(key), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
