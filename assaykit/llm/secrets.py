@@ -21,9 +21,11 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 ASSIGN_LEAST = 8
 
-IDENT = r"""(?i)\b(?:user(?:_?name)?|login|client_?id|account|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,64}"""
-KEY = r"(?<![A-Za-z0-9+/=_-])(?=[^\s]{0,63}[0-9])(?=[^\s]{0,63}[a-z])(?=[^\s]{0,63}[A-Z])[A-Za-z0-9+/=_-]{20,64}(?![A-Za-z0-9+/=_-])"
-ENDPOINT = r"""(?i)\b(?:https?|ftps?|jdbc:[a-z]+|mongodb|postgres(?:ql)?|mysql|redis|amqps?)://[^\s"'<>]{3,200}"""
+# Weak parts, of any length from the least one on.
+IDENT = r"""(?i)\b(?:user(?:_?name)?|login|client_?id|account|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}"""
+ENDPOINT = r"""(?i:\b(?:https?|ftps?|jdbc:[a-z]+|mongodb|postgres(?:ql)?|mysql|redis|amqps?)://[^\s"'<>]{3,})"""
+#: A run of 20 signs or more with digits and letters of both cases, outside endpoints.
+KEY = ENDPOINT + r"|(?<![A-Za-z0-9+/_-])((?=[A-Za-z+/_-]*+[0-9])(?=[A-Z0-9+/_-]*+[a-z])(?=[a-z0-9+/_-]*+[A-Z])[A-Za-z0-9+/_-]{20,}+={0,2})"
 KINDS = ("assign", "access", "hex", "ident", "key", "endpoint")
 SCOPE = 300
 
@@ -96,9 +98,7 @@ def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> Da
     rows = located(rows, "_t", "_ident", IDENT, t.rlike(r"(?i)user|login|client|account|access") & t.rlike(IDENT))
     rows = located(rows, "_t", "_endpoint", ENDPOINT, t.contains("://"))
     partner = F.size("_ident") + F.size("_endpoint") + F.size("_access") > 0
-    rows = located(rows, "_t", "_key", KEY, partner)
-    ends = F.array_distinct(F.transform("_assign", lambda x: x["e"]))
-    rows = rows.withColumn("_key", F.when(F.size("_key") == 0, F.col("_key")).otherwise(let(ends, lambda known: F.filter("_key", lambda x: ~F.array_contains(known, x["e"])))))
+    rows = located(rows, "_t", "_key", KEY, partner, 1, 1)
     table = saved(
         rows.select(
             "_row",
@@ -127,6 +127,9 @@ def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> Da
 def linked(table: DataFrame) -> DataFrame:
     """_id and the weak parts that have complementary parts in reach."""
     part = table.select("_id", F.explode(F.concat("_base", "_weak")).alias("x")).select("_id", "x", F.floor(F.col("x.s") / SCOPE).alias("scope"))
+    # the value of an assignment or an identifier is no key of its own
+    value = part.where(F.col("x.k").isin(0, 3)).select("_id", F.col("x.e").alias("_e"), F.lit(4).alias("_k")).distinct()
+    part = part.withColumns({"_e": F.col("x.e"), "_k": F.col("x.k")}).join(value, ["_id", "_e", "_k"], "left_anti").drop("_e", "_k")
     role = F.when(F.col("x.k").isin(0, 2, 4), "secret").when(F.col("x.k").isin(1, 3), "ident").otherwise("endpoint")
     sums = part.groupBy("_id", "scope").agg(*[f(F.when(role == r, F.col("x.s"))).alias(f"{n}_{r}") for r in ("secret", "ident", "endpoint") for n, f in (("lo", F.min), ("hi", F.max))])
     reach = sums.select("_id", F.explode(F.array(*[F.col("scope") + d for d in (-1, 0, 1)])).alias("scope"), *[c for c in sums.columns if c[:2] in ("lo", "hi")])
@@ -139,4 +142,5 @@ def linked(table: DataFrame) -> DataFrame:
 
 
 def op1_secret_scans(spark, sf_dir: str) -> DataFrame:
+    """Every document's secrets: counts, digests and spans. Nulls, ties and repeats as in ``scan``."""
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"]).drop("findings")
