@@ -36,79 +36,63 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Words that are features themselves, whatever their shape.
 CUES = frozenset("mr mrs ms dr prof name named called dear signed sincerely regards by from phone tel telephone call fax mobile cell dial ssn passport id nino iban no number license licence account born contact page chapter version figure table section year order invoice room".split())
 
-#: The labelled table: text with {label words} around personal data.
-LABELLED = (
-    "Please contact Mr. {name John Smith} about the invoice.",
-    "Mrs. {name Maria Lopez} called yesterday.",
-    "I spoke with Dr. {name Anna Weber} this morning.",
-    "Dear Ms. {name Chen}, thank you for the order.",
-    "Prof. {name Alan Grey} teaches here.",
-    "My name is {name Peter Novak} and I live nearby.",
-    "Her name: {name Julia Roth}",
-    "The customer's name is {name Omar Hassan}.",
-    "Signed {name Robert Klein}",
-    "Sincerely, {name Laura Diaz}",
-    "Regards, {name Tom Baker}",
-    "A man named {name Luca Rossi} came in.",
-    "Mr. {name Ivanov} and Mrs. {name Ivanova} left early.",
-    "Dr. {name Li Wei} will see you.",
-    "Ask for Mr. {name Brown} or Ms. {name Green}.",
-    "Phone {tel (555) 201-4477} for details.",
-    "Call {tel 555-201-4477} now.",
-    "tel: {tel 020 7946 0958}",
-    "Tel. {tel 030 1234567} or by mail.",
-    "Our phone number is {tel 415-555-0132}.",
-    "mobile {tel 0171 5550123}",
-    "fax {tel (212) 555-0199}",
-    "You can call {tel (303) 555-7788} after noon.",
-    "cell {tel 555 0147}",
-    "dial {tel 1-800-555-0123} to order",
-    "SSN {id 123-45-6789} on file.",
-    "His SSN is {id 987-65-4321}.",
-    "ssn: {id 321-54-9876}",
-    "the number {id 219-09-9999} was listed",
-    "Passport {id AB1234567} expires soon.",
-    "passport no. {id X9876543}",
-    "IBAN {id DE89 3704 0044 0532 0130 00} for the payment",
-    "iban: {id GB29 NWBK 6016 1331 9268 19}",
-    "NINO {id QQ123456C} was given.",
-    "id {id L1234567}",
-    "license no. {id D1234567}",
-    "They left the house early. The day was cold.",
-    "The of and with by nteres atre are.",
-    "He paid 12 dollars for 3 books in 1999.",
-    "See page 12 of chapter 4, figure 2.",
-    "Version 3.2.1 came out in 2021.",
-    "Order 66 was shipped on 2023-05-17 to the Main Street shop.",
-    "It costs 1,200.50 and weighs 12 kg.",
-    "Section 4.1 and Table 7 list all 350 items.",
-    "The New York office opened in May 2003.",
-    "Between 1914 and 1918 the prices rose by 25%.",
-    "Room 101, floor 3.",
-    "Written by the staff. From the start it was hard.",
-    "By Monday all were back. They called the next day.",
-    "The number of cases fell. No one knew.",
-    "Les des aux. Un le que éoi.",
-    "Die der und. Schst in zuverein.",
-    "Number 5 is alive. Year 2000 came.",
-    "a b c 1 2 3 4 5 6 7 8 9 10",
-    "$$$ ### *** | & | %%%",
-    "Call the next one. Contact the office. Dear all, the page is up.",
-    "Ah. Oh. Yes. No. So it goes. Then. Later. Here. There. Well.",
-    "Old. Stones. Lay there. Rain. Wind. It was. Night fell. Quiet.",
-    "A day. Two. Three more. Up the Hill. Down. On and on. Next. More.",
-    "He left. Soon. She stayed, alone. Snow. Ice melted. Spring. Green leaves.",
-    "Far, far away. Long ago. Once, there was. Kings. Queens ruled. Peace.",
-    "OLD NEWS!! ALL CAPS!! HERE,!! AND THERE!! THE. END!! OF.!! A.",
-    "THIS IS LOUD. VERY, LOUD!! STOP. GO.!! NOW!!",
-    "a | red | Stone. | blue | Sky, | over | The | hills. | Green |",
-    "red### Stone%%% blue,&&& Sky*** over.$$$ The### hills***",
-    "First line\". Second-hand goods, half-price. Third. O'Clock; fourth: fifth.",
-    "It is (of course) a test... Well? Yes! Perhaps - or not - who knows.",
-    "This work is licensed under the GNU General Public License, version 3.",
-    "Released under the MIT License. Licensed under the Apache License, Version 2.0.",
-    "The phone rang. The account was closed. Names are hard.",
+#: The labelled table. Each form is filled three times, with the pools' entries in turn; {name}, {tel} and {id} are labelled.
+NAMES = (
+    "John Smith", "Maria Lopez", "Chen", "Anna-Lena Weber", "Sean O'Brien", "Peter J. Novak", "Ivanova", "Li Wei", "Omar Hassan", "Jean-Paul Roux",
+    "Brown", "Priya Raghavan", "Tom Baker", "Fatima al-Sayed", "Ludwig van Dyck", "Grace Okafor", "Green", "Mary Ann Cole", "McAllister", "Diego Ruiz Vega",
 )
+TELS = (
+    "(555) 201-4477", "555-201-4477", "020 7946 0958", "030 1234567", "415-555-0132", "0171 5550123", "(212) 555-0199", "555 0147", "1-800-555-0123", "01.42.68.53.00",
+    "303.555.7788", "089/636-48018",
+)
+IDS = (
+    "123-45-6789", "987-65-4321", "219-09-9999", "AB1234567", "X9876543", "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "QQ123456C", "L1234567", "FR76 3000 6000 0112 3456 7890 189",
+)
+FORMS = (
+    "Please contact Mr. {name} about the invoice.", "Mrs. {name} called yesterday and left a message.", "I spoke with Dr. {name} this morning.", "Dear Ms. {name}, thank you for your order.",
+    "Prof. {name} teaches here on Mondays.", "My name is {name} and I live nearby.", "Her name: {name}", "The customer's name is {name}.", "Signed {name}", "Sincerely, {name}", "Best regards, {name}",
+    "A man named {name} came in and asked for the key.", "Mr. {name} and Mrs. {name} left early.", "Dr. {name} said that the results were fine.", "Ms. {name} wrote to us about the delay.",
+    "Ask for Mr. {name} or Ms. {name} at the desk.", "Contact: {name}, {tel}", "Contact {name} at {tel} with questions.", "Name: {name} Phone: {tel}", "Dear {name}, we have moved.", "Mr. {name} will see you at noon.",
+    "The patient, Mrs. {name}, was sent home.", "It was Dr. {name} who found it first.", "a girl called {name} lived here", "Kind regards {name}", "Written by Prof. {name} in spring",
+    "Phone {tel} for details.", "Call {tel} now.", "tel: {tel}", "Tel. {tel} or by mail.", "Our phone number is {tel}.", "mobile {tel}", "fax {tel}", "You can call {tel} after noon.", "Reach the office by phone at {tel} any time.",
+    "dial {tel} to order", "call me on my cell, {tel}, tonight", "SSN {id} on file.", "His SSN is {id}.", "ssn: {id}", "Passport {id} expires soon.", "passport no. {id}", "IBAN {id} for the payment", "iban: {id}",
+    "NINO {id} was given.", "id {id}", "license no. {id}", "Mr. {name}, passport number {id}, phone {tel}",
+)
+#: Text without personal data, much of it with the same cues, capitals and digits.
+PLAIN = (
+    "They left the house early. The day was cold and the road was empty.", "He paid 12 dollars for 3 books in 1999.", "See page 12 of chapter 4, figure 2.", "Version 3.2.1 came out in 2021.",
+    "Order 66 was shipped on 2023-05-17 to the Main Street shop.", "It costs 1,200.50 and weighs 12 kg.", "Section 4.1 and Table 7 list all 350 items.", "The New York office opened in May 2003.",
+    "Between 1914 and 1918 the prices rose by 25%.", "Room 101, floor 3.", "Written by the staff. From the start it was hard.", "By Monday all were back. They called the next day.", "The number of cases fell. No one knew.",
+    "Number 5 is alive. Year 2000 came.", "Call the next one. Contact the office. Dear all, the page is up.", "Ah. Oh. Yes. No. So it goes. Then. Later. Here. There. Well.",
+    "Old stones lay there. Rain. Wind. It was late. Night fell. Quiet.", "A day. Two. Three more. Up the hill. Down. On and on. Next. More.", "He left. Soon. She stayed, alone. Snow. Ice melted. Spring. Green leaves.",
+    "Far, far away. Long ago. Once, there was peace. Kings came. Queens ruled.", "BREAKING NEWS! ALL SEATS SOLD OUT! BOOK NOW!", "THIS IS LOUD. VERY LOUD! STOP. GO.", "a | red | Stone | blue | Sky | over | The | hills | Green |",
+    "Second-hand goods, half-price. Third. O'Clock; fourth: fifth.", "It is (of course) a test... Well? Yes! Perhaps - or not - who knows.", "This work is licensed under the GNU General Public License, version 3.",
+    "Released under the MIT License. Licensed under the Apache License, Version 2.0.", "The phone rang. The account was closed. Names are hard.", "The ID card is blue, the passport is red.", "A license number has eight signs, an account number ten.",
+    "Open a passport office account online or call us any day.", "Name the file first, then press Enter. The name is shown in the list.", "The company's name was changed in 1987 to Northern Rail.", "Dear Sir or Madam, please find the report enclosed.",
+    "Dear customer, your order number 48213 has left.", "Sincerely, The Team", "Regards from the coast. Signed and sealed, it was sent on 4 June 2011.", "Dr. and Mrs. are titles. Mr. is one too. Ms. also is.",
+    "Born in 1950, closed in 2004, the mill is a museum.", "Total: 1,024 units (512 x 2) at 3.50 each.", "On 12/05/2021 at 10:45 the train 1184 left from track 7.", "ISBN 978-3-16-148410-0, 240 pages, 19.99", "Part no. 300-114-22 fits model 88-A.",
+    "The ratio was 16:9, later 4:3. In 16 of 20 runs it failed.", "Tickets from 12-15 dollars, rooms from 80-120.", "Flight LH 456 lands at 18:20 in Los Angeles.", "Tel Aviv and San Francisco are cities. Cell walls are thick.",
+    "The fax machine broke. The mobile app is new. Dial tone lost.", "Professor means teacher. Named pipes are fast. Called twice, it returns once.", "if x > 10 and y < 20: return x * 100", "int main(void) { return 0; }  // version 2",
+    "Die Tage waren kurz und das Licht war grau. Niemand kam.", "Il faisait froid ce matin. Les rues sont vides. La mer est loin.", "El agua estaba clara. No vino nadie. Los campos son grandes.", "Chapter One. The Long Road. Part Two: Home Again.",
+    "Monday, March 4. Tuesday, April 12. Sunday.", "The United Nations met in Geneva. The Red Cross sent help to Haiti.", "Mount Everest is 8,849 m high; the Nile is 6,650 km long.", "## Heading ** bold ** and * list * of things | cells |",
+    "Press Ctrl+C, then F5. Use Ms. Office? No: use the Excel sheet.", "100 200 300 400 500 600", "3.14159 2.71828 1.41421", "Q1 2020, Q2 2020 and H1 2021 were weak.", "Win 5,000 points! Code SAVE20 ends 31 Dec.",
+    "Home News Sport Weather Shop Travel Culture Music Food Games Radio Video More Menu Search Help About Careers Privacy Terms Sitemap", "A Short Guide To Growing Roses And Herbs In Small Town Gardens",
+    "Monday Tuesday Wednesday Thursday Friday Saturday Sunday", "Red Red Red Red Red Red Red Red Red Blue Blue Blue Blue Blue Blue green green", "Buy Buy Buy Buy Buy Buy Buy Buy Buy Buy Buy now and save.",
+    "How The West Coast Lost Its Old Harbour Towns And What Came After The Great Storm Of Last Winter", "It ended. Was Was Was Was Was Was Was Was Was it so?", "Le Petit Journal Du Matin Et Du Soir Pour Tous Les Gens", "The End The End The End The End The End",
+    "Alabama Alaska Arizona Arkansas California Colorado Connecticut Delaware Florida Georgia Hawaii Idaho Illinois Indiana Iowa Kansas",
+)
+
+
+def labelled() -> list[str]:
+    """Lines of text with {label words} around personal data."""
+    pools = {"name": list(NAMES), "tel": list(TELS), "id": list(IDS)}
+
+    def slot(m: re.Match) -> str:
+        pool = pools[m[1]]
+        pool.append(pool.pop(0))
+        return "{" + m[1] + " " + pool[-1] + "}"
+
+    return [re.sub(r"\{(\w+)\}", slot, form) for _ in range(3) for form in FORMS] + list(PLAIN)
 
 
 def shape(word: bytes) -> str:
@@ -189,7 +173,7 @@ class Field:
 
 def table() -> list[tuple[list[bytes], list[int]]]:
     out = []
-    for line in LABELLED:
+    for line in labelled():
         words, labels = [], []
         for part in re.findall(r"\{(\w+) ([^}]*)\}([^\s{]*)|([^\s{]+)", line):
             if part[0]:
@@ -203,6 +187,47 @@ def table() -> list[tuple[list[bytes], list[int]]]:
     return out
 
 
+def gradient(unary: np.ndarray, moves: np.ndarray, f: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log likelihood of the labels and its gradients, by the forward and backward sums of all lines at once.
+
+    ``f`` (places of the window, lines, words) holds features, ``y`` labels, and ``real`` tells words from padding.
+    """
+    total = lambda x, axis: np.log(np.exp(x - (top := x.max(axis, keepdims=True))).sum(axis)) + top.squeeze(axis)
+    u = sum(unary[k][f[k]] for k in range(len(f)))
+    ahead, behind = u.copy(), np.zeros_like(u)
+    n = u.shape[1]
+    for t in range(1, n):
+        ahead[:, t] = np.where(real[:, t, None], u[:, t] + total(ahead[:, t - 1, :, None] + moves, 1), ahead[:, t - 1])
+    for t in range(n - 2, -1, -1):
+        behind[:, t] = np.where(real[:, t + 1, None], total(moves + (u[:, t + 1] + behind[:, t + 1])[:, None], 2), 0)
+    z = total(ahead[:, -1], 1)
+    at, word = np.nonzero(real)
+    missed = -np.exp(ahead + behind - z[:, None, None])[at, word]
+    score = u[at, word, y[at, word]].sum() - z.sum()
+    missed[np.arange(len(at)), y[at, word]] += 1
+    du, dm = np.zeros_like(unary), np.zeros_like(moves)
+    for k in range(len(f)):
+        np.add.at(du[k], f[k][at, word], missed)
+    for t in range(1, n):
+        on = real[:, t]
+        dm -= np.exp(ahead[on, t - 1, :, None] + moves + (u[on, t] + behind[on, t])[:, None] - z[on, None, None]).sum(0)
+        np.add.at(dm, (y[on, t - 1], y[on, t]), 1)
+        score += moves[y[on, t - 1], y[on, t]].sum()
+    return float(score), du, dm
+
+
+def padded(data: list[tuple[list[bytes], list[int]]], shapes: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features in the window, labels and which words are real; each line also by coarse shapes, for shapes that the table lacks."""
+    lines = [([shapes[x if x in CUES else level(x)] for x in map(shape, words)], labels) for words, labels in data for level in (str, coarse)]
+    n = max(len(y) for _, y in lines)
+    f, y, real = np.ones((len(WINDOW), len(lines), n), np.int64), np.zeros((len(lines), n), np.int64), np.zeros((len(lines), n), bool)
+    for i, (own, labels) in enumerate(lines):
+        y[i, : len(own)], real[i, : len(own)] = labels, True
+        for k, d in enumerate(WINDOW):
+            f[k, i, : len(own)] = [own[j + d] if 0 <= j + d < len(own) else 1 for j in range(len(own))]
+    return f, y, real
+
+
 @lru_cache(1)
 def trained(turns: int = 150, rate: float = 0.2, decay: float = 0.01) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
     """Shapes, unary weights and transitions of greatest penalised likelihood on the labelled table."""
@@ -214,33 +239,11 @@ def trained(turns: int = 150, rate: float = 0.2, decay: float = 0.01) -> tuple[d
                 shapes.setdefault(s, len(shapes))
     n = len(LABELS)
     unary, moves = np.zeros((len(WINDOW), len(shapes), n)), np.zeros((n, n))
-    lines = []
-    for words, labels in data:
-        for level in (lambda s: s, coarse):  # each line also by coarse shapes, for shapes that the table lacks
-            f = [shapes[level(shape(w))] if shape(w) not in CUES else shapes[shape(w)] for w in words]
-            lines.append((np.array([[f[i + d] if 0 <= i + d < len(f) else 1 for i in range(len(f))] for d in WINDOW]), np.array(labels)))
+    lines = padded(data, shapes)
     seen: list[np.ndarray] = [np.zeros_like(unary), np.zeros_like(moves)]
     for _ in range(turns):
-        du, dm = -decay * unary, -decay * moves
-        for f, y in lines:
-            u = sum(unary[k][f[k]] for k in range(len(WINDOW)))
-            a, b = np.zeros((len(y), n)), np.zeros((len(y), n))
-            a[0] = u[0]
-            for t in range(1, len(y)):
-                x = a[t - 1][:, None] + moves
-                a[t] = u[t] + np.log(np.exp(x - x.max()).sum(0)) + x.max()
-            for t in range(len(y) - 2, -1, -1):
-                x = moves + (u[t + 1] + b[t + 1])[None]
-                b[t] = np.log(np.exp(x - x.max()).sum(1)) + x.max()
-            z = np.log(np.exp(a[-1] - a[-1].max()).sum()) + a[-1].max()
-            p = -np.exp(a + b - z)
-            p[np.arange(len(y)), y] += 1
-            for k in range(len(WINDOW)):
-                np.add.at(du[k], f[k], p)
-            for t in range(1, len(y)):
-                dm -= np.exp(a[t - 1][:, None] + moves + (u[t] + b[t])[None] - z)
-                dm[y[t - 1], y[t]] += 1
-        for x, d, g in ((unary, du, seen[0]), (moves, dm, seen[1])):
+        _, du, dm = gradient(unary, moves, *lines)
+        for x, d, g in ((unary, du - decay * unary, seen[0]), (moves, dm - decay * moves, seen[1])):
             g += d * d
             x += rate * d / (np.sqrt(g) + 1e-8)
     for i, a in enumerate(LABELS):
