@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +16,21 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    gone = saved(minhash.near_duplicates(docs.select("doc_id", "text")).where("not kept").select("doc_id").distinct(), "near-gone")
-    return docs.join(bounded(gone), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One document of each group of near-duplicates. Rows without a doc_id are not compared and stay.
+
+    Rows are told apart by doc_id and text, so a doc_id may stand for several texts; of rows equal in both,
+    one that any order may pick stays.
+    """
+    found = saved(minhash.grouped(docs.select("doc_id", "text")), "near-groups")
+    key = [F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key)
+    gone = saved(found.where(~F.col("first")).select("id", "hash").distinct(), "near-gone")
+    many = saved(found.where(F.col("first") & F.col("id").isNotNull()).groupBy("id", "hash").count().where("count > 1").select("id", "hash"), "near-many")
+    left = rows.join(bounded(gone), ["id", "hash"], "left_anti")
+    if not many.isEmpty():
+        again = left.join(bounded(many), ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
+        left = left.join(bounded(many), ["id", "hash"], "left_anti").unionByName(again)
+    return left.select("row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,35 +39,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return clean.withColumn("n_chars", F.length("text").cast(clean.schema["n_chars"].dataType)) if "n_chars" in clean.columns else clean
 
 
-def drawn(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """A row for each pass that takes words of a document, with the text of those words and its other columns."""
-    rows, texts = [], []
-    get = lambda n: batch.column(batch.schema.get_field_index(n)).to_pylist()
-    for i, (text, size, pieces) in enumerate(zip(get("text"), get("size"), get("pieces"))):
-        words = None
-        for epoch in sorted({p["epoch"] for p in pieces}):
-            runs: list[list[int]] = []
-            for p in sorted((p for p in pieces if p["epoch"] == epoch), key=lambda p: p["start"]):
-                if runs and runs[-1][1] == p["start"]:
-                    runs[-1][1] += p["words"]
-                else:
-                    runs.append([p["start"], p["start"] + p["words"]])
-            rows.append(i)
-            if runs == [[0, size]]:
-                texts.append(text)
-                continue
-            words = words or [m.span() for m in pii.WORD.finditer(text)]
-            texts.append("\n".join(text[words[a][0] : words[b - 1][1]] for a, b in runs))
-    rest = batch.column(batch.schema.get_field_index("rest")).take(pa.array(rows, pa.int64()))
-    return pa.RecordBatch.from_arrays([rest, pa.array(texts, pa.string())], names=["rest", "text"])
-
-
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes: a row for each pass over a document, with the words taken in it."""
-    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")
-    slim = docs.select(rest, "text", "doc_id", "source")
-    out = mixing.mix(slim, keep=["rest", "text"], each=drawn, fields=slim.select("rest", "text").schema)
-    out = out.select(*[F.col("text") if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns])
+    """What the mix takes, by output shard in shuffled order: a row for each document, pass and shard, with the words taken."""
+    out = mixing.mixed_texts(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
