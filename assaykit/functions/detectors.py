@@ -20,29 +20,52 @@ BOOLEANS = {"true": True, "yes": True, "y": True, "oui": True, "vrai": True, "fa
 MONTHS = {
     "january": 1, "february": 2, "march": 3, "april": 4, "may": 5, "june": 6, "july": 7, "august": 8, "september": 9, "october": 10, "november": 11, "december": 12,
     "jan": 1, "feb": 2, "mar": 3, "apr": 4, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "sept": 9, "oct": 10, "nov": 11, "dec": 12,
-    "janvier": 1, "février": 2, "mars": 3, "avril": 4, "mai": 5, "juin": 6, "juillet": 7, "août": 8, "septembre": 9, "octobre": 10, "novembre": 11, "décembre": 12,
+    "janvier": 1, "février": 2, "fevrier": 2, "mars": 3, "avril": 4, "mai": 5, "juin": 6, "juillet": 7, "août": 8, "aout": 8, "septembre": 9, "octobre": 10, "novembre": 11, "décembre": 12, "decembre": 12,
+    "janv": 1, "févr": 2, "fevr": 2, "avr": 4, "juil": 7, "déc": 12,
 }
-CURRENCIES = ("USD", "EUR", "GBP", "CAD", "AUD", "CHF", "JPY", "CNY", "INR", "MXN", "BRL", "SEK", "NOK", "DKK", "NZD")
-SYMBOLS = r"[$€£¥₹]"
+# ISO 4217, list one, and codes replaced since 2023 that data still hold.
+CURRENCIES = tuple(
+    """
+    AED AFN ALL AMD ANG AOA ARS AUD AWG AZN BAM BBD BDT BGN BHD BIF BMD BND
+    BOB BRL BSD BTN BWP BYN BZD CAD CDF CHF CLP CNY COP CRC CUP CVE CZK DJF
+    DKK DOP DZD EGP ERN ETB EUR FJD FKP GBP GEL GHS GIP GMD GNF GTQ GYD HKD
+    HNL HRK HTG HUF IDR ILS INR IQD IRR ISK JMD JOD JPY KES KGS KHR KMF KPW
+    KRW KWD KYD KZT LAK LBP LKR LRD LSL LYD MAD MDL MGA MKD MMK MNT MOP MRU
+    MUR MVR MWK MXN MYR MZN NAD NGN NIO NOK NPR NZD OMR PAB PEN PGK PHP PKR
+    PLN PYG QAR RON RSD RUB RWF SAR SBD SCR SDG SEK SGD SHP SLE SLL SOS SRD
+    SSP STN SVC SYP SZL THB TJS TMT TND TOP TRY TTD TWD TZS UAH UGX USD UYU
+    UZS VED VES VND VUV WST XAF XCD XCG XOF XPF YER ZAR ZMW ZWG ZWL
+    """.split()
+)
+SYMBOLS = r"(?:CA\$|C\$|US\$|[$€£¥])"
+ORDINALS = ("er", "re", "e", "ème", "eme", "nd", "nde", "st", "rd", "th")
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, and out of the generated method of the row, which long branches would fill."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def result(state: str | Column, form: str | Column, value: Column | None = None, reason: str | Column | None = None) -> Column:
     as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return F.struct(as_column(state).alias("state"), as_column(form).alias("format"), (F.lit(None) if value is None else value).cast("string").alias("value"), as_column(reason).cast("string").alias("reason"))
+    return F.struct(as_column(state).alias("state"), as_column(form).cast("string").alias("format"), (F.lit(None) if value is None else value).cast("string").alias("value"), as_column(reason).cast("string").alias("reason"))
 
 
 def number(v: Column) -> Column:
     """Strict integers and numbers, then thousands and decimal comma; ambiguous if both readings differ (1,234)."""
-    squeezed = F.regexp_replace(v, r"[\x20\xa0 ]", "")
-    as_dot, as_comma = F.regexp_replace(squeezed, ",", ""), F.regexp_replace(F.regexp_replace(squeezed, r"\.", ""), ",", ".")
-    dot, comma = v.rlike(DOT), v.rlike(COMMA)
-    return (
-        F.when(v.rlike(INTEGER), result("matched", "integer", v))
-        .when(v.rlike(NUMBER), result("matched", "number", v))
-        .when(dot & comma & (as_dot != as_comma), result("ambiguous", "number", None, "dot_or_comma"))
-        .when(dot, result("matched", "dot", as_dot))
-        .when(comma, result("matched", "comma", as_comma))
-    )
+    squeezed = lambda x: F.regexp_replace(x, r"[\x20\xa0 ]", "")
+    as_dot = lambda x: F.regexp_replace(squeezed(x), ",", "")
+    as_comma = lambda x: F.regexp_replace(F.regexp_replace(squeezed(x), r"\.", ""), ",", ".")
+
+    def grouped(s: Column) -> Column:
+        return (
+            F.when(s["dot"] & s["comma"] & (as_dot(s["v"]) != as_comma(s["v"])), result("ambiguous", "number", None, "dot_or_comma"))
+            .when(s["dot"], result("matched", "dot", as_dot(s["v"])))
+            .when(s["comma"], result("matched", "comma", as_comma(s["v"])))
+        )
+
+    like = F.struct(v.alias("v"), v.rlike(DOT).alias("dot"), v.rlike(COMMA).alias("comma"))
+    return F.when(v.rlike(INTEGER), result("matched", "integer", v)).when(v.rlike(NUMBER), result("matched", "number", v)).when(v.rlike(r"^[+-]?[0-9][0-9.,\x20\xa0 ]*[0-9]$"), let(like, grouped))
 
 
 def number_value(v: Column, convention: str | None = None) -> Column:
@@ -69,45 +92,114 @@ def real_date(y: Column, m: Column, d: Column) -> Column:
     return F.when((y >= 1) & m.between(1, 12) & d.between(1, last), F.make_date(y, m, d))
 
 
-def date(v: Column) -> Column:
-    """Numeric dates by order, ISO date-times, times and month names; ambiguous if day and month can be swapped."""
-    g = lambda p, i: F.regexp_extract(v, p, i)
-    num = lambda p, i: F.nullif(g(p, i), F.lit("")).try_cast("int")
-    ymd = r"^([0-9]{4})([-./])([0-9]{1,2})\2([0-9]{1,2})$"
-    dmy = r"^([0-9]{1,2})([-./])([0-9]{1,2})\2([0-9]{4})$"
-    iso = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})[T ]([0-9]{2}):([0-9]{2})(?::([0-9]{2})(?:\.[0-9]{1,9})?)?(Z|[+-][0-9]{2}:?[0-9]{2})?$"
-    clock = r"^([0-9]{2}):([0-9]{2})(?::([0-9]{2}))?$"
-    words = r"^([0-9]{1,2}) ([\p{L}]+)\.?,? ([0-9]{4})$"
-    months = r"^([\p{L}]+)\.? ([0-9]{1,2}),? ([0-9]{4})$"
+YMD = r"^[0-9]{4}([-./])[0-9]{1,2}\1[0-9]{1,2}$"
+DMY = r"^[0-9]{1,2}([-./])[0-9]{1,2}\1[0-9]{4}$"
+ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?(Z|[+-][0-9]{2}(:?[0-9]{2})?)?$"
+CLOCK = r"^[0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?$"
+DAY_NAME = r"^[0-9]{1,2}(?i:er)? [\p{L}]+\.?,? [0-9]{4}$"
+NAME_DAY = r"^[\p{L}]+\.? [0-9]{1,2},? [0-9]{4}$"
+
+
+def date_pieces(v: Column) -> Column:
+    """form, the numbers of the text in order (p), its month name as a number, and the text."""
+    form = F.when(v.rlike(YMD), "ymd").when(v.rlike(DMY), "dmy").when(v.rlike(ISO), "iso").when(v.rlike(CLOCK), "time").when(v.rlike(DAY_NAME), "day_month_name").when(v.rlike(NAME_DAY), "month_name_day")
+    form = form.when(v.rlike(r"^[0-9]{1,4}[-./][0-9]{1,2}[-./][0-9]{1,4}$"), "odd")
+    digits = F.transform(F.regexp_extract_all(v, F.lit("([0-9]{1,9})")), lambda x: x.try_cast("int"))
+    names = F.create_map(*[x for k, n in MONTHS.items() for x in (F.lit(k), F.lit(n))])
+    word = F.lower(F.regexp_extract(v, r"([\p{L}]{3,})", 1))
+    return F.struct(v.alias("v"), form.alias("form"), digits.alias("p"), F.when(word != "", F.element_at(names, word)).alias("month"))
+
+
+def readings(s: Column) -> Column:
+    """The pieces with the date as the text has it (day first for DMY) and, for DMY, the other way round."""
+    form, p = s["form"], s["p"]
+    at = lambda i: F.get(p, F.lit(i))
+    named = form.isin("day_month_name", "month_name_day")
+    first = F.struct(
+        F.when(form.isin("ymd", "iso"), at(0)).when(form == "dmy", at(2)).when(named, at(1)).alias("y"),
+        F.when(form.isin("ymd", "iso", "dmy"), at(1)).when(named, s["month"]).alias("m"),
+        F.when(form.isin("ymd", "iso"), at(2)).when(form == "dmy", at(0)).when(named, at(0)).alias("d"),
+    )
+    day = let(first, lambda x: real_date(x["y"], x["m"], x["d"]))
+    other = F.when(form == "dmy", let(F.struct(at(2).alias("y"), at(0).alias("m"), at(1).alias("d")), lambda x: real_date(x["y"], x["m"], x["d"])))
+    return F.struct(s["v"].alias("v"), form.alias("form"), p.alias("p"), s["month"].alias("month"), day.alias("day"), other.alias("other"))
+
+
+def dated(s: Column) -> Column:
+    form, day, other = s["form"], s["day"], s["other"]
     bad = lambda kind: result("invalid", kind, None, "invalid_calendar_date")
-    made = lambda d, kind: F.when(d.isNotNull(), result("matched", kind, d)).otherwise(bad(kind))
-    first, second = real_date(num(dmy, 4), num(dmy, 3), num(dmy, 1)), real_date(num(dmy, 4), num(dmy, 1), num(dmy, 3))
     numeric = (
-        F.when(first.isNotNull() & second.isNotNull() & (first != second), result("ambiguous", "dmy_or_mdy", None, "day_or_month_first"))
-        .when(first.isNotNull() & second.isNotNull(), result("matched", "same_day", first))
-        .when(first.isNotNull(), result("matched", "dmy", first))
-        .when(second.isNotNull(), result("matched", "mdy", second))
+        F.when(day.isNotNull() & other.isNotNull() & (day != other), result("ambiguous", "dmy_or_mdy", None, "day_or_month_first"))
+        .when(day.isNotNull() & other.isNotNull(), result("matched", "same_day", day))
+        .when(day.isNotNull(), result("matched", "dmy", day))
+        .when(other.isNotNull(), result("matched", "mdy", other))
         .otherwise(bad("dmy_or_mdy"))
     )
-    hour_ok = lambda p, h, m, s: (num(p, h) <= 23) & (num(p, m) <= 59) & (F.coalesce(num(p, s), F.lit(0)) <= 59)
-    day = real_date(num(iso, 1), num(iso, 2), num(iso, 3))
-    kind = F.when(g(iso, 7) == "", "datetime_naive").otherwise("datetime_aware")
-    stamp = F.when(day.isNull(), result("invalid", kind, None, "invalid_calendar_date")).when(hour_ok(iso, 4, 5, 6), result("matched", kind, v)).otherwise(result("invalid", kind, None, "invalid_time"))
-    month = F.create_map(*[x for k, n in MONTHS.items() for x in (F.lit(k), F.lit(n))])
-    named = lambda p, y, m, d: real_date(num(p, y), F.element_at(month, F.lower(g(p, m))), num(p, d))
-    known = lambda p, m: F.element_at(month, F.lower(g(p, m))).isNotNull()
+    clock = lambda i: (F.get(s["p"], F.lit(i)) <= 23) & (F.get(s["p"], F.lit(i + 1)) <= 59)
+    second = lambda i: F.when(s["v"].rlike(":[0-9]{2}:"), F.get(s["p"], F.lit(i)) <= 59).otherwise(True)
+    kind = F.when(s["v"].rlike(r"[0-9]:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?(Z|[+-][0-9:]+)$"), "datetime_aware").otherwise("datetime_naive")
+    stamp = F.when(day.isNull(), result("invalid", kind, None, "invalid_calendar_date")).when(clock(3) & second(5), result("matched", kind, s["v"])).otherwise(result("invalid", kind, None, "invalid_time"))
+    named = F.when(s["month"].isNotNull(), F.when(day.isNotNull(), result("matched", form, day)).otherwise(bad(form)))
     return (
-        F.when(~v.rlike("[0-9]"), None)
-        .when(v.rlike(ymd), made(real_date(num(ymd, 1), num(ymd, 3), num(ymd, 4)), "ymd"))
-        .when(v.rlike(dmy), numeric)
-        .when(v.rlike(iso), stamp)
-        .when(v.rlike(clock), F.when(hour_ok(clock, 1, 2, 3), result("matched", "time", v)).otherwise(result("invalid", "time", None, "invalid_time")))
-        .when(v.rlike(words) & known(words, 2), made(named(words, 3, 2, 1), "day_month_name"))
-        .when(v.rlike(months) & known(months, 1), made(named(months, 3, 1, 2), "month_name_day"))
-        .when(v.rlike(r"^[0-9]{1,4}[-./][0-9]{1,2}[-./][0-9]{1,4}$"), result("invalid", "date", None, "mixed_separators"))
+        F.when(form == "ymd", F.when(day.isNotNull(), result("matched", "ymd", day)).otherwise(bad("ymd")))
+        .when(form == "dmy", numeric)
+        .when(form == "iso", stamp)
+        .when(form == "time", F.when(clock(0) & second(2), result("matched", "time", s["v"])).otherwise(result("invalid", "time", None, "invalid_time")))
+        .when(form.isin("day_month_name", "month_name_day"), named)
+        .when(form == "odd", result("invalid", "date", None, "mixed_separators"))
     )
 
 
+def date(v: Column) -> Column:
+    """Numeric dates by order, ISO date-times, times and month names; ambiguous if day and month can be swapped."""
+    like = v.rlike(r"[0-9]") & (F.length(v) <= 40) & v.rlike(r"^[0-9\p{L}].*[0-9Z]$")
+    return F.when(like, let(let(date_pieces(v), readings), dated))
+
+
+def date_readings(v: Column) -> Column:
+    """struct(dmy, mdy) of a text that two orders of day and month fit; null for any other."""
+    both = let(let(date_pieces(v), readings), lambda s: F.when(s["day"].isNotNull() & s["other"].isNotNull() & (s["day"] != s["other"]), F.struct(s["day"].alias("dmy"), s["other"].alias("mdy"))))
+    return F.when(v.rlike(DMY), both)
+
+
+def date_evidence(values: DataFrame, value: str = "analytical", cnt: str = "cnt", least: int = 3) -> DataFrame:
+    """day_first, month_first, ambiguous and the order that they prove: ``least`` dates of one order and none of the other."""
+    d = date(F.col(value))
+    rows = values.select(d["format"].alias("f"), d["state"].alias("s"), F.col(cnt).alias("n"))
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("long")
+    got = rows.agg(total((F.col("f") == "dmy") & (F.col("s") == "matched")).alias("day_first"), total((F.col("f") == "mdy") & (F.col("s") == "matched")).alias("month_first"), total(F.col("s") == "ambiguous").alias("ambiguous"))
+    a, b = F.col("day_first"), F.col("month_first")
+    return got.withColumn("order", F.when((a >= least) & (b == 0), "DMY").when((b >= least) & (a == 0), "MDY"))
+
+
+def simulated(values: DataFrame, value: str = "analytical", cnt: str = "cnt") -> DataFrame:
+    """order, period (year and month), occurrences: the ambiguous dates of a field as each order reads them."""
+    rows = values.select(date_readings(F.col(value)).alias("r"), F.col(cnt).alias("n")).where("r is not null")
+    both = rows.select(F.explode(F.array(*[F.struct(F.lit(k.upper()).alias("order"), F.col(f"r.{k}").alias("d")) for k in ("dmy", "mdy")])).alias("x"), "n")
+    return both.groupBy(F.col("x.order").alias("order"), F.date_format("x.d", "yyyy-MM").alias("period")).agg(F.sum("n").cast("long").alias("occurrences"))
+
+
+def instant(v: Column) -> Column:
+    """Microseconds of a date, date-time or time of day from an origin of its kind, to put values of one kind in order.
+
+    A time with a zone is placed by its offset; texts that are none, or ambiguous, give null.
+    """
+
+    def placed(d: Column) -> Column:
+        kind, x = d["format"], d["value"]
+        text = F.regexp_replace(F.regexp_replace(x, " ", "T"), r"([+-][0-9]{2})([0-9]{2})$", "$1:$2")
+        text = F.regexp_replace(F.regexp_replace(text, r"(T.*[+-][0-9]{2})$", "$1:00"), r"(T[0-9]{2}:[0-9]{2})($|Z|[+-])", "$1:00$2")
+        aware = F.unix_micros(F.try_to_timestamp(F.when(kind == "datetime_aware", text)))
+        naive = F.unix_micros(F.try_to_timestamp(F.when(kind == "datetime_naive", F.concat(text, F.lit("Z")))))
+        parts = F.split(x, "[:.]")
+        clock = (parts[0].cast("long") * 60 + parts[1].cast("long")) * 60 + F.coalesce(F.get(parts, F.lit(2)).cast("long"), F.lit(0))
+        micros = clock * 1_000_000 + F.coalesce(F.rpad(F.get(parts, F.lit(3)), 6, "0").cast("long"), F.lit(0))
+        day = F.datediff(x.try_cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 86_400_000_000
+        return F.when(d["state"] == "matched", F.when(kind == "datetime_aware", aware).when(kind == "datetime_naive", naive).when(kind == "time", micros).otherwise(day))
+
+    return let(date(v), placed)
+
+
 def boolean(v: Column) -> Column:
     low = F.lower(v)
     return F.when(low.isin(*BOOLEANS), result("matched", F.when(low.isin("true", "false"), "true_false").when(low.isin("yes", "no"), "yes_no").when(low.isin("y", "n"), "y_n").when(low.isin("oui", "non"), "oui_non").otherwise("vrai_faux"), low.isin(*[k for k, b in BOOLEANS.items() if b])))
@@ -141,18 +233,38 @@ def url(v: Column) -> Column:
     )
 
 
+NANP = r"^(?:(?:\+1|1)[ .-]?)?(?:\(([0-9]{3})\) ?|([0-9]{3})[ .-]?)([0-9]{3})[ .-]?[0-9]{4}$"
+FRENCH = r"^(?:0|(?:\+33|0033)[ .-]?(?:\(0\) ?)?)([0-9])([ .-]?)[0-9]{2}(?:\2[0-9]{2}){3}$"
+KEPT_TRUNK = r"^(?:\+33|0033)[ .-]?0[0-9]([ .-]?)[0-9]{2}(?:\1[0-9]{2}){3}$"
+TOLL_FREE = ("800", "833", "844", "855", "866", "877", "888")
+
+
 def phone(v: Column) -> Column:
-    """North American and French numbers, national and international; the format shows digits as 9."""
-    form = F.regexp_replace(v, "[0-9]", "9")
-    nanp = r"^(\+?1[ .-]?)?(\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-]?)[2-9][0-9]{2}[ .-]?[0-9]{4}$"
-    french = r"^(\+33 ?|0033 ?|0)[1-9]([ .-]?[0-9]{2}){4}$"
-    like = r"^\+?[0-9(][0-9 ().-]{6,}[0-9]$"
+    """North American and French numbers, national and international; the format shows digits after a prefix as 9."""
     digits = F.length(F.regexp_replace(v, "[^0-9]", ""))
-    return (
-        F.when(v.rlike(nanp), result("matched", form, F.lit("NANP")))
-        .when(v.rlike(french), result("matched", form, F.lit("FR")))
-        .when(v.rlike(like) & v.rlike(r"[ ().+-]") & digits.between(7, 15) & ~v.rlike(r"^[0-9]+[.-][0-9]+$") & ~v.rlike(r"^[0-9]{1,4}[-.][0-9]{1,2}[-.][0-9]{1,4}$"), result("invalid", form, None, "unknown_plan"))
-    )
+    like = v.rlike(r"^[+(0-9][0-9 .()+-]{8,20}[0-9]$") & digits.between(10, 14)
+    form = lambda x, prefix: F.concat(F.regexp_extract(x, prefix, 0), F.regexp_replace(F.regexp_replace(x, prefix, ""), "[0-9]", "9"))
+    one = r"^(?:\+1|1(?=[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}$))?"
+    zero = r"^(?:(?:\+33|0033)(?:[ .-]?\(0\) ?)?|0)"
+    bad = lambda reason: result("invalid", None, None, reason)
+
+    def read(s: Column) -> Column:
+        x, area, exchange, zone = s["v"], s["area"], s["exchange"], s["zone"]
+        nanp = (area != "") & ~area.rlike("^[01]") & ~exchange.rlike("^[01]")
+        wrong = F.when(area.rlike("^[01]"), bad("invalid_area_code")).when(exchange.rlike("^[01]"), bad("invalid_exchange_code")).when(zone == "0", bad("invalid_leading_digit")).when(x.rlike(KEPT_TRUNK), bad("invalid_trunk_prefix"))
+        # what no form reads is told only for texts with more than digits
+        return F.when(nanp, result("matched", form(x, one), F.lit("NANP"))).when((zone != "") & (zone != "0"), result("matched", form(x, zero), F.lit("FR"))).when(~x.rlike("^[0-9]+$"), wrong)
+
+    area = F.concat(F.regexp_extract(v, NANP, 1), F.regexp_extract(v, NANP, 2))
+    pieces = F.struct(v.alias("v"), area.alias("area"), F.regexp_extract(v, NANP, 3).alias("exchange"), F.regexp_extract(v, FRENCH, 1).alias("zone"))
+    return F.when(like, let(pieces, read))
+
+
+def phone_class(v: Column) -> Column:
+    """fr_01 to fr_09 by zone, or nanp_toll_free, nanp_premium or nanp_geographic; null for what is no phone number."""
+    area = F.concat(F.regexp_extract(v, NANP, 1), F.regexp_extract(v, NANP, 2))
+    nanp = F.when(area.isin(*TOLL_FREE), "nanp_toll_free").when(area == "900", "nanp_premium").otherwise("nanp_geographic")
+    return let(phone(v), lambda p: F.when(p["state"] == "matched", F.when(p["value"] == "NANP", nanp).otherwise(F.concat(F.lit("fr_0"), F.regexp_extract(v, FRENCH, 1)))))
 
 
 def postal_code(v: Column) -> Column:
@@ -166,11 +278,18 @@ def postal_code(v: Column) -> Column:
 
 
 def currency(v: Column) -> Column:
-    codes = "|".join(CURRENCIES)
-    p = rf"^\(?([+-]?)(?:({SYMBOLS}|{codes})\s?)?([+-]?[0-9][0-9.,\x20\xa0]*?)(?:\s?({SYMBOLS}|{codes}))?\)?$"
-    before, amount, after = (F.regexp_extract(v, p, i) for i in (2, 3, 4))
-    n = number(amount)
-    return F.when(~v.rlike(rf"{SYMBOLS}|{codes}"), None).when((before == "") == (after == ""), None).when(n.isNotNull(), result(n["state"], F.when(before != "", "before").otherwise("after"), F.when(before != "", before).otherwise(after), n["reason"]))
+    """A number with a symbol or code before or after it, a sign, or in accounting brackets."""
+    mark = rf"{SYMBOLS}|[A-Z]{{3}}"
+    p = rf"^\(?([+-]?)({mark})?[\x20\xa0 ]?([+-]?[0-9.][0-9.,\x20\xa0 ]*?)[\x20\xa0 ]?({mark})?\)?$"
+    pieces = F.struct(*[F.regexp_extract(v, p, i).alias(n) for i, n in ((2, "before"), (3, "amount"), (4, "after"))], v.alias("v"))
+
+    def read(s: Column) -> Column:
+        known = lambda c: (F.length(c) < 3) | c.contains("$") | c.isin(*CURRENCIES)
+        one = ((s["before"] == "") != (s["after"] == "")) & known(s["before"]) & known(s["after"]) & (s["v"].startswith("(") == s["v"].endswith(")"))
+        marker, place = F.when(s["before"] != "", s["before"]).otherwise(s["after"]), F.when(s["before"] != "", "before").otherwise("after")
+        return F.when(one, let(number(s["amount"]), lambda n: F.when(n.isNotNull(), result(n["state"], place, marker, n["reason"]))))
+
+    return F.when(v.rlike(rf"{mark}") & v.rlike("[0-9]"), let(pieces, read))
 
 
 def percentage(v: Column) -> Column:
@@ -181,10 +300,14 @@ def percentage(v: Column) -> Column:
 
 def quantity(v: Column) -> Column:
     """A number and a unit of at most 12 letters that is no currency code and no ordinal ending."""
-    p = r"^([+-]?[0-9][0-9.,]*)\s?([\p{L}°²³/·]{1,12})$"
-    unit, n = F.regexp_extract(v, p, 2), number(F.regexp_extract(v, p, 1))
-    barred = unit.isin(*CURRENCIES) | F.lower(unit).isin("st", "nd", "rd", "th", "er", "e", "ème")
-    return F.when(~v.rlike(p) | barred, None).when(n.isNotNull(), result(n["state"], "quantity", unit, n["reason"]))
+    p = r"^([+-]?[0-9.][0-9.,]*)[\x20\xa0 ]?([\p{L}°][\p{L}°²³/·]{0,11})$"
+    pieces = F.struct(F.regexp_extract(v, p, 1).alias("amount"), F.regexp_extract(v, p, 2).alias("unit"))
+
+    def read(s: Column) -> Column:
+        barred = s["unit"].isin(*CURRENCIES) | F.lower(s["unit"]).isin(*ORDINALS) | s["unit"].rlike("[/·]$")
+        return F.when(~barred, let(number(s["amount"]), lambda n: F.when(n.isNotNull(), result(n["state"], "quantity", s["unit"], n["reason"]))))
+
+    return F.when(v.rlike(p), let(pieces, read))
 
 
 def uuid(v: Column) -> Column:
@@ -239,9 +362,9 @@ def register(name: str, detector: Callable[[Column], Column]) -> None:
 
 def family(v: Column) -> Column:
     """integer, number, date, boolean or text: the technical family of a content string."""
-    n, d = number(v), date(v)
-    day = d["format"].isin("ymd", "dmy", "mdy", "same_day", "dmy_or_mdy", "day_month_name", "month_name_day") & (d["state"] != "invalid")
-    return F.when(n["format"] == "integer", "integer").when(n.isNotNull(), "number").when(day, "date").when(F.lower(v).isin("true", "false"), "boolean").when(v.isNotNull(), "text")
+    day = lambda d: (d["state"] != "invalid") & d["format"].isin("ymd", "dmy", "mdy", "same_day", "dmy_or_mdy", "day_month_name", "month_name_day")
+    both = lambda n: F.when(n["format"] == "integer", "integer").when(n.isNotNull(), "number")
+    return F.coalesce(let(number(v), both), F.when(let(date(v), day), F.lit("date")), F.when(F.lower(v).isin("true", "false"), "boolean"), F.when(v.isNotNull(), "text"))
 
 
 def coverage(values: DataFrame, detector: str | Callable[[Column], Column], value: str = "analytical", cnt: str = "cnt") -> DataFrame:

@@ -151,3 +151,8 @@ def name_tokens(name: str) -> list[str]:
 
     bare = "".join(c for c in unicodedata.normalize("NFD", name) if unicodedata.category(c) != "Mn")
     return [x.lower() for x in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", bare)]
+
+
+def feature(value: Column, which: str) -> Column:
+    """What a table of categories counts of a value: prefix (two characters), length, pattern (its shape) or value."""
+    return {"prefix": F.substring(value, 1, 2), "length": F.length(value).cast("string"), "pattern": shape(value), "value": value}[which]

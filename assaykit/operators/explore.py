@@ -16,9 +16,10 @@ from assaykit.functions import normalize
 from assaykit.operators.relations import pearson, rounded
 from assaykit.operators.values import value_table
 
-IDENTIFIER_TOKENS = frozenset({"id", "key", "uuid", "guid", "code", "number", "no", "ref"})
+# Words of names that suggest an identifier.
+IDENTIFIER_TOKENS = frozenset({"id", "uid", "uuid", "guid", "key", "code", "ref", "reference", "no", "num", "number"})
 #: Most distinct values of a category, and the least share of distinct values of an identifier.
-CATEGORIES, UNIQUE = 50, 0.99
+CATEGORIES, UNIQUE = 50, 0.9
 
 
 def facts(df: DataFrame) -> DataFrame:

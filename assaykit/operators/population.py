@@ -96,35 +96,52 @@ def latent(labelled: DataFrame, key: str, seed: str = "42") -> DataFrame:
     return out.withColumn("latent_risk_score", F.round(100 + 800 * (1 - F.col("latent_fraud_probability")), 1))
 
 
-def malformed(df: DataFrame, record: str, rows: int = 100) -> DataFrame:
-    """scenario, content: the CSV text of the first ``rows`` records, broken in four ways, for tests of readers.
-
-    corrupted_separators: of each five records the second has five separators too many and the
-    fourth only the first half of its cells. truncated_lines: the last record ends after 15
-    characters, without a line end. unclosed_quotes: the third record opens a quote in its second
-    cell. invalid_encoding: bytes that are no UTF-8 after the ninth byte of the first record.
+#: Faults by name: kind, and which records (record number of the file modulo ``every`` equal to ``at``) it hits, and how much.
+FAULTS = {
+    "wide_rows": {"kind": "wide", "every": 7, "at": 3, "cells": 2},
+    "narrow_rows": {"kind": "narrow", "every": 9, "at": 4, "cells": 1},
+    "open_quotes": {"kind": "quote", "every": 11, "at": 5},
+    "stray_bytes": {"kind": "bytes", "at": 6, "payload": "c328"},
+    "cut_file": {"kind": "cut", "characters": 4},
+}
+
+
+def malformed(df: DataFrame, record: str, faults: dict[str, dict] = FAULTS, rows: int = 50) -> DataFrame:
+    """scenario, content: the CSV text of the first ``rows`` records with one fault each, for tests of readers.
+
+    wide adds cells to a record and narrow drops its last ones (at least one stays); quote opens a quote before its first
+    cell and never closes it; bytes puts bytes that are no UTF-8 (``payload``, in hex) before the record ``at``; cut
+    leaves out the last characters of the file. Missing cells are empty. An empty table gives no rows.
     """
     first = df.orderBy(record).limit(rows)  # what the feature is: a small file
     cells = F.array(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns])
-    all_lines = first.agg(F.array_sort(F.collect_list(F.struct(F.col(record).alias("k"), cells.alias("c")))).alias("r")).select(F.transform("r", lambda x: x["c"]).alias("r"))
-    plain = lambda x: F.array_join(x, ",")
-    n, r = F.size("r"), F.col("r")
-    wrong = F.transform(r, lambda x, i: F.when(i % 5 == 1, F.concat(plain(x), F.lit(",,,,,"))).when(i % 5 == 3, plain(F.slice(x, 1, F.greatest(F.lit(1), F.floor(F.size(x) / 2).cast("int"))))).otherwise(plain(x)))
-    cut = F.transform(r, lambda x, i: F.when(i == n - 1, F.substring(plain(x), 1, 15)).otherwise(plain(x)))
-    rest = lambda x: F.when(F.size(x) > 1, F.concat(x[0], F.lit(',"UNCLOSED_QUOTE_START_'), plain(F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(1)))))).otherwise(F.concat(F.lit('"'), plain(x)))
-    opened = F.transform(r, lambda x, i: F.when(i == 2, rest(x)).otherwise(plain(x)))
-    header = F.lit(",".join(df.columns) + "\n")
-    text = lambda a, end="\n": F.concat(header, F.array_join(a, "\n"), F.lit(end)).cast("binary")
-    whole, at = text(F.transform(r, plain)), len((",".join(df.columns) + "\n").encode()) + 9
-    bad = F.concat(F.substring(whole, 1, at), F.lit(b"\xff\xfe\x80\xc0"), F.substring(whole, F.lit(at + 1), F.length(whole)))
-    made = {"corrupted_separators": text(wrong), "truncated_lines": text(cut, ""), "unclosed_quotes": text(opened), "invalid_encoding": bad}
-    return all_lines.where(n > 0).select(F.explode(F.array(*[F.struct(F.lit(k).alias("scenario"), v.alias("content")) for k, v in made.items()])).alias("x")).select("x.*")
-
-
-def write_malformed(df: DataFrame, record: str, folder: str, rows: int = 100) -> list[str]:
+    lines = first.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(record).alias("k"), cells.alias("c")))), lambda x: x["c"]).alias("r")).where(F.size("r") > 0)
+    head = ",".join(df.columns) + "\n"
+
+    def line(c: Column, i: Column, f: dict) -> Column:
+        hit = i % f.get("every", 1) == f.get("at", 0)
+        if f["kind"] == "wide":
+            c = F.when(hit, F.concat(c, F.array_repeat(F.lit("more"), f["cells"]))).otherwise(c)
+        if f["kind"] == "narrow":
+            c = F.when(hit, F.slice(c, F.lit(1), F.greatest(F.size(c) - f["cells"], F.lit(1)))).otherwise(c)
+        text = F.concat(F.array_join(c, ","), F.lit("\n"))
+        return F.when(hit, F.concat(F.lit('"'), text)).otherwise(text) if f["kind"] == "quote" else text
+
+    def content(f: dict) -> Column:
+        text = F.transform("r", lambda c, i: line(c, i, f))
+        if f["kind"] == "bytes":
+            part = lambda a, n: F.array_join(F.slice(text, F.lit(a), n), "").cast("binary")
+            return F.concat(F.lit(head).cast("binary"), part(1, F.lit(f["at"])), F.unhex(F.lit(f["payload"])), part(f["at"] + 1, F.size("r")))
+        whole = F.concat(F.lit(head), F.array_join(text, ""))
+        return (F.substring(whole, F.lit(1), F.length(whole) - f["characters"]) if f["kind"] == "cut" else whole).cast("binary")
+
+    return lines.select(F.explode(F.array(*[F.struct(F.lit(k).alias("scenario"), content(f).alias("content")) for k, f in faults.items()])).alias("x")).select("x.*")
+
+
+def write_malformed(df: DataFrame, record: str, folder: str, faults: dict[str, dict] = FAULTS, rows: int = 50) -> list[str]:
     """Write each text of ``malformed`` as one file of the folder; their paths."""
     paths = []
-    for r in malformed(df, record, rows).collect():
-        paths.append(f"{folder.rstrip('/')}/malformed_{r.scenario}.csv")
+    for r in malformed(df, record, faults, rows).collect():
+        paths.append(f"{folder.rstrip('/')}/{r.scenario}.csv")
         readers.write_bytes(df.sparkSession, paths[-1], bytes(r.content))
     return paths

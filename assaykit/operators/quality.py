@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.functions import detectors, normalize
-from assaykit.operators.values import described, profile, value_table
+from assaykit.operators.ranges import cut
+from assaykit.operators.rows import duplicate_stats
+from assaykit.operators.values import analysed, profile, technical_type, value_table
 
 CONTACT = ("email", "phone", "postal_code", "url", "ip_address", "uuid")
 #: Words of field names and the type they hint at.
@@ -35,34 +37,58 @@ def text_type(median: Column) -> Column:
     return F.when(median <= 5, "code").when(median <= 20, "short_text").when(median <= 50, "label").when(median <= 255, "text").otherwise("long_text")
 
 
-def measured(df: DataFrame) -> DataFrame:
-    """Per field: what classification and findings need, in one aggregation over distinct values."""
-    lvt = described(value_table(df))
-    states = {n: detectors.DETECTORS[n](F.col("analytical")) for n in ("number", "date", *CONTACT)}
-    lvt = lvt.withColumns({f"_{n}": F.when(F.col("native_type") == "string", s["state"]) for n, s in states.items()})
-    cnt, content = F.col("cnt"), F.col("category") == "content"
+def measured(values: DataFrame) -> DataFrame:
+    """Per field: what classification and findings need, in one aggregation over the distinct values of ``analysed``."""
+    is_text, cnt, content = F.col("native_type") == "string", F.col("cnt"), F.col("category") == "content"
+    states = {n: detectors.let(detectors.DETECTORS[n](F.col("analytical")), lambda r: r["state"]) for n in CONTACT}
+    states["number"] = detectors.let(detectors.number(F.col("analytical")), lambda r: r["state"])
+    day = detectors.let(detectors.date(F.col("analytical")), lambda r: F.struct(r["state"].alias("state"), r["format"].alias("format")))
+    seen = values.withColumns({f"_{n}": F.when(is_text & content, s) for n, s in states.items()} | {"_day": F.when(is_text & content, day)})
     total = lambda c: F.coalesce(F.sum(F.when(c, cnt)), F.lit(0)).cast("long")
-    raw = F.col("raw")
     aggs = [total(F.col(f"_{n}") == s).alias(f"{n}_{s}") for n in states for s in ("matched", "ambiguous", "invalid")]
-    trimmed = normalize.trim(raw)
-    return lvt.groupBy("field", "native_type").agg(
-        F.sum("cnt").cast("long").alias("positions"), total(content).alias("present"), F.count_distinct("analytical").alias("distinct_values"), F.percentile("length", 0.5, F.when(content, cnt).otherwise(0)).alias("median_length"),
+    aggs += [total(F.col("_day.state") == s).alias(f"date_{s}") for s in ("matched", "ambiguous", "invalid")]
+    aggs += [total((F.col("_day.state") == "matched") & (F.col("_day.format") == f)).alias(n) for f, n in (("dmy", "day_first"), ("mdy", "month_first"))]
+    return seen.groupBy("field", "position", "native_type").agg(
+        F.sum("cnt").cast("long").alias("positions"), total(content).alias("present"), total(content & is_text).alias("strings"), *[total(F.col("category") == c).alias(f"n_{c}") for c in ("null", "empty", "blank", "marker")],
+        F.count("analytical").alias("distinct_values"), F.percentile("length", 0.5, F.when(content, cnt).otherwise(0)).alias("median_length"),
         *[total(F.col("family") == f).alias(f"as_{f}") for f in ("integer", "number", "date", "boolean", "text")], *aggs,
-        total(content & (raw != trimmed)).alias("surrounding"), total(content & (trimmed != normalize.collapse(trimmed))).alias("repeated"),
+        F.coalesce(F.sum(F.when(is_text, F.col("trimmed"))), F.lit(0)).cast("long").alias("surrounding"), F.coalesce(F.sum(F.when(is_text, F.col("collapsed"))), F.lit(0)).cast("long").alias("repeated"),
     )
 
 
+def stand_outs(values: DataFrame) -> DataFrame:
+    """field, kind, count, of, for all fields at once: variant_groups (groups of spellings, of nothing), minority_pattern
+    (distinct values off a shape that 80 % have) and minority_length (strings off a length that 95 % of 20 or more have)."""
+    text = values.where("category = 'content' and native_type = 'string'")
+    keys = text.groupBy("field", normalize.comparison_key(F.col("analytical")).alias("k")).agg(F.sum("raws").alias("n")).where("n >= 2")
+    variants = keys.groupBy("field").agg(F.count("*").alias("count")).select("field", F.lit("variant_groups").alias("kind"), "count", F.lit(None).cast("long").alias("of"))
+    shapes = text.groupBy("field", normalize.shape(F.col("analytical")).alias("k")).agg(F.count("*").alias("n"))
+    lengths = text.groupBy("field", F.col("length").alias("k")).agg(F.sum("cnt").alias("n"))
+
+    def rest(counts: DataFrame, kind: str, least: float, digits: int | None, values_least: int, each: bool) -> DataFrame:
+        share = lambda n: n / F.col("all") if digits is None else F.round(n / F.col("all"), digits)
+        whole = counts.groupBy("field").agg(F.sum("n").alias("all"), F.max("n").alias("top"), F.count("*").alias("kinds"))
+        whole = whole.where((F.col("kinds") > 1) & (F.col("all") >= values_least) & (share(F.col("top")) >= least))
+        few = counts.join(whole, "field").where((F.col("n") < F.col("top")) & (share(F.col("n")) <= 0.05)) if each else counts.join(whole, "field").where(F.col("n") < F.col("top"))
+        return few.groupBy("field", "all").agg(F.sum("n").cast("long").alias("count")).select("field", F.lit(kind).alias("kind"), "count", F.col("all").cast("long").alias("of"))
+
+    return variants.unionByName(rest(shapes, "minority_pattern", 0.8, 4, 1, True)).unionByName(rest(lengths, "minority_length", 0.95, None, 20, False))
+
+
 def classify(df: DataFrame, share: float = 0.95) -> DataFrame:
     """field, family, type, hint, role: credible detectors first, then technical type, then distinct values and length."""
-    m = measured(df)
+    return classified(measured(analysed(df)), df.columns, share)
+
+
+def classified(m: DataFrame, fields: list[str], share: float = 0.95) -> DataFrame:
     n = F.col("present")
     contact = F.coalesce(*[F.when((n > 0) & (F.col(f"{c}_matched") >= share * n), c) for c in CONTACT])
     numeric = F.col("as_integer") + F.col("as_number") >= share * n
     few = (F.col("distinct_values") <= 49) & (n >= 10 * F.col("distinct_values"))
     kind = F.when(n == 0, "empty").when(contact.isNotNull(), contact).when(F.col("date_matched") + F.col("date_ambiguous") >= share * n, "date").when(numeric, F.when(F.col("as_integer") >= share * n, "integer").otherwise("number")).when(F.col("as_boolean") >= share * n, "boolean").when(few, "categorical").otherwise(text_type(F.col("median_length")))
     family = F.when(kind.isin("email", "phone"), "contact").when(kind == "postal_code", "geographic").when(kind.isin("url", "ip_address"), "web_network").when(kind.isin("date"), "temporal").when(kind.isin("integer", "number"), "numeric").when(kind.isin("categorical", "boolean"), "categorical").when(kind == "uuid", "identifier").when(kind == "empty", "other").otherwise("text")
-    hints = [(f, hint(f)) for f in df.columns]
-    known = df.sparkSession.createDataFrame(hints, "field string, hint string")  # one row per column
+    hints = [(f, hint(f)) for f in fields]
+    known = m.sparkSession.createDataFrame(hints, "field string, hint string")  # one row per column
     unique = (F.col("hint").isin("identifier", "uuid")) & (F.col("distinct_values") >= 2)
     out = m.select("*", family.alias("family"), kind.alias("type")).join(F.broadcast(known), "field")
     role = F.when(unique & (F.col("distinct_values") == F.col("positions")), "unique_id").when(unique, "identifier")
@@ -70,29 +96,70 @@ def classify(df: DataFrame, share: float = 0.95) -> DataFrame:
 
 
 def findings(df: DataFrame) -> DataFrame:
-    """field, code, class, count, of: what is wrong with the values of each field."""
-    m = measured(df)
+    """field, code, class, count, of: what is wrong with the values of each field, for all active codes."""
+    values = cut(analysed(df))  # read once for each kind of rule
+    m = measured(values)
     n, text = F.col("present"), F.col("native_type") == "string"
-    numeric, outside = F.col("as_integer") + F.col("as_number"), n - F.greatest("as_integer", F.col("as_integer") + F.col("as_number"), "as_date", "as_boolean", "as_text")
+    numeric = F.col("as_integer") + F.col("as_number")
+    best = F.greatest(numeric, "as_date", "as_boolean", "as_text")
     likely = lambda c: F.col(f"{c}_matched") >= F.lit(0.5) * n
-    semantic = sum((F.when(likely(c), F.col(f"{c}_invalid")).otherwise(0) for c in CONTACT), F.lit(0))
+    # what has not even the shape of the type that most values have is invalid too
+    semantic = sum((F.when(likely(c), n - F.col(f"{c}_matched")).otherwise(0) for c in CONTACT), F.lit(0))
+    dates = F.col("date_matched") + F.col("date_ambiguous")
     rules = {
-        "temporal.invalid_calendar": F.when(likely("date"), F.col("date_invalid")), "semantic.invalid": semantic, "temporal.ambiguous_date": F.col("date_ambiguous"), "number.ambiguous": F.col("number_ambiguous"),
-        "type.outside_family": F.when(text & (numeric >= 0.95 * n), n - numeric), "type.mixed": F.when(text & (F.greatest(numeric, F.col("as_date"), F.col("as_boolean"), F.col("as_text")) < 0.95 * n), outside),
-        "text.surrounding_whitespace": F.when(text, F.col("surrounding")), "text.repeated_whitespace": F.when(text, F.col("repeated")),
-        "presence.empty_column": F.when(n == 0, F.col("positions")), "values.constant_column": F.when((F.col("distinct_values") == 1) & (n >= 2), n),
+        "temporal.invalid_calendar": (F.when(dates >= F.lit(0.5) * n, F.col("date_invalid")), n), "semantic.invalid": (semantic, n),
+        "temporal.ambiguous_date": (F.col("date_ambiguous"), dates), "number.ambiguous": (F.col("number_ambiguous"), n),
+        "type.outside_family": (F.when(text & (numeric >= 0.95 * n), n - numeric), n), "type.mixed": (F.when(text & (best < 0.95 * n), n - best), n),
+        "text.surrounding_whitespace": (F.col("surrounding"), F.col("strings")), "text.repeated_whitespace": (F.col("repeated"), F.col("strings")),
+        "presence.empty_column": (F.when(n == 0, F.col("positions")), F.col("positions")), "values.constant_column": (F.when((F.col("distinct_values") == 1) & (n >= 2), n), n),
     }
-    cells = F.array(*[F.struct(F.lit(k).alias("code"), F.lit(FINDINGS[k]).alias("class"), v.cast("long").alias("count")) for k, v in rules.items()])
-    return m.select("field", F.explode(cells).alias("x"), n.alias("of")).select("field", "x.*", "of").where("count > 0")
-
-
-def observations(df: DataFrame) -> DataFrame:
-    """field, rule, count, of, from the profile: empty, missing, constant and mixed columns."""
-    p = profile(df)
-    share = F.greatest("as_integer", F.col("as_integer") + F.col("as_number"), "as_date", "as_boolean")
-    rules = {"empty_column": F.when(F.col("present") == 0, F.col("positions")), "missing_values": F.col("missing"), "constant_column": F.when((F.col("distinct_values") == 1) & (F.col("present") >= 2), F.col("present")), "mixed_types": F.when(F.col("technical_type") == "mixed", F.col("present") - share)}
-    cells = F.array(*[F.struct(F.lit(k).alias("rule"), v.cast("long").alias("count")) for k, v in rules.items()])
-    return p.select("field", F.explode(cells).alias("x"), F.col("positions").alias("of")).select("field", "x.*", "of").where("count > 0")
+    found = spread_rules(m, "code", rules)
+    stand = stand_outs(values)
+    named = F.when(F.col("kind") == "variant_groups", "categorical.case_variants").when(F.col("kind") == "minority_pattern", "pattern.minority").otherwise("length.minority")
+    found = found.unionByName(stand.select("field", named.alias("code"), "count", "of"))
+    ids = classified(m, df.columns).where(F.col("role") == "identifier").where(F.col("type").isin("integer", "code", "short_text", "label", "uuid"))
+    again = ids.select("field", F.lit("identifier.repetition").alias("code"), (F.col("present") - F.col("distinct_values")).alias("count"), F.col("present").alias("of"))
+    found = found.unionByName(again).where("count > 0")
+    kind = F.element_at(F.create_map(*[F.lit(x) for p in FINDINGS.items() for x in p]), F.col("code"))
+    return found.select("field", "code", kind.alias("class"), "count", "of")
+
+
+def spread_rules(m: DataFrame, name: str, rules: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """A row (field, name, count, of) for each rule whose count is above 0."""
+    cells = F.array(*[F.struct(F.lit(k).alias(name), v.cast("long").alias("count"), of.cast("long").alias("of")) for k, (v, of) in rules.items()])
+    return m.select("field", F.explode(cells).alias("x")).select("field", "x.*").where("count > 0")
+
+
+def missing_findings(df: DataFrame) -> DataFrame:
+    """field, count, of, share and the components of missing cells: null, empty, blank and marker."""
+    p = profile(df).where("missing > 0")
+    return p.select("field", F.col("missing").alias("count"), F.col("positions").alias("of"), F.round(F.col("missing") / F.col("positions"), 4).alias("share"), "n_null", "n_empty", "n_blank", "n_marker")
+
+
+def observations(df: DataFrame, header: list[str] | None = None, excluded: int = 0) -> DataFrame:
+    """field (null: of the whole table), rule, count, of: all rules. ``header`` holds the names as written in the source,
+    and ``excluded`` the records that a tolerant read left out."""
+    spark = df.sparkSession
+    values = cut(analysed(df))
+    m = measured(values)
+    n, numeric = F.col("present"), F.col("as_integer") + F.col("as_number")
+    text = F.when(F.col("native_type") == "string", F.col("as_text")).otherwise(0)
+    kind = technical_type(n, F.col("as_integer"), F.col("as_number"), F.col("as_date"), F.col("as_boolean"), text)
+    best = F.greatest(numeric, "as_date", "as_boolean", text)
+    inside = F.when(kind == "integer", F.col("as_integer")).when(kind == "number", numeric).when(kind == "date", F.col("as_date")).when(kind == "boolean", F.col("as_boolean"))
+    rules = {
+        "empty_column": (F.when(n == 0, F.col("positions")), F.col("positions")), "missing_values": (F.when(n > 0, F.col("positions") - n), F.col("positions")), "constant_column": (F.when((F.col("distinct_values") == 1) & (n >= 2), n), F.col("positions")),
+        "mixed_types": (F.when(kind == "mixed", n - best), n), "type_outliers": (F.when(kind.isin("integer", "number", "date", "boolean"), n - inside), n),
+        "ambiguous_dates": (F.col("date_ambiguous"), F.col("date_matched") + F.col("date_ambiguous")), "trimmed_cells": (F.col("surrounding"), F.col("strings")), "collapsed_whitespace": (F.col("repeated"), F.col("strings")),
+    }
+    out = spread_rules(m, "rule", rules).unionByName(stand_outs(values).select("field", F.col("kind").alias("rule"), "count", "of"))
+    names = [(x, "ambiguous_header", header.count(x), None) for x in dict.fromkeys(header or []) if not x.strip() or header.count(x) > 1]
+    whole = duplicate_stats(df).select(F.lit(None).cast("string").alias("field"), F.lit("duplicate_rows").alias("rule"), F.col("extra_copies").alias("count"), F.col("total").alias("of"))
+    out = out.unionByName(spark.createDataFrame(names, "field string, rule string, count long, of long")).unionByName(whole.where("count > 0"))
+    if excluded:
+        left = df.agg(F.lit(None).cast("string").alias("field"), F.lit("excluded_records").alias("rule"), F.lit(excluded).cast("long").alias("count"), (F.count("*") + excluded).alias("of"))
+        out = out.unionByName(left)
+    return out
 
 
 def minority_lengths(df: DataFrame, column: str) -> DataFrame:

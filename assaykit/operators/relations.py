@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 import itertools
+import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaykit.functions import normalize
+from assaykit.operators.ranges import cumulative, percentiles
+from assaykit.operators.ranges import position as place
+
 LEVELS = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 
@@ -21,14 +29,21 @@ def numeric_stats(df: DataFrame, column: str) -> DataFrame:
     x = F.col(column).cast("double")
     return df.agg(
         F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), rounded(F.sum(F.col(column).cast("decimal(38,6)")), 4).alias("sum"), rounded(F.avg(x)).alias("mean"), rounded(F.var_pop(x), 4).alias("variance"), rounded(F.stddev_pop(x)).alias("std"),
-        F.count_if(x > 0).alias("positive"), F.count_if(x < 0).alias("negative"), F.count_if(x == 0).alias("zero"), F.count_if(x == F.floor(x)).alias("integral"), rounded(F.percentile(x, 0.5)).alias("median"),
-    )
+        F.count_if(x > 0).alias("positive"), F.count_if(x < 0).alias("negative"), F.count_if(x == 0).alias("zero"), F.count_if(x == F.floor(x)).alias("integral"),
+    ).join(percentiles(df.select(x.alias("x")), "x", (0.5,)).select(rounded(F.col("q0")).alias("median")), how="left")  # fmt: skip  # one row each
 
 
 def quantiles(df: DataFrame, column: str, levels: tuple[float, ...] = LEVELS) -> DataFrame:
     """Position (n - 1) p with linear interpolation."""
-    q = df.agg(F.percentile(F.col(column).cast("double"), list(levels)).alias("q"))
-    return q.select(F.explode(F.arrays_zip(F.array(*map(F.lit, levels)).alias("level"), F.col("q").alias("value"))).alias("x")).select("x.level", rounded(F.col("x.value")).alias("value"))
+    q = percentiles(df.select(F.col(column).cast("double").alias("x")), "x", levels)
+    cells = F.array(*[F.struct(F.lit(p).alias("level"), rounded(F.col(f"q{i}")).alias("value")) for i, p in enumerate(levels)])
+    return q.select(F.explode(cells).alias("x")).select("x.*")
+
+
+def boolean_counts(df: DataFrame, column: str) -> DataFrame:
+    """Values that are true, false and missing."""
+    c = F.col(column).cast("boolean")
+    return df.agg(F.count_if(c).alias("true_count"), F.count_if(~c).alias("false_count"), F.count_if(c.isNull()).alias("missing"))
 
 
 def histogram_dense(df: DataFrame, column: str, most: int = 65_536) -> DataFrame:
@@ -59,12 +74,39 @@ def histogram_log(df: DataFrame, column: str) -> DataFrame:
 
 
 def shape(df: DataFrame, column: str) -> DataFrame:
-    """Skewness, excess kurtosis (population), Tukey fences with counts beyond them, decimals."""
+    """Skewness, excess kurtosis (population), Tukey fences with counts beyond them. Quartiles and counts come from
+    the distinct values; the quartiles are one row, known before values are counted against them."""
     x = F.col(column).cast("double")
-    moments = df.agg(F.count(x).alias("n"), rounded(F.skewness(x), 4).alias("skewness"), rounded(F.kurtosis(x), 4).alias("kurtosis"), F.percentile(x, 0.25).alias("q1"), F.percentile(x, 0.75).alias("q3"))
-    iqr = F.col("q3") - F.col("q1")
-    beyond = lambda k: (F.count_if(x < F.col("q1") - iqr * k).alias(f"below_{k}".replace(".", "_")), F.count_if(x > F.col("q3") + iqr * k).alias(f"above_{k}".replace(".", "_")))
-    return df.crossJoin(F.broadcast(moments)).groupBy("n", "skewness", "kurtosis", "q1", "q3").agg(*beyond(1.5), *beyond(3.0)).withColumns({"q1": rounded(F.col("q1")), "q3": rounded(F.col("q3"))})
+    q = percentiles(df.select(x.alias("x")), "x", (0.25, 0.75)).first()
+    q1, q3 = (q["q0"], q["q1"]) if q else (None, None)
+    beyond = []
+    for k in (1.5, 3.0):
+        low, high = (F.lit(None).cast("double"),) * 2 if q1 is None else (F.lit(q1 - (q3 - q1) * k), F.lit(q3 + (q3 - q1) * k))
+        beyond += [F.count_if(x < low).alias(f"below_{k}".replace(".", "_")), F.count_if(x > high).alias(f"above_{k}".replace(".", "_"))]
+    quartiles = [rounded(F.lit(v).cast("double")).alias(n) for n, v in (("q1", q1), ("q3", q3))]
+    got = df.agg(F.count(x).alias("n"), rounded(F.skewness(x), 4).alias("skewness"), rounded(F.kurtosis(x), 4).alias("kurtosis"), *beyond)
+    return got.select("n", "skewness", "kurtosis", *quartiles, *[c for c in got.columns[3:]])
+
+
+def equal_count_edges(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
+    """bin, lo, hi, cnt: edges at the quantiles, so that bins hold about as many values each; equal edges are one."""
+    x = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
+    row = percentiles(x, "x", tuple(i / bins for i in range(bins + 1))).first()
+    edges = sorted(set(row)) if row else []
+    if len(edges) < 2:
+        return x.groupBy(F.lit(0).cast("long").alias("bin")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("cnt"))
+    bin_of = F.least(sum((F.when(F.col("x") >= e, 1).otherwise(0) for e in edges[1:]), F.lit(0)), F.lit(len(edges) - 2)).cast("long")
+    known = x.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(edges, edges[1:]))], "bin long, lo double, hi double")
+    return x.groupBy(bin_of.alias("bin")).agg(F.count("*").alias("cnt")).join(F.broadcast(known), "bin").select("bin", rounded(F.col("lo")).alias("lo"), rounded(F.col("hi")).alias("hi"), "cnt")
+
+
+def smallest_exponent(df: DataFrame, column: str, most: int = 64, least: int = -64) -> int | None:
+    """The smallest power of two, from ``least`` on, whose grid has at most ``most`` cells between minimum and maximum."""
+    x = F.col(column).cast("double")
+    lo, hi = df.agg(F.min(x), F.max(x)).first()
+    if lo is None:
+        return None
+    return next(e for e in range(least, 1025) if math.floor(hi / 2.0**e) - math.floor(lo / 2.0**e) + 1 <= most)
 
 
 def decimal_places(df: DataFrame, column: str) -> DataFrame:
@@ -75,8 +117,12 @@ def decimal_places(df: DataFrame, column: str) -> DataFrame:
 def stats_by(df: DataFrame, category: str, column: str) -> DataFrame:
     """Numbers by category and over all (category null, overall true)."""
     x = F.col(column).cast("double")
-    got = df.where(x.isNotNull()).rollup(category).agg(F.count("*").alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), rounded(F.avg(x)).alias("mean"), rounded(F.stddev_pop(x), 4).alias("std"), rounded(F.percentile(x, 0.5)).alias("median"), (F.grouping(category) == 1).alias("overall"))
-    return got
+    got = df.where(x.isNotNull()).rollup(category).agg(F.count("*").alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), rounded(F.avg(x)).alias("mean"), rounded(F.stddev_pop(x), 4).alias("std"), (F.grouping(category) == 1).alias("overall"))
+    values = df.select(F.col(category), x.alias("x")).where("x is not null")
+    each = percentiles(values, "x", (0.5,), [category]).select(F.col(category).alias("_c"), F.lit(False).alias("_o"), "q0")
+    every = each.unionAll(percentiles(values, "x", (0.5,)).select(F.lit(None).cast(values.schema[category].dataType).alias("_c"), F.lit(True).alias("_o"), "q0"))
+    joined = got.join(every, F.col(category).eqNullSafe(F.col("_c")) & (F.col("overall") == F.col("_o")))
+    return joined.select(category, "n", "min", "max", "mean", "std", rounded(F.col("q0")).alias("median"), "overall")
 
 
 def correlation_ratio(df: DataFrame, category: str, column: str) -> DataFrame:
@@ -96,17 +142,42 @@ def correlation_ratio(df: DataFrame, category: str, column: str) -> DataFrame:
 # Pairs of columns.
 
 
+def co_moments(df: DataFrame, columns: list[str]) -> DataFrame:
+    """i, j, n, r, vx, vy for every pair of columns, i before j, over the rows where both have a value.
+
+    Each batch gives its counts, sums and products for all pairs as matrix products, about the
+    means of the columns so that nothing cancels; one row per pair and task is shuffled. So the
+    plan does not grow with the pairs.
+    """
+    k = len(columns)
+    cells = [F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)]
+    means = np.nan_to_num(np.array([x if x is not None else 0.0 for x in df.select(*cells).agg(*[F.avg(f"c{i}") for i in range(k)]).first()], float))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, k, k))
+        for b in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns]) if len(b) else np.zeros((0, k))
+            on = ~np.isnan(x)
+            x = np.where(on, x - means, 0.0)
+            m = on.astype(float)
+            total += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+        i, j = np.triu_indices(k, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), *[pa.array(t[i, j]) for t in total]], names=["i", "j", *"nabcde"])
+
+    part = df.select(*cells).mapInArrow(run, "i long, j long, n double, a double, b double, c double, d double, e double")
+    s = part.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in "nabcde"])
+    n = F.nullif(F.col("n"), F.lit(0.0))
+    vx, vy = F.greatest(F.lit(0.0), F.col("c") / n - F.col("a") * F.col("a") / (n * n)), F.greatest(F.lit(0.0), F.col("d") / n - F.col("b") * F.col("b") / (n * n))
+    cov = F.col("e") / n - F.col("a") * F.col("b") / (n * n)
+    return s.select("i", "j", F.col("n").cast("long").alias("n"), vx.alias("vx"), vy.alias("vy"), F.try_divide(cov, F.sqrt(vx * vy)).alias("r"))
+
+
 def pearson(df: DataFrame, columns: list[str], least: int = 10) -> DataFrame:
-    """Every pair in one aggregation: pairs, r with a 95 % interval and the score, or the reason for none."""
-    aggs, names = [], list(itertools.combinations(columns, 2))
-    for i, (a, b) in enumerate(names):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        x, y = (F.when(both, F.col(c).cast("double")) for c in (a, b))
-        aggs += [F.count(x).alias(f"n{i}"), F.corr(x, y).alias(f"r{i}"), F.var_pop(x).alias(f"x{i}"), F.var_pop(y).alias(f"y{i}")]
-    wide = df.agg(*aggs)
-    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"n{i}").alias("n"), F.col(f"r{i}").alias("r"), F.col(f"x{i}").alias("vx"), F.col(f"y{i}").alias("vy")) for i, (a, b) in enumerate(names)])
-    rows = wide.select(F.explode(cells).alias("p")).select("p.*")
-    reason = F.when(F.col("n") < least, "too_few_pairs").when((F.col("vx") == 0) | (F.col("vy") == 0), "constant")
+    """Every pair: pairs, r with a 95 % interval and the score, or the reason for none."""
+    name = F.array(*map(F.lit, columns))
+    rows = co_moments(df, columns).select(F.get(name, F.col("i").cast("int")).alias("a"), F.get(name, F.col("j").cast("int")).alias("b"), "n", "vx", "vy", "r")
+    tiny = lambda v: v <= 1e-24
+    reason = F.when(F.col("n") < least, "too_few_pairs").when(tiny(F.col("vx")) | tiny(F.col("vy")), "constant")
     r = F.when(reason.isNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r"))))
     half = 1.96 / F.sqrt((F.col("n") - 3).cast("double"))
     rows = rows.select("a", "b", "n", rounded(r).alias("r"), reason.alias("reason"), F.when(F.abs(r) < 1, F.tanh(F.atanh(r) - half)).otherwise(r).alias("lo"), F.when(F.abs(r) < 1, F.tanh(F.atanh(r) + half)).otherwise(r).alias("hi"))
@@ -116,8 +187,42 @@ def pearson(df: DataFrame, columns: list[str], least: int = 10) -> DataFrame:
 
 def average_rank(table: DataFrame, column: str, cnt: str) -> DataFrame:
     """Average rank of each distinct value, over distinct values with counts."""
-    w = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return table.withColumn(f"rank_{column}", F.sum(cnt).over(w) - F.col(cnt) + (F.col(cnt) + 1) / 2)
+    return cumulative(table, [column], cnt).withColumn(f"rank_{column}", F.col("_before") + (F.col(cnt) + 1) / 2).drop("_before")
+
+
+def rank_interval(r: Column, n: Column) -> Column:
+    """struct(lo, hi): the 95 % interval of a rank correlation, with the variance of Bonett and Wright; null below four pairs."""
+    z = F.atanh(F.greatest(F.lit(-0.999999999), F.least(F.lit(0.999999999), r)))
+    error = 1.96 * F.sqrt((1 + r * r / 2) / F.nullif((n - 3).cast("double"), F.lit(0.0)))
+    return F.when(n >= 4, F.struct(rounded(F.tanh(z - error)).alias("lo"), rounded(F.tanh(z + error)).alias("hi")))
+
+
+def binned_spearman(df: DataFrame, a: str, b: str, bins: int = 64) -> DataFrame:
+    """n, rho, lower, upper, reason: rank correlation read from a grid of bins of about equal counts, and the bounds
+    that no order inside the bins can leave.
+
+    Ranks inside a bin turn a column's centred rank vector by at most atan of the root of the bins'
+    rank variance over the root of the variance between bins. Only the grid, of bins squared rows, is held by one task.
+    """
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+    edges = {c: sorted(set(percentiles(rows, c, tuple(i / bins for i in range(1, bins))).first() or ())) for c in "xy"}
+    bin_of = lambda c: F.size(F.filter(F.array(*[F.lit(e) for e in edges[c]]), lambda e: e <= F.col(c))) if edges[c] else F.lit(0)
+    grid = rows.groupBy(bin_of("x").alias("i"), bin_of("y").alias("j")).agg(F.count("*").alias("n"))
+    side = lambda k: cumulative(grid.groupBy(k).agg(F.sum("n").alias("m")), [k], "m").select(k, F.col("m").alias(f"m{k}"), (F.col("_before") + (F.col("m") + 1) / 2).alias(f"c{k}"))
+    si, sj = side("i"), side("j")
+    n = grid.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    middle = (n + 1) / 2
+    of = lambda s, k: s.agg(F.coalesce(F.sum(F.col(f"m{k}") * (F.col(f"c{k}") - middle) ** 2), F.lit(0.0)).alias(f"q{k}"), F.coalesce(F.sum(F.col(f"m{k}").cast("double") * (F.col(f"m{k}").cast("double") ** 2 - 1) / 12), F.lit(0.0)).alias(f"w{k}"), F.count("*").alias(f"h{k}")).first()
+    ti, tj = of(si, "i"), of(sj, "j")
+    cross = grid.join(F.broadcast(si), "i").join(F.broadcast(sj), "j").agg(F.sum(F.col("n") * (F.col("ci") - middle) * (F.col("cj") - middle))).first()[0]
+    reason = "single_bin_first" if ti["hi"] < 2 else "single_bin_second" if tj["hj"] < 2 else None
+    if reason:
+        return df.sparkSession.createDataFrame([(n, None, None, None, reason)], "n long, rho double, lower double, upper double, reason string")
+    rho = max(-1.0, min(1.0, cross / math.sqrt(ti["qi"] * tj["qj"])))
+    slack = math.atan2(math.sqrt(ti["wi"]), math.sqrt(ti["qi"])) + math.atan2(math.sqrt(tj["wj"]), math.sqrt(tj["qj"]))
+    turn = math.acos(rho)
+    bounds = round(math.cos(min(math.pi, turn + slack)), 6), round(math.cos(max(0.0, turn - slack)), 6)
+    return df.sparkSession.createDataFrame([(n, round(rho, 6), *bounds, None)], "n long, rho double, lower double, upper double, reason string")
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -132,8 +237,10 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return rows.agg(n.cast("long").alias("n"), rounded(cov / F.sqrt(vx * vy), 5).alias("rho"))
 
 
-def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("category"), F.col(b).alias("class")).agg(F.count("*").alias("cnt"))
+def crosstab(df: DataFrame, a: str, b: str, feature: str = "value") -> DataFrame:
+    """category, class, cnt: rows by category and by the value of another column, or by its prefix, length or pattern."""
+    other = F.col(b) if feature == "value" else normalize.feature(F.col(b).cast("string"), feature)
+    return df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("category"), other.alias("class")).agg(F.count("*").alias("cnt"))
 
 
 def association(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -204,11 +311,43 @@ def drift(df: DataFrame, column: str, record: str, slices: int = 10) -> DataFram
 
 def position(df: DataFrame, record: str) -> DataFrame:
     """0-based place in the order of distinct record numbers: range partitions are sorted apart, and their sizes summed."""
-    ranged = df.repartitionByRange(F.col(record)).withColumn("_p", F.spark_partition_id())
-    ranked = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(record)))
-    sizes = ranked.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
-    return ranked.join(F.broadcast(before), "_p").withColumn("position", F.col("_before") + F.col("_i") - 1).drop("_p", "_i", "_before")
+    return place(df, record)
+
+
+def missing_blocks(df: DataFrame, columns: list[str], share: float = 0.8, least: float = 0.01, most: int = 5) -> DataFrame:
+    """columns, records, share: the largest sets of columns that go missing together.
+
+    A set is a block if the records that lack all of it are ``share`` of those that lack each of its columns and
+    ``least`` of all records. Counts come from the patterns of missing columns, of which there are at most as many as
+    the table shows, and only those that lack two columns or more reach the driver.
+    """
+    records = df.count()
+    flags = missing_flags(df, columns)
+    each = df.agg(*[F.coalesce(F.sum(f), F.lit(0)) for f in flags]).first()
+    lacks = {c: n for c, n in zip(columns, each) if n}
+    pattern = F.array_compact(F.array(*[F.when(f == 1, F.lit(c)) for c, f in zip(columns, flags) if c in lacks])) if lacks else F.array()
+    seen = {frozenset(r["p"]): r["n"] for r in df.groupBy(pattern.alias("p")).agg(F.count("*").alias("n")).where(F.size("p") >= 2).collect()}
+    together = lambda s: sum(n for p, n in seen.items() if s <= p)
+    holds = lambda s, n: n >= least * records and all(n >= share * lacks[c] for c in s)
+    # every block is what is left of an intersection of patterns after its more often missing columns are dropped
+    closed: set[frozenset] = set()
+    for p in seen:
+        closed |= {p} | {p & q for q in closed}
+    found: dict[frozenset, int] = {}
+    for s in closed:
+        while len(s) >= 2:
+            n = together(s)
+            kept = frozenset(c for c in s if n >= share * lacks[c])
+            if kept == s:
+                if holds(s, n):
+                    found[s] = n
+                break
+            s = kept
+    top = [s for s in found if not any(s < t for t in found)]
+    at = {c: i for i, c in enumerate(columns)}
+    top = sorted(top, key=lambda s: (-found[s], sorted(at[c] for c in s)))[:most]
+    rows = [("+".join(sorted(s, key=at.get)), found[s], round(min(found[s] / lacks[c] for c in s), 6)) for s in top]
+    return df.sparkSession.createDataFrame(rows, "columns string, records long, share double")
 
 
 # Dates.
@@ -219,12 +358,25 @@ def periods(df: DataFrame, column: str, unit: str) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(F.date_format(column, form).alias("period")).agg(F.count("*").alias("cnt"))
 
 
+def unit_for(df: DataFrame, column: str) -> str:
+    """day for a span of at most 732 days, month for at most 60 years, else year."""
+    days = df.agg(F.datediff(F.max(column), F.min(column))).first()[0] or 0
+    return "day" if days <= 732 else "month" if days <= 60 * 366 else "year"
+
+
 def date_parts(df: DataFrame, column: str) -> DataFrame:
     """Counts by weekday (0 is Monday) and hour."""
     c = F.col(column)
     return df.where(c.isNotNull()).groupBy(F.weekday(c).cast("long").alias("weekday"), F.hour(c).cast("long").alias("hour")).agg(F.count("*").alias("cnt"))
 
 
+def date_summary(df: DataFrame, column: str, as_of: str) -> DataFrame:
+    """part (month, weekday, hour or after), value, cnt: where the dates lie, and how many are after ``as_of``."""
+    c = F.col(column)
+    parts = F.array(*[F.struct(F.lit(n).alias("part"), v.cast("string").alias("value")) for n, v in (("month", F.date_format(c, "yyyy-MM")), ("weekday", F.weekday(c)), ("hour", F.hour(c)), ("after", F.when(c.cast("date") > F.lit(as_of).cast("date"), "yes")))])
+    return df.where(c.isNotNull()).select(F.explode(parts).alias("x")).where("x.value is not null").groupBy("x.part", "x.value").agg(F.count("*").alias("cnt"))
+
+
 def decades(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy((F.floor(F.year(column) / 10) * 10).cast("long").alias("decade")).agg(F.count("*").alias("cnt"))
 

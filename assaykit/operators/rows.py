@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaykit.operators.ranges import cumulative
+
 
 def priority(record: Column, seed: str = "42") -> Column:
     """Hash order of a record number, the same on any engine with MD5."""
@@ -60,6 +62,20 @@ def marks(df: DataFrame, record: str, columns: list[str] | None = None) -> DataF
     return joined.select(df[record].alias("record"), ((F.col("cnt") > 1) & first).alias("is_group_first"), (~first).alias("is_extra"))
 
 
+def occurrences(df: DataFrame, record: str, columns: list[str] | None = None) -> DataFrame:
+    """record, occurrence: the running number of each row among its copies, in record order.
+
+    Only rows that have copies are numbered; they are put in order by ranges of their digest and record, so a row with
+    very many copies is spread over tasks.
+    """
+    columns = columns or [c for c in df.columns if c != record]
+    digest = F.xxhash64(*columns)
+    cells = df.select(F.col(record).alias("record"), digest.alias("_d"), F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("_k")).withColumn("n", F.lit(1))
+    placed = cumulative(cells, ["_d", "_k", "record"])
+    first = placed.groupBy("_d", "_k").agg(F.min("_before").alias("_first"))
+    return placed.join(first, ["_d", "_k"]).select("record", (F.col("_before") - F.col("_first") + 1).alias("occurrence"))
+
+
 def repeated_keys(df: DataFrame, columns: list[str], record: str) -> DataFrame:
     """Repeated values of a field or key with count and first record; rows that lack a part are left out."""
     whole = df.dropna(subset=columns)
@@ -126,14 +142,26 @@ def sample(df: DataFrame, method: str, n: int, record: str, seed: str = "42") ->
 
 
 def sample_percent(df: DataFrame, percent: float, record: str, seed: str = "42") -> DataFrame:
-    """ceil(N * percent / 100) rows at random."""
-    return sample(df, "random", math.ceil(df.count() * percent / 100), record, seed)
+    """ceil(N * percent / 100) rows at random: those of smallest hash.
+
+    The hash at which they end lies in one of 65,536 ranges, found from counts by range; rows of lower ranges are all
+    taken, and only that range is sorted.
+    """
+    h = priority(F.col(record), seed)
+    part = F.substring(h, 1, 4)
+    counts = sorted((r["p"], r["n"]) for r in df.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    left = math.ceil(sum(n for _, n in counts) * percent / 100)
+    for p, n in counts:
+        if n >= left:
+            return df.where(part < p).unionByName(df.where(part == p).orderBy(h, record).limit(left))
+        left -= n
+    return df.limit(0)
 
 
 def allocate(counts: dict[str, int], n: int) -> dict[str, int]:
     """Shares of n by largest remainder with at least one each: strata below one are held at one, the rest share what is left."""
-    if n < len(counts):
-        raise ValueError(f"{n} rows can't hold {len(counts)} strata")
+    if not len(counts) <= n <= sum(counts.values()):
+        raise ValueError(f"{n} rows can't be taken from {len(counts)} strata of {sum(counts.values())} rows")
     held: set[str] = set()
     while True:
         rest, total = n - len(held), sum(c for k, c in counts.items() if k not in held)
@@ -159,7 +187,7 @@ def sample_stratified(df: DataFrame, strata: str, n: int, record: str, seed: str
     if len(counts) > most_strata:
         raise ValueError(f"more than {most_strata} strata")
     quota = df.sparkSession.createDataFrame([(k, q) for k, q in allocate(counts, n).items()], "_stratum string, _quota int")
-    joined = df.join(F.broadcast(quota), F.col(strata).cast("string").eqNullSafe(F.col("_stratum")))
+    joined = df.join(quota, F.col(strata).cast("string").eqNullSafe(F.col("_stratum")))
     return ranked(joined, strata, record, F.col("_quota"), seed).drop("_stratum", "_quota")
 
 

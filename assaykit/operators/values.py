@@ -38,24 +38,52 @@ def text_of(df: DataFrame, name: str) -> Column:
 def value_table(df: DataFrame, record: str | None = None) -> DataFrame:
     """field, position, native_type, raw, cnt and (with a record number column) first_rec, last_rec."""
     names = [c for c in df.columns if c != record]
-    cells = F.array(*[F.struct(F.lit(n).alias("field"), F.lit(i).alias("position"), F.lit(native_type(df.schema[n].dataType)).alias("native_type"), text_of(df, n).alias("raw")) for i, n in enumerate(names)])
+    cells = F.array(*[F.struct(F.lit(i).alias("position"), text_of(df, n).alias("raw")) for i, n in enumerate(names)])
     rows = df.select(*([F.col(record).alias("rec")] if record else []), F.explode(cells).alias("x")).select("x.*", *(["rec"] if record else []))
     more = [F.min("rec").alias("first_rec"), F.max("rec").alias("last_rec")] if record else []
-    return rows.groupBy("field", "position", "native_type", "raw").agg(F.count("*").alias("cnt"), *more)
+    # only the position is shuffled; names are looked up after
+    counted = rows.groupBy("position", "raw").agg(F.count("*").alias("cnt"), *more)
+    of = lambda xs: F.element_at(F.array(*map(F.lit, xs)), F.col("position") + 1)
+    return counted.select(of(names).alias("field"), "position", of([native_type(df.schema[n].dataType) for n in names]).alias("native_type"), "raw", "cnt", *[c for c in ("first_rec", "last_rec") if record])
 
 
-def described(lvt: DataFrame, unicode: bool = True) -> DataFrame:
-    """Add category, analytical, length, and the technical family of each distinct value."""
+def normalised(lvt: DataFrame, unicode: bool = True) -> DataFrame:
+    """Add category and analytical to each distinct value."""
     raw = F.col("raw")
     is_text = F.col("native_type") == "string"
     value = normalize.analytical(raw) if unicode else normalize.collapse(normalize.trim(raw))
     out = lvt.withColumn("category", F.when(raw.isNull(), "null").when(is_text, normalize.category(raw)).otherwise("content"))
-    out = out.withColumn("analytical", F.when(F.col("category") == "content", F.when(is_text, value).otherwise(raw)))
-    out = out.withColumn("length", F.when(is_text, F.length("analytical").cast("long")))
+    return out.withColumn("analytical", F.when(F.col("category") == "content", F.when(is_text, value).otherwise(raw)))
+
+
+def described(lvt: DataFrame, unicode: bool = True) -> DataFrame:
+    """Add category, analytical, length, and the technical family of each distinct value."""
+    return typed(normalised(lvt, unicode))
+
+
+def typed(values: DataFrame) -> DataFrame:
+    """Add length and technical family to values with category and analytical."""
+    is_text = F.col("native_type") == "string"
+    out = values.withColumn("length", F.when(is_text, F.length("analytical").cast("long")))
     family = F.when(is_text, detectors.family(F.col("analytical"))).otherwise(F.col("native_type"))
     return out.withColumn("family", F.when(F.col("category") == "content", family))
 
 
+def analysed(df: DataFrame) -> DataFrame:
+    """One row per field, category and analytical value: cnt, raws (spellings), trimmed and collapsed (occurrences that
+    each stage changes), length and family. The table is read once, and detectors see each analytical value once."""
+    step = value_table(df)
+    raw, text = F.col("raw"), F.col("native_type") == "string"
+    kept = F.when(text & raw.rlike(f"[{normalize.SPACE}]"), normalize.trim(raw)).otherwise(raw)
+    step = normalised(step).withColumn("_trim", kept)
+    changed = lambda c: F.coalesce(F.sum(F.when((F.col("category") == "content") & c, F.col("cnt"))), F.lit(0)).cast("long")
+    grouped = step.groupBy("field", "position", "native_type", "category", "analytical").agg(
+        F.sum("cnt").cast("long").alias("cnt"), F.count("*").alias("raws"), changed(raw != F.col("_trim")).alias("trimmed"),
+        changed(text & F.col("_trim").rlike(f"[{normalize.SPACE}]") & (F.col("_trim") != normalize.collapse(F.col("_trim")))).alias("collapsed"),
+    )
+    return typed(grouped)
+
+
 def technical_type(n: Column, integer: Column, number: Column, date: Column, boolean: Column, text: Column, share: float = 0.95) -> Column:
     """integer, number, date, boolean, text, mixed or empty, by shares of the values."""
     return (
@@ -69,33 +97,29 @@ def technical_type(n: Column, integer: Column, number: Column, date: Column, boo
     )
 
 
-def profile(df: DataFrame, record: str | None = None) -> DataFrame:
+def profile(df: DataFrame) -> DataFrame:
     """One row per field: presence, missing components, distinct values, lengths, type and top value."""
-    lvt = described(value_table(df, record))
+    values = analysed(df)
     cnt, cat = F.col("cnt"), F.col("category")
     total = lambda cond: F.coalesce(F.sum(F.when(cond, cnt)), F.lit(0)).cast("long")
-    fam = lambda f: total(F.col("family") == f)
+    shown = ("integer", "number", "date", "boolean")
     content = cat == "content"
-    rows = lvt.groupBy("field", "position", "native_type").agg(
+    top = F.min(F.when(content, F.struct((-cnt).alias("n"), F.col("analytical").alias("v"))))
+    rows = values.groupBy("field", "position", "native_type").agg(
         F.sum("cnt").cast("long").alias("positions"),
         total(content).alias("present"),
         *[total(cat == c).alias(f"n_{c}") for c in ("null", "empty", "blank", "marker")],
-        F.count_distinct(F.when(content, F.col("raw"))).alias("distinct_raw"),
-        F.count_distinct("analytical").alias("distinct_values"),
+        F.coalesce(F.sum(F.when(content, F.col("raws"))), F.lit(0)).cast("long").alias("distinct_raw"),
+        F.count("analytical").alias("distinct_values"),
         F.min("length").alias("min_length"),
         F.max("length").alias("max_length"),
         F.round(F.sum(F.when(content, F.col("length") * cnt)) / F.sum(F.when(content, cnt)), 6).alias("mean_length"),
-        *[fam(f).alias(f"as_{f}") for f in ("integer", "number", "date", "boolean")],
+        *[total(F.col("family") == f).alias(f"as_{f}") for f in shown],
+        top.alias("_top"),
     )
-    shown = ("integer", "number", "date", "boolean")
     text = F.col("present") - sum((F.col(f"as_{f}") for f in shown), F.lit(0))
-    rows = rows.withColumn("as_text", text.cast("long"))
-    rows = rows.withColumn("technical_type", technical_type(F.col("present"), *[F.col(f"as_{f}") for f in (*shown, "text")]))
-    values = lvt.where(content).groupBy("field", "analytical").agg(F.sum("cnt").cast("long").alias("top_count"))
-    best = F.min(F.struct((-F.col("top_count")).alias("n"), F.col("analytical").alias("v")))
-    first = values.groupBy("field").agg(best.alias("b")).select("field", F.col("b.v").alias("top_value"), (-F.col("b.n")).alias("top_count"))
-    missing = F.col("positions") - F.col("present")
-    return rows.join(first, "field", "left").withColumn("missing", missing).drop("as_text")
+    kind = technical_type(F.col("present"), *[F.col(f"as_{f}") for f in shown], text)
+    return rows.select(*[c for c in rows.columns if c != "_top"], kind.alias("technical_type"), F.col("_top.v").alias("top_value"), (-F.col("_top.n")).alias("top_count"), (F.col("positions") - F.col("present")).alias("missing"))
 
 
 def frequencies(df: DataFrame, column: str, top: int | None = None) -> DataFrame:

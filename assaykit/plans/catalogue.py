@@ -27,6 +27,13 @@ DIRTY = {
     "dup_rows": ("lineitem", {"l_returnflag": "l_returnflag", "l_linestatus": "l_linestatus", "l_quantity": "l_quantity"}),
     "dup_recs": ("orders", {"rec": "o_orderkey", "status": "o_orderstatus", "priority": "CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderpriority END", "day": "o_orderkey % 40"}),
     "contacts": ("customer", {"id": "c_custkey", "r": "c_custkey % 5", "email": "CASE c_custkey % 5 WHEN 0 THEN 'user' || cast(c_custkey AS string) || '@example.com' WHEN 1 THEN '.bad@example.com' WHEN 2 THEN 'a@-bad-.com' WHEN 3 THEN 'nobody' ELSE 'A.b@mail.example.org' END", "phone": "CASE c_custkey % 5 WHEN 0 THEN '(514) 555-' || lpad(cast(c_custkey % 10000 AS string), 4, '0') WHEN 1 THEN '01 23 45 67 89' WHEN 2 THEN '+33 1 23 45 67 89' WHEN 3 THEN '123-45-67-8' ELSE 'none' END", "postal": "CASE c_custkey % 5 WHEN 0 THEN 'H2X 1Y4' WHEN 1 THEN '90210' WHEN 2 THEN '90210-1234' WHEN 3 THEN 'D2X 1Y4' ELSE 'zzz' END", "uuid": "CASE c_custkey % 5 WHEN 0 THEN '550e8400-e29b-41d4-a716-446655440000' WHEN 1 THEN '{550e8400-e29b-11d4-a716-446655440000}' WHEN 2 THEN '00000000-0000-0000-0000-000000000000' WHEN 3 THEN '550e8400-e29b-41d4-a716-44665544zzzz' ELSE 'x' END", "ip": "CASE c_custkey % 5 WHEN 0 THEN '10.0.0.' || cast(c_custkey % 256 AS string) WHEN 1 THEN '8.8.8.8' WHEN 2 THEN '300.1.1.1' WHEN 3 THEN '2001:db8::1' ELSE '1.2.3' END", "yes": "CASE c_custkey % 5 WHEN 0 THEN 'yes' WHEN 1 THEN 'No' WHEN 2 THEN 'vrai' WHEN 3 THEN 'true' ELSE 'maybe' END", "money": "CASE c_custkey % 5 WHEN 0 THEN '$1,234.50' WHEN 1 THEN '12 EUR' WHEN 2 THEN 'CAD 1,234' WHEN 3 THEN '99' ELSE 'free' END", "url": "CASE c_custkey % 5 WHEN 0 THEN 'https://Example.com/a?b=1' WHEN 1 THEN 'www.example.org' WHEN 2 THEN 'http://bad_host/' WHEN 3 THEN 'http://example.com/%zz' ELSE 'example' END"}),
+    "people": ("customer", {"id": "c_custkey", "email": "'user' || cast(c_custkey AS string) || CASE WHEN c_custkey % 3 = 0 THEN '@Example.com' ELSE '@mail.example.org' END", "phone": "'(514) 555-' || lpad(cast(c_custkey % 10000 AS string), 4, '0')", "postal": "'H2X 1Y' || cast(c_custkey % 10 AS string)", "uuid": "'550e8400-e29b-41d4-a716-4466' || lpad(cast(c_custkey AS string), 8, '0')", "ip": "'10.0.' || cast(c_custkey % 200 AS string) || '.7'", "url": "'https://example.com/' || cast(c_custkey AS string)"}),
+    "faults": ("orders", {
+        "k": "o_orderkey", "d": "CASE WHEN o_orderkey % 25 = 0 THEN '2024-02-30' WHEN o_orderkey % 25 = 1 THEN '03-04-2024' ELSE '2024-03-' || lpad(cast(1 + o_orderkey % 28 AS string), 2, '0') END", "e": "CASE WHEN o_orderkey % 20 = 0 THEN 'bad@' ELSE 'user' || cast(o_orderkey AS string) || '@example.com' END",
+        "num": "CASE WHEN o_orderkey % 40 = 0 THEN 'abc' WHEN o_orderkey % 40 = 1 THEN '1,234' ELSE cast(100 + o_orderkey % 900 AS string) END", "cat": "CASE o_orderkey % 3 WHEN 0 THEN 'North' WHEN 1 THEN 'north' ELSE ' South  East ' END", "code": "CASE WHEN o_orderkey % 50 = 0 THEN 'X1' ELSE 'AB-' || lpad(cast(o_orderkey % 1000 AS string), 3, '0') END",
+        "one": "'x'", "none": "cast(NULL AS string)", "client_id": "'C' || cast(o_orderkey - o_orderkey % 2 AS string)", "mixed": "CASE WHEN o_orderkey % 5 < 2 THEN cast(o_orderkey AS string) ELSE 'word' END",
+    }),
+    "gaps": ("orders", {"k": "o_orderkey", "a": "CASE WHEN o_orderkey % 4 <> 0 THEN 'x' END", "b": "CASE WHEN o_orderkey % 4 <> 0 AND o_orderkey % 40 <> 1 THEN 'y' END", "c": "CASE WHEN o_orderkey % 10 <> 0 THEN 'z' END"}),
     "near": ("customer", {"v": "CASE WHEN c_custkey = 7 THEN 'Nrth' WHEN c_custkey = 11 THEN 'Soutth' WHEN c_custkey = 12 THEN 'Wast' ELSE CASE c_custkey % 3 WHEN 0 THEN 'North' WHEN 1 THEN 'South' ELSE 'East' END END"}),
     "docs_labels": ("documents LEFT JOIN labels USING (doc_id)", {"doc_id": "doc_id", "lang": "lang", "quality": "CASE WHEN doc_id % 7 = 0 THEN NULL ELSE quality END", "toxic": "toxic", "source": "CASE WHEN doc_id % 5 = 0 THEN NULL ELSE source END"}),
 }
@@ -110,7 +117,7 @@ def detector(name: str, table: str, column: str, which: str, expected: str) -> N
 detector("detect_number_dirty", "dirty_numbers", "v", "number", "CASE r WHEN 0 THEN 'matched|integer|' WHEN 1 THEN 'matched|dot|' WHEN 2 THEN 'matched|comma|' WHEN 3 THEN 'ambiguous|number|dot_or_comma' ELSE 'not_matched||' END")
 detector("detect_date_dirty", "dirty_dates", "v", "date", "CASE r WHEN 0 THEN 'matched|ymd|' WHEN 1 THEN CASE WHEN d = 3 THEN 'matched|same_day|' WHEN d <= 12 THEN 'ambiguous|dmy_or_mdy|day_or_month_first' ELSE 'matched|dmy|' END WHEN 2 THEN 'invalid|ymd|invalid_calendar_date' WHEN 3 THEN 'matched|datetime_aware|' WHEN 4 THEN 'matched|day_month_name|' ELSE 'not_matched||' END")
 detector("detect_email", "contacts", "email", "email", "CASE r WHEN 0 THEN 'matched|email|' WHEN 1 THEN 'invalid|email|invalid_local_part' WHEN 2 THEN 'invalid|email|invalid_domain' WHEN 3 THEN 'not_matched||' ELSE 'matched|email|' END")
-detector("detect_phone", "contacts", "phone", "phone", "CASE r WHEN 0 THEN 'matched|(999) 999-9999|' WHEN 1 THEN 'matched|99 99 99 99 99|' WHEN 2 THEN 'matched|+99 9 99 99 99 99|' WHEN 3 THEN 'invalid|999-99-99-9|unknown_plan' ELSE 'not_matched||' END")
+detector("detect_phone", "contacts", "phone", "phone", "CASE r WHEN 0 THEN 'matched|(999) 999-9999|' WHEN 1 THEN 'matched|09 99 99 99 99|' WHEN 2 THEN 'matched|+33 9 99 99 99 99|' ELSE 'not_matched||' END")
 detector("detect_postal", "contacts", "postal", "postal_code", "CASE r WHEN 0 THEN 'matched|A9A 9A9|' WHEN 1 THEN 'matched|99999|' WHEN 2 THEN 'matched|99999-9999|' WHEN 3 THEN 'invalid|canadian|forbidden_letter' ELSE 'not_matched||' END")
 detector("detect_uuid", "contacts", "uuid", "uuid", "CASE r WHEN 0 THEN 'matched|hyphenated|' WHEN 1 THEN 'matched|braced|' WHEN 2 THEN 'matched|hyphenated|' WHEN 3 THEN 'invalid|hyphenated|not_hexadecimal' ELSE 'not_matched||' END")
 detector("detect_ip", "contacts", "ip", "ip_address", "CASE r WHEN 0 THEN 'matched|ipv4|' WHEN 1 THEN 'matched|ipv4|' WHEN 2 THEN 'invalid|ipv4|octet_out_of_range' WHEN 3 THEN 'matched|ipv6|' ELSE 'not_matched||' END")
@@ -121,7 +128,7 @@ detector("detect_quantity", "dirty_numbers", "v", "quantity", "CASE r WHEN 5 THE
 detector("detect_url", "contacts", "url", "url", "CASE r WHEN 0 THEN 'matched|https|' WHEN 1 THEN 'matched|www|' WHEN 2 THEN 'invalid|url|invalid_host' WHEN 3 THEN 'invalid|url|invalid_escape' ELSE 'not_matched||' END")
 query("detect_pattern_c_name", "customer", lambda d: detectors.coverage(_counted(d, "c_name"), detectors.pattern("Customer#[0-9]{9}", "customer")), "SELECT 'matched' AS state, 'customer' AS format, CAST(NULL AS VARCHAR) AS reason, count(*) AS occurrences, count(DISTINCT c_name) AS distinct_values FROM $T")
 query("detect_enumeration", "events", lambda d: detectors.enumeration(d, "event_type"), "SELECT count(event_type) AS values, count(DISTINCT event_type) AS distinct_values, count(event_type) >= 500 AND count(DISTINCT event_type) <= 49 AS is_enumeration FROM $T")
-query("email_domain_keys", "contacts", lambda d: detectors.keys(d.where("r in (0, 4)"), F.substring_index("email", ".", -1), F.lower(F.substring_index("email", "@", -1))), "SELECT split_part(email, '.', -1) AS key, lower(split_part(email, '@', 2)) AS subkey, count(*) AS cnt FROM $T WHERE r IN (0, 4) GROUP BY 1, 2")
+query("email_domain_keys", "people", lambda d: detectors.keys(d, F.substring_index("email", ".", -1), F.lower(F.substring_index("email", "@", -1))), "SELECT split_part(email, '.', -1) AS key, lower(split_part(email, '@', 2)) AS subkey, count(*) AS cnt FROM $T GROUP BY 1, 2")
 
 # Rows.
 _dup = "WITH g AS (SELECT count(*) AS c FROM $T GROUP BY ALL) SELECT sum(c)::BIGINT AS total, count(*) AS distinct_rows, count(*) FILTER (c = 1) AS singletons, count(*) FILTER (c >= 2) AS duplicate_groups, count(*) FILTER (c = 2) AS twice, count(*) FILTER (c >= 3) AS three_plus, (sum(c) - count(*))::BIGINT AS extra_copies, coalesce(sum(c) FILTER (c >= 2), 0)::BIGINT AS duplicate_group_occurrences, max(c) AS max_occurrences, round((sum(c) - count(*)) * 100.0 / sum(c), 4) AS extra_copy_percent FROM g"
@@ -190,16 +197,14 @@ query("array_lengths_embeddings", "embeddings", lambda d: relations.array_profil
 query("key_sets_events_props", "events", lambda d: relations.key_sets(d, "props"), "SELECT array_to_string(list_sort(json_keys(props)), ',') AS keys, count(*) AS cnt FROM $T GROUP BY 1")
 
 # Quality.
-query("observations_dirty_events", "dirty_events", lambda d: quality.observations(d.select("kind", "value", "note")), "WITH n AS (SELECT count(*) AS n FROM $T) SELECT 'kind' AS field, 'missing_values' AS rule, count(*) FILTER (kind IS NULL OR trim(kind) = '') AS count, any_value(n) AS of FROM $T, n UNION ALL SELECT 'value', 'missing_values', count(*) FILTER (value IS NULL), any_value(n) FROM $T, n UNION ALL SELECT 'note', 'missing_values', count(*) FILTER (note IS NULL), any_value(n) FROM $T, n UNION ALL SELECT 'note', 'constant_column', count(note), any_value(n) FROM $T, n")
-query("findings_dirty_dates", "dirty_dates", lambda d: quality.findings(d.select("v")), "SELECT 'v' AS field, 'temporal.ambiguous_date' AS code, 'issue' AS class, count(*) FILTER (r = 1 AND d <= 12 AND d <> 3) AS count, count(*) AS of FROM $T UNION ALL SELECT 'v', 'type.mixed', 'issue', count(*) - greatest(count(*) FILTER (r IN (0, 1, 4)), count(*) FILTER (r IN (2, 3, 5))), count(*) FROM $T UNION ALL SELECT 'v', 'temporal.invalid_calendar', 'error', count(*) FILTER (r = 2), count(*) FROM $T")
-query("classify_contacts", "contacts", lambda d: quality.classify(d.where("r = 0").select("id", "email", "phone", "postal", "uuid", "ip", "url")).select("field", "family", "type", "role"), "SELECT unnest(['id', 'email', 'phone', 'postal', 'uuid', 'ip', 'url']) AS field, unnest(['numeric', 'contact', 'contact', 'geographic', 'identifier', 'web_network', 'web_network']) AS family, unnest(['integer', 'email', 'phone', 'postal_code', 'uuid', 'ip_address', 'url']) AS type, unnest(['unique_id', NULL, NULL, NULL, NULL, NULL, NULL]) AS role")
-query("minority_lengths_contacts", "dirty_dates", lambda d: quality.minority_lengths(d.where("r = 0 or id = 4").select("v"), "v"), "SELECT length(v) AS length, count(*) AS cnt, 10::BIGINT AS usual FROM $T WHERE id = 4 GROUP BY 1")
+query("classify_contacts", "people", lambda d: quality.classify(d.select("id", "email", "phone", "postal", "uuid", "ip", "url")).select("field", "family", "type", "role"), "SELECT unnest(['id', 'email', 'phone', 'postal', 'uuid', 'ip', 'url']) AS field, unnest(['numeric', 'contact', 'contact', 'geographic', 'identifier', 'web_network', 'web_network']) AS family, unnest(['integer', 'email', 'phone', 'postal_code', 'uuid', 'ip_address', 'url']) AS type, unnest(['unique_id', NULL, NULL, NULL, 'unique_id', NULL, NULL]) AS role")
+query("minority_lengths_contacts", "faults", lambda d: quality.minority_lengths(d, "code"), "SELECT length(code) AS length, count(*) AS cnt, 6::BIGINT AS usual FROM $T WHERE length(code) <> 6 GROUP BY 1")
 query("residual_dates", "dirty_dates", lambda d: quality.residuals(d, "v", "date", "id"), "SELECT v AS value, count(*) AS cnt, min(id) AS first_rec, CASE r WHEN 2 THEN 'invalid' ELSE 'not_matched' END AS state FROM $T WHERE r IN (2, 5) GROUP BY v, r")
 query("measures_dirty_numbers", "dirty_numbers", lambda d: quality.measures(d, "v"), "SELECT marker, count(*) AS n, min(x) AS min, max(x) AS max, round(avg(x), 6) AS mean FROM (SELECT CASE r WHEN 4 THEN '$' WHEN 5 THEN 'kg' ELSE '%' END AS marker, CASE r WHEN 4 THEN id + 0.25 WHEN 5 THEN id ELSE id % 100 END::DOUBLE AS x FROM $T WHERE r IN (4, 5, 6)) GROUP BY 1")
 
 # Rules, anomalies and generated tables.
 query("rules_eval_orders", "orders", lambda d: generate.evaluate(d, {"priced": {"gt": ["o_totalprice", 1000]}, "status": {"in": ["o_orderstatus", ["F", "O"]]}, "late": {"implies": [{"eq": ["o_orderstatus", "F"]}, {"lt": ["o_totalprice", 200000]}]}, "key": {"unique": "o_orderkey"}}), "SELECT unnest(['priced', 'status', 'late', 'key']) AS rule, unnest([count(*) FILTER (o_totalprice > 1000), count(*) FILTER (o_orderstatus IN ('F', 'O')), count(*) FILTER (o_orderstatus <> 'F' OR o_totalprice < 200000), count(*)]) AS holds, unnest([count(*) FILTER (o_totalprice <= 1000), count(*) FILTER (o_orderstatus NOT IN ('F', 'O')), count(*) FILTER (o_orderstatus = 'F' AND o_totalprice >= 200000), 0]) AS broken, 0::BIGINT AS unknown FROM $T")
-query("anomaly_journal_orders", "orders", lambda d: generate.inject(d.select("o_orderkey", "o_orderpriority"), "o_orderkey", [{"kind": "format", "transform": "upper", "column": "o_orderpriority", "count": 40}])[1], "SELECT o_orderkey AS record, 'o_orderpriority' AS \"column\", 'upper' AS operation, o_orderpriority AS before, upper(o_orderpriority) AS after FROM (SELECT * FROM $T ORDER BY md5('42|format0|o_orderpriority|' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 40) WHERE upper(o_orderpriority) <> o_orderpriority")
+query("anomaly_journal_orders", "orders", lambda d: generate.inject(d.select("o_orderkey", "o_orderpriority"), "o_orderkey", [{"kind": "format", "transform": "lower", "column": "o_orderpriority", "count": 40}])[1], "SELECT o_orderkey AS record, 'o_orderpriority' AS \"column\", 'lower' AS operation, o_orderpriority AS before, lower(o_orderpriority) AS after FROM (SELECT * FROM $T ORDER BY md5('42|format0|o_orderpriority|' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 40) WHERE lower(o_orderpriority) <> o_orderpriority")
 query("truth_orders", "orders", lambda d: generate.truth(d.select("o_orderkey", "o_orderstatus"), d.selectExpr("o_orderkey", "CASE WHEN o_orderkey % 10 = 0 THEN lower(o_orderstatus) ELSE o_orderstatus END AS o_orderstatus"), "o_orderkey"), "SELECT o_orderkey AS record, 'o_orderstatus' AS \"column\", o_orderstatus AS before, lower(o_orderstatus) AS after FROM $T WHERE o_orderkey % 10 = 0")
 query("split_orders", "orders", lambda d: generate.split(d.select("o_orderkey", "o_custkey"), "o_custkey", {"train": 0.8, "test": 0.2}), "SELECT o_orderkey, o_custkey, CASE WHEN ('0x' || md5('42|split|o_custkey|value|' || CAST(o_custkey AS VARCHAR))[1:12])::BIGINT / 281474976710656.0 < 0.8 THEN 'train' ELSE 'test' END AS split FROM $T")
 QUERIES["generate_table"] = lambda spark, d: generate.table(spark, "t", 1000, {"id": {"kind": "sequence"}, "n": {"kind": "integer", "min": 1, "max": 6}, "c": {"kind": "choice", "values": ["a", "b"], "weights": [3, 1]}})
@@ -239,4 +244,5 @@ ORACLE_SQL["population_customers"] = f"WITH h AS (SELECT 'H' || i AS household_i
 QUERIES["population_contracts"] = lambda spark, d: population.flattened(population.population(spark, 2000))
 query("ml_labels_orders", "orders", lambda d: population.labels(d, "o_orderkey", F.col("o_totalprice") > 250000), f"WITH l AS (SELECT o_orderkey, o_totalprice > 250000 AS is_fraud, {_u('labels', 'noise', 'o_orderkey')} < 0.02 AS is_noisy, {_u('labels', 'delay', 'o_orderkey')} < 0.1 AS is_delayed FROM $T) SELECT o_orderkey, is_fraud, CASE WHEN NOT is_delayed THEN is_fraud <> is_noisy END AS observed_fraud, is_noisy, is_delayed FROM l")
 query("ml_latent_orders", "orders", lambda d: population.latent(population.labels(d, "o_orderkey", F.col("o_totalprice") > 250000), "o_orderkey").select("o_orderkey", F.col("latent_fraud_probability").alias("chance"), F.expr("latent_fraud_probability between 0 and 1").alias("valid")), f"SELECT o_orderkey, round(CASE WHEN o_totalprice > 250000 THEN 0.35 + 0.6 * u ELSE 0.6 * pow(u, 2) END, 4) AS chance, true AS valid FROM (SELECT *, {_u('latent', 'fraud', 'o_orderkey')} AS u FROM $T)")
-query("malformed_customer", "customer", lambda d: population.malformed(d.selectExpr("c_custkey", "c_name", "c_nationkey"), "c_custkey").select("scenario", F.hex("content").alias("content")), "WITH t AS (SELECT c_custkey AS k, c_name AS n, c_nationkey::VARCHAR AS s, row_number() OVER (ORDER BY c_custkey) - 1 AS i, count(*) OVER () AS m FROM (SELECT * FROM $T ORDER BY c_custkey LIMIT 100)), l AS (SELECT i, k || ',' || n || ',' || s AS x, CASE WHEN i % 5 = 1 THEN k || ',' || n || ',' || s || ',,,,,' WHEN i % 5 = 3 THEN k::VARCHAR ELSE k || ',' || n || ',' || s END AS a, CASE WHEN i = m - 1 THEN left(k || ',' || n || ',' || s, 15) ELSE k || ',' || n || ',' || s END AS b, CASE WHEN i = 2 THEN k || ',\"UNCLOSED_QUOTE_START_' || n || ',' || s ELSE k || ',' || n || ',' || s END AS c FROM t), h AS (SELECT 'c_custkey,c_name,c_nationkey' || chr(10) AS h), j AS (SELECT h, string_agg(x, chr(10) ORDER BY i) AS x, string_agg(a, chr(10) ORDER BY i) AS a, string_agg(b, chr(10) ORDER BY i) AS b, string_agg(c, chr(10) ORDER BY i) AS c FROM l, h GROUP BY h) SELECT 'corrupted_separators' AS scenario, hex(h || a || chr(10)) AS content FROM j UNION ALL SELECT 'truncated_lines', hex(h || b) FROM j UNION ALL SELECT 'unclosed_quotes', hex(h || c || chr(10)) FROM j UNION ALL SELECT 'invalid_encoding', hex(h || left(x, 9)) || 'FFFE80C0' || hex(substr(x, 10) || chr(10)) FROM j")
+
+from assaykit.plans import extended  # noqa: E402, F401  # registers the rest

@@ -19,7 +19,7 @@ def labels(header: list[str]) -> list[str]:
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", tolerant: bool = False) -> DataFrame:
     """Every cell as text, empty cells as the empty string. Strict: a record of another width fails the
-    read; tolerant: it is kept in CORRUPT, with the other cells null."""
+    read; tolerant: it is kept in CORRUPT, with its cells null but for the first."""
     options = {"sep": sep, "encoding": encoding, "multiLine": True, "quote": '"', "escape": '"'}
     first = spark.read.options(**options, header=False, inferSchema=False).csv(path).limit(1).collect()
     if not first:
@@ -30,13 +30,32 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UT
     df = spark.read.options(**options, **mode, header=True, enforceSchema=True).schema(schema).csv(path)
     cells = [F.coalesce(F.col(f"`{n}`"), F.lit("")) for n in names]
     if tolerant:
-        cells = [F.when(F.col(CORRUPT).isNull(), c) for c in cells]
+        cells = cells[:1] + [F.when(F.col(CORRUPT).isNull(), c) for c in cells[1:]]
     return df.select(*[c.alias(n) for c, n in zip(cells, names)], *([CORRUPT] if tolerant else []))
 
 
-def excluded(df: DataFrame) -> DataFrame:
-    """Records left out of a tolerant read, by reason."""
-    return df.where(F.col(CORRUPT).isNotNull()).groupBy(F.lit("width_mismatch").alias("reason")).agg(F.count("*").alias("records"))
+def excluded(df: DataFrame, sep: str = ",", most_bytes: int = 1 << 20) -> DataFrame:
+    """Records left out of a tolerant read: reason, cells (found in the record) and records.
+
+    A record is too large beyond ``most_bytes``; else it has more or fewer cells than the header. Cells are counted
+    outside quotes.
+    """
+    bare = F.regexp_replace(F.col(CORRUPT), '"([^"]|"")*"?', "q")
+    cells = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
+    names = [c for c in df.columns if c != CORRUPT]
+    reason = F.when(F.octet_length(CORRUPT) > most_bytes, "record_too_large").when(cells > len(names), "too_many_cells").when(cells < len(names), "too_few_cells").otherwise("malformed")
+    left = df.where(F.col(CORRUPT).isNotNull()).groupBy(reason.alias("reason"), cells.cast("long").alias("cells")).agg(F.count("*").alias("records"), F.max(F.col(f"`{names[0]}`")).alias("_first"))
+    # Spark refuses plans that read the corrupt record alone: the condition, which always holds, has the first cell read along
+    return left.where((F.col("records") > 0) | F.col("_first").isNull()).select("reason", "cells", "records")
+
+
+def line_ends(spark: SparkSession, path: str) -> DataFrame:
+    """path, bom, crlf, lf, cr, sha256 of each file: how its lines end, and what its bytes are."""
+    files = spark.read.format("binaryFile").load(path)
+    text = F.decode("content", "ISO-8859-1")
+    count = lambda p: F.regexp_count(text, F.lit(p)).cast("long")
+    bom = F.hex(F.substring("content", 1, 3)) == "EFBBBF"
+    return files.select("path", bom.alias("bom"), count("\r\n").alias("crlf"), count("(?<!\r)\n").alias("lf"), count("\r(?!\n)").alias("cr"), F.sha2("content", 256).alias("sha256"))
 
 
 def read_json(spark: SparkSession, path: str, collection: str | None = None) -> DataFrame:
@@ -47,11 +66,17 @@ def read_json(spark: SparkSession, path: str, collection: str | None = None) ->
     return df.select(F.posexplode_outer(F.col(collection)).alias("index", "record")).select("index", "record.*")
 
 
-def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """line (text) and its state: object, other (valid, no object), invalid or blank."""
+def read_jsonl(spark: SparkSession, path: str, most_characters: int = 1 << 20) -> DataFrame:
+    """line (text) and its state: object, other (valid, no object), duplicate_key, surrogate, too_long, invalid or blank."""
     lines = spark.read.text(path).withColumnRenamed("value", "line")
     parsed = F.try_parse_json("line")
-    state = F.when(F.trim("line") == "", "blank").when(parsed.isNull(), "invalid").when(F.schema_of_variant(parsed).startswith("OBJECT"), "object").otherwise("other")
+    flat = F.regexp_replace("line", r'\\\\(["\\\\])', "__")
+    # half of a pair of surrogates written as an escape
+    half = F.col("line").rlike(r"(?i)\\u(d[89ab][0-9a-f]{2}(?!\\ud[c-f][0-9a-f]{2})|(?<!\\ud[89ab][0-9a-f]{2}\\u)d[c-f][0-9a-f]{2})")
+    body = F.regexp_replace(F.regexp_replace(flat, r"[{\[][^{}\[\]]*[}\]](?=.*})", "0"), r"^\s*\{|\}\s*$", "")
+    keys = F.regexp_extract_all(body, F.lit(r'(?:^|,)\s*"([^"]*)"\s*:'), F.lit(1))
+    repeated = F.size(keys) > F.size(F.array_distinct(keys))
+    state = F.when(F.length("line") > most_characters, "too_long").when(F.trim("line") == "", "blank").when(half, "surrogate").when(F.col("line").startswith("{") & repeated, "duplicate_key").when(parsed.isNull(), "invalid").when(F.schema_of_variant(parsed).startswith("OBJECT"), "object").otherwise("other")
     return lines.withColumn("state", state)
 
 
@@ -60,15 +85,33 @@ def jsonl_records(spark: SparkSession, path: str, schema: str | T.StructType) ->
 
 
 def read_excel(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """A sheet of a workbook as text cells below its detected header row; one executor task per workbook."""
-    from assaykit.sources.excel import header_of, sheet_rows
+    """A sheet of each workbook of the path as text cells below its detected header row.
+
+    Workbooks are parsed by executors, one task each. All must have the header of the first by path, else the read fails.
+    """
+    import pyarrow as pa
 
-    content = spark.read.format("binaryFile").load(path).select("content").first()[0]
-    rows = sheet_rows(bytes(content), sheet)
-    at = header_of(rows)
-    names = labels([str(x or "") for x in rows[at]])
-    body = [tuple("" if i >= len(r) or r[i] is None else str(r[i]) for i in range(len(names))) for r in rows[at + 1 :]]
-    return spark.createDataFrame(body, T.StructType([T.StructField(n, T.StringType()) for n in names]))
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def parsed(batches):
+        from assaykit.sources.excel import header_of, sheet_rows
+
+        for batch in batches:
+            for name, content in zip(*(c.to_pylist() for c in batch.columns)):
+                rows = sheet_rows(content, sheet)
+                at = header_of(rows)
+                names = labels([str(x or "") for x in rows[at]]) if rows else []
+                body = [["" if i >= len(r) or r[i] is None else str(r[i]) for i in range(len(names))] for r in rows[at + 1 :]]
+                out = [names, *body]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(out)), pa.array(range(-1, len(body)), pa.int64()), pa.array(out, pa.list_(pa.string()))], names=["path", "row", "cells"])
+
+    cells = files.mapInArrow(parsed, "path string, row long, cells array<string>")
+    header = cells.where("row < 0").orderBy("path").limit(1).collect()  # the names of one file
+    if not header:
+        raise ValueError(f"{path} has no workbook")
+    names = header[0]["cells"]
+    checked = F.when(F.size("cells") == len(names), F.col("cells")).otherwise(F.raise_error(F.concat(F.col("path"), F.lit(" has another header"))))
+    return cells.where("row >= 0").select(checked.alias("cells")).select(*[F.col("cells")[i].alias(n) for i, n in enumerate(names)])
 
 
 READERS: dict[str, Callable[..., DataFrame]] = {
@@ -116,6 +159,59 @@ def fingerprint(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
 
 
+def stale(spark: SparkSession, path: str, before: DataFrame) -> DataFrame:
+    """path, change (added, removed or changed) against an earlier ``fingerprint`` of the source: by size, time and digest."""
+    now = fingerprint(spark, path).withColumnsRenamed({"size": "_size", "modified": "_modified", "sha256": "_sha256"})
+    both = before.join(now, "path", "full")
+    change = F.when(F.col("sha256").isNull(), "added").when(F.col("_sha256").isNull(), "removed").when((F.col("sha256") != F.col("_sha256")) | (F.col("size") != F.col("_size")), "changed")
+    return both.select("path", change.alias("change")).where("change is not null")
+
+
+def resolve(spark: SparkSession, patterns: list[str]) -> list[str]:
+    """Files of these paths and globs, each once, in order of pattern and name. A pattern without a file raises."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out: list[str] = []
+    for pattern in patterns:
+        path = jvm.org.apache.hadoop.fs.Path(pattern)
+        found = sorted(f.getPath().toString() for f in path.getFileSystem(conf).globStatus(path) or [] if not f.isDirectory())
+        if not found:
+            raise ValueError(f"{pattern} matches no file")
+        out += [f for f in found if f not in out]
+    return out
+
+
+def plan_outputs(sources: list[str], folder: str, suffix: str) -> dict[str, str]:
+    """The output of each source: its name without extension and the suffix, in the folder. Two sources with one output, or
+    an output that is a source, raise before anything is written."""
+    out: dict[str, str] = {}
+    for s in sources:
+        target = f"{folder.rstrip('/')}/{s.rsplit('/', 1)[-1].rsplit('.', 1)[0]}{suffix}"
+        clash = next((k for k, t in out.items() if t.lower() == target.lower()), None)
+        if clash:
+            raise ValueError(f"{clash} and {s} would both be written to {target}")
+        if target in sources:
+            raise ValueError(f"{target} would overwrite a source")
+        out[s] = target
+    return out
+
+
+def json_schema(kind: T.DataType, title: str | None = None) -> dict:
+    """A JSON Schema of a table's rows."""
+    if isinstance(kind, T.StructType):
+        out = {"type": "object", "properties": {f.name: json_schema(f.dataType) for f in kind}, "required": [f.name for f in kind if not f.nullable], "additionalProperties": False}
+    elif isinstance(kind, T.ArrayType):
+        out = {"type": "array", "items": json_schema(kind.elementType)}
+    elif isinstance(kind, T.MapType):
+        out = {"type": "object", "additionalProperties": json_schema(kind.valueType)}
+    elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        out = {"type": "string", "format": "date" if isinstance(kind, T.DateType) else "date-time"}
+    else:
+        integer = isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+        number = isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType))
+        out = {"type": "integer" if integer else "number" if number else "boolean" if isinstance(kind, T.BooleanType) else "string"}
+    return {"$schema": "https://json-schema.org/draft/2020-12/schema", "title": title} | out if title else out
+
+
 # Sinks.
 
 
@@ -130,8 +226,12 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
         out.close()
 
 
-def write_csv(df: DataFrame, path: str, sep: str = ",", encoding: str = "UTF-8") -> None:
-    df.write.mode("overwrite").option("header", True).option("sep", sep).option("encoding", encoding).option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, sep: str = ",", encoding: str = "UTF-8", bom: bool = False) -> DataFrame:
+    """Write one CSV part per partition; returns path and SHA-256 of each. With ``bom`` the first column's name starts with a byte order mark."""
+    first = df.columns[0]
+    out = df.withColumnRenamed(first, "\ufeff" + first) if bom else df
+    out.write.mode("overwrite").option("header", True).option("sep", sep).option("encoding", encoding).option("escape", '"').csv(path)
+    return fingerprint(df.sparkSession, f"{path.rstrip('/')}/part-*").select("path", "sha256")
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -32,13 +32,14 @@ def test_labels(spark):
 
 
 def test_broken_files(spark, tmp_path):
-    df = spark.createDataFrame([(i, f"né{i}", None) for i in range(7)], "k long, n string, x string")
-    paths = population.write_malformed(df, "k", str(tmp_path))
-    read = {p.rsplit("malformed_", 1)[1][:-4]: open(p, "rb").read() for p in paths}
-    lines = read["corrupted_separators"].decode().split("\n")
-    assert lines[2] == "1,né1,,,,,," and lines[4] == "3" and lines[1] == "0,né0,"
-    assert read["truncated_lines"].decode().endswith("\n6,né6,") and read["unclosed_quotes"].decode().split("\n")[3] == '2,"UNCLOSED_QUOTE_START_né2,'
-    assert b"\xff\xfe\x80\xc0" in read["invalid_encoding"]
+    df = spark.createDataFrame([(i, f"né{i}", None) for i in range(9)], "k long, n string, x string")
+    read = {p.rsplit("/", 1)[1][:-4]: open(p, "rb").read() for p in population.write_malformed(df, "k", str(tmp_path))}
+    lines = lambda name: read[name].decode().split("\n")
+    assert lines("wide_rows")[4] == "3,né3,,more,more" and lines("wide_rows")[1] == "0,né0,"
+    assert lines("narrow_rows")[5] == "4,né4" and lines("open_quotes")[6] == '"5,né5,'
+    assert read["cut_file"].decode().endswith("\n8,n") and b"5,n\xc3\xa95,\n\xc3\x286,n" in read["stray_bytes"]
+    own = population.malformed(df, "k", {"all": {"kind": "narrow", "cells": 9}}).first()
+    assert bytes(own.content).decode() == "k,n,x\n" + "".join(f"{i}\n" for i in range(9))
     assert population.malformed(df.limit(0), "k").count() == 0
 
 
