@@ -8,6 +8,7 @@ import sys
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -151,36 +152,72 @@ def arrow_type(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
+#: Edges that one task contracts at a time.
+FOREST = 1_000_000
+
+
+def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from every id to the smallest one that it reaches over these edges, without the smallest ones themselves."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        old = label.copy()
+        low = np.minimum(label[x], label[y])
+        for ends in (x, y):
+            np.minimum.at(label, label[ends], low)
+            np.minimum.at(label, ends, low)
+        label = label[label]
+        if (label == old).all():
+            break
+    moved = label != np.arange(len(ids))
+    return ids[moved], ids[label[moved]]
+
+
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges (a, b) of a task contracted, up to FOREST at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def told() -> pa.RecordBatch:
+        a, b = contracted(*(np.concatenate(x) for x in zip(*held)))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    for batch in batches:
+        if len(batch):
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        if sum(len(a) for a, _ in held) >= FOREST:
+            yield told()
+            held.clear()
+    if held:
+        yield told()
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph of long ids.
 
     ``edges`` has columns a, b. Returns id, component (the smallest id reachable) for every id
     on an edge; loops count as no edge, repeated edges as one, and no edges give an empty result.
-    Alternating large-star and small-star contraction: each round is two aggregations by key with
-    partial minima and two joins, the number of rounds grows with the logarithm of the longest
-    path, and every round is cut by a table in the shared folder, the one before then deleted.
+
+    Every task first contracts the edges it has. Then, in each round, every id and all its
+    neighbours are tied to the smallest of them: one aggregation with partial minima and one join,
+    which splits a hub of many edges, and what comes of it is contracted again where it lies. That
+    ends when every id has one edge, to an id that has none itself. Each round is cut by a table in
+    the shared folder, the one before then deleted.
     """
     tables = Tables(edges.sparkSession)
-    e = tables.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "star0")
-    before = None
+    e = tables.save(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(forest, "a long, b long"), "star0")
     for turn in range(most_rounds):
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(state) == before or not state[0]:
+        ends = e.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(e.select("b", F.lit(0), F.lit(1)))
+        odd = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).agg(F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()[0]
+        if not odd:
             break
-        before = tuple(state)
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        # large star: larger neighbours of each node point to its smallest neighbour
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = tables.save(large, f"large{turn}")
-        # small star: each node and its smaller neighbours point to the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
-        e = tables.save(small, f"star{turn + 1}")
-        tables.drop(f"star{turn}", f"large{turn}")
+        tied = both.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
+        e = tables.save(tied.where("a <> b").mapInArrow(forest, "a long, b long").distinct(), f"star{turn + 1}")
+        tables.drop(f"star{turn}")
     else:
         raise RuntimeError("components did not settle")
-    ends = e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
-    out = tables.save(ends.unionAll(ends.select(F.col("component").alias("id"), "component").distinct()), "components")
+    out = tables.save(e.unionAll(e.select(F.col("b").alias("a"), "b").distinct()).toDF("id", "component"), "components")
     tables.drop(*[n for n in tables.paths if n != "components"])
     return out

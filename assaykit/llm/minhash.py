@@ -167,7 +167,7 @@ def united(lists: DataFrame, tables: Tables) -> DataFrame:
     work = F.sum(F.col("left").cast("double") * F.col("all"))
     one = parted(known.select("clump", "node", "c").distinct(), "clump").groupBy("clump").agg(work.alias("whole"))
     many = parted(known, "v").join(known.groupBy("v").agg(F.min("clump").alias("clump")), "v").groupBy("clump").agg(work.alias("apart"))
-    told = known.join(one.join(many, "clump").select("clump", (F.col("whole") <= F.col("apart")).alias("whole")), "clump")
+    told = known.join(bounded(tables.save(one.join(many, "clump").select("clump", (F.col("whole") <= F.col("apart")).alias("whole")), "near-work")), "clump")
     unit = F.when(F.col("whole"), F.struct(F.lit(0).alias("kind"), F.col("clump").alias("v"))).otherwise(F.struct(F.lit(1).alias("kind"), "v"))
     return told.select(unit.alias("unit"), "node", "c").distinct()
 
