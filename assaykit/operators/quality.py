@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.functions import detectors, normalize
+from assaykit.functions import detectors, names, normalize
 from assaykit.operators.ranges import cut
 from assaykit.operators.rows import duplicate_stats
 from assaykit.operators.values import analysed, profile, technical_type, value_table
 
 CONTACT = ("email", "phone", "postal_code", "url", "ip_address", "uuid")
-#: Words of field names and the type they hint at.
-HINTS = {
-    "id": "identifier", "key": "identifier", "code": "identifier", "uuid": "uuid", "email": "email", "mail": "email", "phone": "phone", "tel": "phone", "mobile": "phone", "url": "url", "link": "url",
-    "zip": "postal_code", "postal": "postal_code", "date": "date", "day": "date", "ts": "date", "time": "date", "birth": "date", "price": "amount", "amount": "amount", "cost": "amount", "total": "amount", "qty": "numeric",
-    "quantity": "numeric", "count": "numeric", "name": "name", "status": "categorical", "type": "categorical", "kind": "categorical", "flag": "boolean", "is": "boolean", "has": "boolean", "sex": "categorical", "gender": "categorical",
+MEASURES = ("currency", "percentage", "quantity")
+FAMILY = {
+    "email": "contact", "phone": "contact", "postal_code": "geographic", "url": "web_network", "ip_address": "web_network", "uuid": "web_network", "date": "temporal", "datetime": "temporal", "time": "temporal",
+    "integer": "numeric", "number": "numeric", "currency": "numeric", "percentage": "numeric", "quantity": "numeric", "boolean": "categorical", "enum": "categorical", "constant": "categorical",
 }
 #: Code: class, unit. Those that are recommended are declared, and computed from constraints only.
 FINDINGS = {
@@ -27,30 +26,30 @@ FINDINGS = {
 }
 
 
-def hint(field: str) -> str | None:
-    tokens = normalize.name_tokens(field)
-    return next((HINTS[t] for t in (*tokens[-1:], *tokens[:1], *tokens) if t in HINTS), None)
-
-
-def text_type(median: Column) -> Column:
+def text_type(median: float | None) -> str:
     """Type of text by median length."""
-    return F.when(median <= 5, "code").when(median <= 20, "short_text").when(median <= 50, "label").when(median <= 255, "text").otherwise("long_text")
+    if median is None:
+        return "text"
+    bounds = ((5, "text_very_short"), (20, "text_short"), (50, "text_medium"), (255, "text_long"))
+    return next((name for most, name in bounds if median <= most), "text_very_long")
 
 
 def measured(values: DataFrame) -> DataFrame:
     """Per field: what classification and findings need, in one aggregation over the distinct values of ``analysed``."""
     is_text, cnt, content = F.col("native_type") == "string", F.col("cnt"), F.col("category") == "content"
     states = {n: detectors.let(detectors.DETECTORS[n](F.col("analytical")), lambda r: r["state"]) for n in CONTACT}
+    states |= {n: detectors.let(detectors.DETECTORS[n](F.col("analytical")), lambda r: r["state"]) for n in MEASURES}
     states["number"] = detectors.let(detectors.number(F.col("analytical")), lambda r: r["state"])
     day = detectors.let(detectors.date(F.col("analytical")), lambda r: F.struct(r["state"].alias("state"), r["format"].alias("format")))
     seen = values.withColumns({f"_{n}": F.when(is_text & content, s) for n, s in states.items()} | {"_day": F.when(is_text & content, day)})
     total = lambda c: F.coalesce(F.sum(F.when(c, cnt)), F.lit(0)).cast("long")
     aggs = [total(F.col(f"_{n}") == s).alias(f"{n}_{s}") for n in states for s in ("matched", "ambiguous", "invalid")]
     aggs += [total(F.col("_day.state") == s).alias(f"date_{s}") for s in ("matched", "ambiguous", "invalid")]
-    aggs += [total((F.col("_day.state") == "matched") & (F.col("_day.format") == f)).alias(n) for f, n in (("dmy", "day_first"), ("mdy", "month_first"))]
+    aggs += [total((F.col("_day.state") == "matched") & (F.col("_day.format") == f)).alias(n) for f, n in (("dmy", "day_first"), ("mdy", "month_first"), ("time", "times"))]
+    aggs += [total((F.col("_day.state") == "matched") & F.col("_day.format").startswith("datetime")).alias("datetimes")]
     return seen.groupBy("field", "position", "native_type").agg(
         F.sum("cnt").cast("long").alias("positions"), total(content).alias("present"), total(content & is_text).alias("strings"), *[total(F.col("category") == c).alias(f"n_{c}") for c in ("null", "empty", "blank", "marker")],
-        F.count("analytical").alias("distinct_values"), F.percentile("length", 0.5, F.when(content, cnt).otherwise(0)).alias("median_length"),
+        F.count("analytical").alias("distinct_values"), F.percentile("length", 0.5, F.when(content, cnt).otherwise(0)).alias("median_length"), F.min("length").alias("min_length"), F.max("length").alias("max_length"),
         *[total(F.col("family") == f).alias(f"as_{f}") for f in ("integer", "number", "date", "boolean", "text")], *aggs,
         F.coalesce(F.sum(F.when(is_text, F.col("trimmed"))), F.lit(0)).cast("long").alias("surrounding"), F.coalesce(F.sum(F.when(is_text, F.col("collapsed"))), F.lit(0)).cast("long").alias("repeated"),
     )
@@ -75,30 +74,69 @@ def stand_outs(values: DataFrame) -> DataFrame:
     return variants.unionByName(rest(shapes, "minority_pattern", 0.8, 4, 1, True)).unionByName(rest(lengths, "minority_length", 0.95, None, 20, False))
 
 
-def classify(df: DataFrame, share: float = 0.95) -> DataFrame:
-    """field, family, type, hint, role: credible detectors first, then technical type, then distinct values and length."""
-    return classified(measured(analysed(df)), df.columns, share)
+CLASSES = "field string, family string, type string, hint string, role string, evidence string, alternatives string, traits string, present long, distinct_values long"
 
 
-def classified(m: DataFrame, fields: list[str], share: float = 0.95) -> DataFrame:
-    n = F.col("present")
-    contact = F.coalesce(*[F.when((n > 0) & (F.col(f"{c}_matched") >= share * n), c) for c in CONTACT])
-    numeric = F.col("as_integer") + F.col("as_number") >= share * n
-    few = (F.col("distinct_values") <= 49) & (n >= 10 * F.col("distinct_values"))
-    kind = F.when(n == 0, "empty").when(contact.isNotNull(), contact).when(F.col("date_matched") + F.col("date_ambiguous") >= share * n, "date").when(numeric, F.when(F.col("as_integer") >= share * n, "integer").otherwise("number")).when(F.col("as_boolean") >= share * n, "boolean").when(few, "categorical").otherwise(text_type(F.col("median_length")))
-    family = F.when(kind.isin("email", "phone"), "contact").when(kind == "postal_code", "geographic").when(kind.isin("url", "ip_address"), "web_network").when(kind.isin("date"), "temporal").when(kind.isin("integer", "number"), "numeric").when(kind.isin("categorical", "boolean"), "categorical").when(kind == "uuid", "identifier").when(kind == "empty", "other").otherwise("text")
-    hints = [(f, hint(f)) for f in fields]
-    known = m.sparkSession.createDataFrame(hints, "field string, hint string")  # one row per column
-    unique = (F.col("hint").isin("identifier", "uuid")) & (F.col("distinct_values") >= 2)
-    out = m.select("*", family.alias("family"), kind.alias("type")).join(F.broadcast(known), "field")
-    role = F.when(unique & (F.col("distinct_values") == F.col("positions")), "unique_id").when(unique, "identifier")
-    return out.select("field", "family", "type", "hint", role.alias("role"), "present", "distinct_values")
+def classify(df: DataFrame, share: float = 0.95) -> DataFrame:
+    """field, family, type, hint, role, evidence, alternatives, traits, present, distinct_values: a row per column.
+
+    Types that ``share`` of the values prove compete, and the name separates them; else few distinct values make an
+    enumeration, and other text goes by its median length. A name that supports an identifier gives text and whole
+    numbers the role of one, unique_id if no two rows share a value and none lacks it.
+    """
+    return classified(measured(analysed(df)), share)
+
+
+def classified(m: DataFrame, share: float = 0.95) -> DataFrame:
+    """Classification from ``measured``, whose rows, one per column, come to the driver."""
+    return m.sparkSession.createDataFrame([class_of(r.asDict(), share) for r in m.collect()], CLASSES)
+
+
+def class_of(s: dict, share: float) -> tuple:
+    n, d = s["present"], s["distinct_values"]
+    told = names.hints(s["field"])
+    enough = lambda k: n > 0 and k >= share * n
+    technical = "empty" if not n else "integer" if enough(s["as_integer"]) else "number" if enough(s["as_integer"] + s["as_number"]) else "date" if enough(s["as_date"]) else "boolean" if enough(s["as_boolean"]) else "text" if enough(s["as_text"]) else "mixed"
+    credible = [c for c in (*CONTACT, *MEASURES) if enough(s[f"{c}_matched"])]
+    credible += [k for k, c in (("datetime", s["datetimes"]), ("time", s["times"]), ("date", s["date_matched"] + s["date_ambiguous"] - s["datetimes"] - s["times"])) if enough(c)]
+    credible += [technical] if technical in ("integer", "number", "boolean") else []
+    pairs = [(FAMILY[c], c) for c in credible]
+    few = 1 < d <= 49 and n >= 10 * d
+    left = names.chosen(pairs, s["field"]) if pairs else []
+    if not n:
+        family, kind = "other", "empty"
+    elif left:
+        # of what is left, the first in order: a form of its own says more than a number
+        family, kind = left[0]
+    elif d == 1 and n >= 2:
+        family, kind = "categorical", "constant"
+    elif few:
+        family, kind = "categorical", "enum"
+    elif technical == "mixed":
+        family, kind = "other", "mixed"
+    else:
+        family, kind = "text", text_type(s["median_length"])
+    named = next((h for h in told if h.supports and (h.family, h.type) == ("identifier", "id")), None)
+    role = None
+    if named and (technical == "integer" or technical == "text" and family in ("text", "categorical")) and d >= 2:
+        role = "unique_id" if d == s["positions"] else "identifier"
+    first = next((h for h in told if h.supports), None)
+    label = lambda f, t: f"{f}/{t}" if t else f
+    evidence = [f"values:{kind}"] if left else []
+    evidence += [f"name:{h.strength}:{'' if h.supports else 'not '}{label(h.family, h.type)}" for h in told if h.about(family, kind) or role and h is named]
+    others = [label(*p) for p in pairs if p != (family, kind)] + [label(h.family, h.type) for h in told if h.supports and not h.about(family, kind) and technical in h.technical and (h.family, h.type) not in pairs and h is not (named if role else None)]
+    traits = [t for t, on in (("constant", d == 1 and n >= 2), ("high_cardinality", d > 0.5 * n and n >= 20), ("observed_unique", n >= 2 and d == s["positions"]), ("first_column", s["position"] == 0), ("fixed_length", n >= 2 and s["min_length"] is not None and s["min_length"] == s["max_length"])) if on]
+    return (s["field"], family, kind, label(first.family, first.type) if first else None, role, ",".join(evidence), ",".join(others), ",".join(traits), n, d)
 
 
 def findings(df: DataFrame) -> DataFrame:
     """field, code, class, count, of: what is wrong with the values of each field, for all active codes."""
     values = cut(analysed(df))  # read once for each kind of rule
-    m = measured(values)
+    return found(values, cut(measured(values)))
+
+
+def found(values: DataFrame, m: DataFrame) -> DataFrame:
+    """The findings from the values of ``analysed`` and their ``measured``."""
     n, text = F.col("present"), F.col("native_type") == "string"
     numeric = F.col("as_integer") + F.col("as_number")
     best = F.greatest(numeric, "as_date", "as_boolean", "as_text")
@@ -113,15 +151,15 @@ def findings(df: DataFrame) -> DataFrame:
         "text.surrounding_whitespace": (F.col("surrounding"), F.col("strings")), "text.repeated_whitespace": (F.col("repeated"), F.col("strings")),
         "presence.empty_column": (F.when(n == 0, F.col("positions")), F.col("positions")), "values.constant_column": (F.when((F.col("distinct_values") == 1) & (n >= 2), n), n),
     }
-    found = spread_rules(m, "code", rules)
+    out = spread_rules(m, "code", rules)
     stand = stand_outs(values)
     named = F.when(F.col("kind") == "variant_groups", "categorical.case_variants").when(F.col("kind") == "minority_pattern", "pattern.minority").otherwise("length.minority")
-    found = found.unionByName(stand.select("field", named.alias("code"), "count", "of"))
-    ids = classified(m, df.columns).where(F.col("role") == "identifier").where(F.col("type").isin("integer", "code", "short_text", "label", "uuid"))
+    out = out.unionByName(stand.select("field", named.alias("code"), "count", "of"))
+    ids = classified(m).where(F.col("role") == "identifier")
     again = ids.select("field", F.lit("identifier.repetition").alias("code"), (F.col("present") - F.col("distinct_values")).alias("count"), F.col("present").alias("of"))
-    found = found.unionByName(again).where("count > 0")
+    out = out.unionByName(again).where("count > 0")
     kind = F.element_at(F.create_map(*[F.lit(x) for p in FINDINGS.items() for x in p]), F.col("code"))
-    return found.select("field", "code", kind.alias("class"), "count", "of")
+    return out.select("field", "code", kind.alias("class"), "count", "of")
 
 
 def spread_rules(m: DataFrame, name: str, rules: dict[str, tuple[Column, Column]]) -> DataFrame:
@@ -153,9 +191,9 @@ def observations(df: DataFrame, header: list[str] | None = None, excluded: int =
         "ambiguous_dates": (F.col("date_ambiguous"), F.col("date_matched") + F.col("date_ambiguous")), "trimmed_cells": (F.col("surrounding"), F.col("strings")), "collapsed_whitespace": (F.col("repeated"), F.col("strings")),
     }
     out = spread_rules(m, "rule", rules).unionByName(stand_outs(values).select("field", F.col("kind").alias("rule"), "count", "of"))
-    names = [(x, "ambiguous_header", header.count(x), None) for x in dict.fromkeys(header or []) if not x.strip() or header.count(x) > 1]
+    unclear = [(x, "ambiguous_header", header.count(x), None) for x in dict.fromkeys(header or []) if not x.strip() or header.count(x) > 1]
     whole = duplicate_stats(df).select(F.lit(None).cast("string").alias("field"), F.lit("duplicate_rows").alias("rule"), F.col("extra_copies").alias("count"), F.col("total").alias("of"))
-    out = out.unionByName(spark.createDataFrame(names, "field string, rule string, count long, of long")).unionByName(whole.where("count > 0"))
+    out = out.unionByName(spark.createDataFrame(unclear, "field string, rule string, count long, of long")).unionByName(whole.where("count > 0"))
     if excluded:
         left = df.agg(F.lit(None).cast("string").alias("field"), F.lit("excluded_records").alias("rule"), F.lit(excluded).cast("long").alias("count"), (F.count("*") + excluded).alias("of"))
         out = out.unionByName(left)

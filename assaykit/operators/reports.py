@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.operators import explore, quality, rows
+from assaykit.operators.ranges import cut
 from assaykit.operators.relations import missing_blocks
-from assaykit.operators.values import bottom_k, profile
+from assaykit.operators.values import analysed, bottom_k, profiled
 
 #: Words for a bias-corrected V or the near end of a correlation's interval, below these limits.
 STRENGTH = ((0.1, "negligible"), (0.3, "weak"), (0.5, "moderate"))
@@ -22,8 +23,13 @@ def strength(score: Column) -> Column:
 
 def overview(df: DataFrame) -> DataFrame:
     """field, kind, sentence: what a column holds, in one line."""
-    p = profile(df)
-    c = quality.classify(df).select("field", "family", "type", "role")
+    values = cut(analysed(df))
+    return sentences(profiled(values), quality.classified(quality.measured(values)))
+
+
+def sentences(p: DataFrame, classes: DataFrame) -> DataFrame:
+    """field, kind, sentence from a profile and its classification."""
+    c = classes.select("field", "family", "type", "role")
     n, d = F.col("present"), F.col("distinct_values")
     kind = (
         F.when(n == 0, "empty").when(F.col("role") == "unique_id", "unique_id").when(F.col("role") == "identifier", "identifier").when(d == 1, "constant").when(F.col("type") == "boolean", "boolean")
@@ -43,14 +49,16 @@ def overview(df: DataFrame) -> DataFrame:
 
 def summary_table(df: DataFrame) -> DataFrame:
     """position, field, family, type, role, sentence, present, missing, missing_share, errors, issues, codes: a row per column."""
-    p = profile(df).select("position", "field", "positions", "present", "missing")
-    c = quality.classify(df).select("field", "family", "type", "role")
-    found = quality.findings(df).groupBy("field").agg(
+    values = cut(analysed(df))  # the table is read once, and its measures are made once
+    m, whole = cut(quality.measured(values)), cut(profiled(values))
+    classes = quality.classified(m)
+    p, c = whole.select("position", "field", "positions", "present", "missing"), classes.select("field", "family", "type", "role")
+    found = quality.found(values, m).groupBy("field").agg(
         F.coalesce(F.sum(F.when(F.col("class") == "error", F.col("count"))), F.lit(0)).cast("long").alias("errors"),
         F.coalesce(F.sum(F.when(F.col("class") == "issue", F.col("count"))), F.lit(0)).cast("long").alias("issues"),
         F.array_join(F.array_sort(F.collect_set("code")), ",").alias("codes"),
     )  # fmt: skip  # a row per column and code
-    out = p.join(c, "field").join(overview(df).select("field", "sentence"), "field").join(found, "field", "left")
+    out = p.join(c, "field").join(sentences(whole, classes).select("field", "sentence"), "field").join(found, "field", "left")
     zero = lambda x: F.coalesce(F.col(x), F.lit(0)).alias(x)
     return out.select("position", "field", "family", "type", "role", "sentence", "present", "missing", F.round(F.col("missing") / F.col("positions"), 4).alias("missing_share"), zero("errors"), zero("issues"), F.coalesce("codes", F.lit("")).alias("codes"))
 

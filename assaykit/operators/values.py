@@ -99,7 +99,11 @@ def technical_type(n: Column, integer: Column, number: Column, date: Column, boo
 
 def profile(df: DataFrame) -> DataFrame:
     """One row per field: presence, missing components, distinct values, lengths, type and top value."""
-    values = analysed(df)
+    return profiled(analysed(df))
+
+
+def profiled(values: DataFrame) -> DataFrame:
+    """The profile from the values of ``analysed``."""
     cnt, cat = F.col("cnt"), F.col("category")
     total = lambda cond: F.coalesce(F.sum(F.when(cond, cnt)), F.lit(0)).cast("long")
     shown = ("integer", "number", "date", "boolean")

@@ -197,7 +197,7 @@ query("array_lengths_embeddings", "embeddings", lambda d: relations.array_profil
 query("key_sets_events_props", "events", lambda d: relations.key_sets(d, "props"), "SELECT array_to_string(list_sort(json_keys(props)), ',') AS keys, count(*) AS cnt FROM $T GROUP BY 1")
 
 # Quality.
-query("classify_contacts", "people", lambda d: quality.classify(d.select("id", "email", "phone", "postal", "uuid", "ip", "url")).select("field", "family", "type", "role"), "SELECT unnest(['id', 'email', 'phone', 'postal', 'uuid', 'ip', 'url']) AS field, unnest(['numeric', 'contact', 'contact', 'geographic', 'identifier', 'web_network', 'web_network']) AS family, unnest(['integer', 'email', 'phone', 'postal_code', 'uuid', 'ip_address', 'url']) AS type, unnest(['unique_id', NULL, NULL, NULL, 'unique_id', NULL, NULL]) AS role")
+query("classify_contacts", "people", lambda d: quality.classify(d.select("id", "email", "phone", "postal", "uuid", "ip", "url")).select("field", "family", "type", "role"), "SELECT unnest(['id', 'email', 'phone', 'postal', 'uuid', 'ip', 'url']) AS field, unnest(['numeric', 'contact', 'contact', 'geographic', 'web_network', 'web_network', 'web_network']) AS family, unnest(['integer', 'email', 'phone', 'postal_code', 'uuid', 'ip_address', 'url']) AS type, unnest(['unique_id', NULL, NULL, NULL, NULL, NULL, NULL]) AS role")
 query("minority_lengths_contacts", "faults", lambda d: quality.minority_lengths(d, "code"), "SELECT length(code) AS length, count(*) AS cnt, 6::BIGINT AS usual FROM $T WHERE length(code) <> 6 GROUP BY 1")
 query("residual_dates", "dirty_dates", lambda d: quality.residuals(d, "v", "date", "id"), "SELECT v AS value, count(*) AS cnt, min(id) AS first_rec, CASE r WHEN 2 THEN 'invalid' ELSE 'not_matched' END AS state FROM $T WHERE r IN (2, 5) GROUP BY v, r")
 query("measures_dirty_numbers", "dirty_numbers", lambda d: quality.measures(d, "v"), "SELECT marker, count(*) AS n, min(x) AS min, max(x) AS max, round(avg(x), 6) AS mean FROM (SELECT CASE r WHEN 4 THEN '$' WHEN 5 THEN 'kg' ELSE '%' END AS marker, CASE r WHEN 4 THEN id + 0.25 WHEN 5 THEN id ELSE id % 100 END::DOUBLE AS x FROM $T WHERE r IN (4, 5, 6)) GROUP BY 1")

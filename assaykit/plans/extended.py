@@ -64,7 +64,7 @@ _rules = {
 }
 _found = [f"SELECT '{f}' AS field, '{c}' AS code, '{k}' AS class, count(*) FILTER ({n}) AS count, count(*) FILTER ({of}) AS of FROM $T" for f, xs in _rules.items() for c, k, n, of in xs]
 _found += [f"SELECT '{f}', 'pattern.minority', 'issue', {n}::BIGINT, count(DISTINCT {f}) FROM $T" for f, n in (("e", 1), ("num", 2), ("code", 1), ("mixed", 1))]
-_found += ["SELECT 'cat', 'categorical.case_variants', 'issue', 1::BIGINT, NULL FROM $T LIMIT 1", *[f"SELECT '{f}', 'identifier.repetition', 'issue', count({f}) - count(DISTINCT {f}), count({f}) FROM $T" for f in ("client_id", "code")]]
+_found += ["SELECT 'cat', 'categorical.case_variants', 'issue', 1::BIGINT, NULL FROM $T LIMIT 1", *[f"SELECT '{f}', 'identifier.repetition', 'issue', count({f}) - count(DISTINCT {f}), count({f}) FROM $T" for f in ("client_id",)]]
 query("findings_faults", "faults", lambda d: quality.findings(d.drop("k")), " UNION ALL ".join(f"({x})" for x in _found))
 query("signals_faults", "faults", lambda d: quality.signals(quality.findings(d.drop("k"))), f"SELECT class, code, count(*) AS fields, sum(count)::BIGINT AS occurrences FROM ({' UNION ALL '.join(f'({x})' for x in _found)}) GROUP BY 1, 2")
 query("findings_dirty_dates", "dirty_dates", lambda d: quality.findings(d.select("v")).where("code not in ('pattern.minority', 'length.minority')"), "SELECT 'v' AS field, 'temporal.ambiguous_date' AS code, 'issue' AS class, count(*) FILTER (r = 1 AND d <= 12 AND d <> 3) AS count, count(*) FILTER (r NOT IN (2, 5)) AS of FROM $T UNION ALL SELECT 'v', 'type.mixed', 'issue', count(*) - greatest(count(*) FILTER (r IN (0, 1, 4)), count(*) FILTER (r IN (2, 3, 5))), count(*) FROM $T UNION ALL SELECT 'v', 'temporal.invalid_calendar', 'error', count(*) FILTER (r = 2), count(*) FROM $T")
@@ -77,6 +77,8 @@ query("observations_dirty_events", "dirty_events", lambda d: quality.observation
     SELECT * FROM o WHERE count > 0""")
 query("missing_findings_dirty_events", "dirty_events", lambda d: quality.missing_findings(d.select("kind", "note")), "SELECT 'kind' AS field, count(*) FILTER (kind IS NULL OR trim(kind) = '') AS count, count(*) AS of, round(count(*) FILTER (kind IS NULL OR trim(kind) = '') / count(*), 4) AS share, count(*) FILTER (kind IS NULL) AS n_null, count(*) FILTER (kind = '') AS n_empty, count(*) FILTER (kind <> '' AND trim(kind) = '') AS n_blank, 0::BIGINT AS n_marker FROM $T UNION ALL SELECT 'note', count(*) FILTER (note IS NULL), count(*), round(count(*) FILTER (note IS NULL) / count(*), 4), count(*) FILTER (note IS NULL), 0, 0, 0 FROM $T")
 
+query("classify_faults", "faults", lambda d: quality.classify(d.select("d", "e", "cat", "one", "none", "client_id", "mixed")).select("field", "family", "type", "role", "traits"), "SELECT unnest(['d', 'e', 'cat', 'one', 'none', 'client_id', 'mixed']) AS field, unnest(['temporal', 'contact', 'categorical', 'categorical', 'other', 'text', 'other']) AS family, unnest(['date', 'email', 'enum', 'constant', 'empty', 'text_' || CASE WHEN (SELECT median(length(client_id)) FROM $T) <= 5 THEN 'very_short' ELSE 'short' END, 'mixed']) AS type, unnest([NULL, NULL, NULL, NULL, NULL, 'identifier', NULL]) AS role, unnest(['first_column,fixed_length', 'high_cardinality', '', 'constant,fixed_length', '', '', '']) AS traits")
+
 # Order over ranges, features and blocks.
 query("occurrences_dup_recs", "dup_recs", lambda d: rows.occurrences(d, "rec"), "SELECT rec AS record, row_number() OVER (PARTITION BY status, priority, day ORDER BY rec) AS occurrence FROM $T")
 query("frequency_table_clerk", "part", lambda d: store.frequency_table(d, "p_brand"), "SELECT row_number() OVER (ORDER BY count(*) DESC, p_brand) - 1 AS place, p_brand AS value, count(*) AS cnt FROM $T GROUP BY p_brand")
