@@ -162,4 +162,5 @@ def encode(df: DataFrame, text: str = "text", keep: list[str] | None = None, ids
 
 
 def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:
+    """Every document's token ids, by number and digest, and the digest of their decoding. Nulls, ties and repeats as in ``encode``."""
     return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"], ids=False)

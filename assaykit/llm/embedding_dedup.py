@@ -191,4 +191,5 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
 
 
 def op5_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """Every vector's links and component. Nulls, ties and repeats as in ``near_duplicates``."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

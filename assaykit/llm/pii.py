@@ -384,4 +384,5 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op4_pii(spark, sf_dir: str) -> DataFrame:
+    """Every document's personal data: counts, digests and spans. Nulls, ties and repeats as in ``scan``."""
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"])

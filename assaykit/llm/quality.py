@@ -99,4 +99,5 @@ def assess(df: DataFrame, text: str = "text", keep: list[str] | None = None) ->
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Every document's quality figures and verdict. Nulls, ties and repeats as in ``assess``."""
     return assess(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"])

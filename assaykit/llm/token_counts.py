@@ -15,6 +15,7 @@ beside a digit, and no added token lies across it.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable
@@ -29,6 +30,22 @@ CHUNK, OVERLAP, LIMIT = 1 << 16, 1 << 10, 2048
 #: Entries of the memo; when they would be more, it starts anew with the texts at hand.
 MEMO = 300_000
 FIELDS = "n_bytes long, n_tokens long, over_limit boolean"
+# The rules for which stable positions are proven. A tokenizer file with others is refused.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def refuse_others(path: str) -> None:
+    """Raise for a tokenizer file whose rules are not the ones that the cuts of this module are proven for."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    normal = [x["type"] for x in (rules.get("normalizer") or {}).get("normalizers", [])]
+    steps = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    first = steps[0] if steps else {}
+    split = (first.get("pattern") or {}).get("Regex") == SPLIT and first.get("behavior") == "Removed" and first.get("invert") is True
+    spaced = any(any(c.isspace() for c in t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in rules.get("added_tokens", []))
+    if normal != NORMALIZERS or not split or [x["type"] for x in steps[1:]] != ["ByteLevel"] or steps[1].get("use_regex") or spaced or rules["model"].get("type") != "BPE" or rules["model"].get("dropout"):
+        raise ValueError(f"{path}: stable positions are not proven for the rules of this tokenizer")
 
 
 def stable(text: str, at: int, added: list[str]) -> bool:
@@ -54,6 +71,7 @@ class Counter:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        refuse_others(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -133,10 +151,12 @@ def count_tokens(df: DataFrame, text: str = "text", keep: list[str] | None = Non
     """Add bytes, tokens and whether there are more tokens than ``limit``.
 
     Null is taken as empty (0 and 0); repeated rows are counted each; an empty table stays
-    empty; input columns with the names of added ones are replaced. No shuffle.
+    empty; input columns with the names of added ones are replaced. A tokenizer file (``path``) with
+    other rules than those of VOCABULARY raises. No shuffle.
     """
     return map_texts(df, text, FIELDS, worker, path, limit, keep=keep)
 
 
 def op9_token_counts(spark, sf_dir: str) -> DataFrame:
+    """Every document's bytes and tokens. Nulls, ties and repeats as in ``count_tokens``."""
     return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"])

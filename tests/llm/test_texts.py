@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -51,6 +52,17 @@ def test_counts_resynchronise():
         assert own.short([text]) == [n]
 
 
+def test_counts_refuse_other_rules(tmp_path):
+    import json
+
+    rules = json.load(open(P.path("word_bpe_49k.json")))
+    rules["model"] |= {"vocab": {"a": 0}, "merges": []}
+    rules["normalizer"] = None
+    (tmp_path / "own.json").write_text(json.dumps(rules))
+    with pytest.raises(ValueError):
+        token_counts.Counter(str(tmp_path / "own.json"))
+
+
 def test_pii_base_matches_plain_patterns():
     rnd = random.Random(3)
     signs = [*"a@.-+ 0123456789()%_é\n", "4111111111111111", "1.2.3.4", "a@b.c", "+1 ", "255", ".."]
