@@ -25,7 +25,7 @@ STAGES = ("raw", "nfc", "trim", "collapse_whitespace", "casefold", "strip_accent
 
 @cache
 def arrow_udf(name: str):
-    """The Arrow function of this name: nfc, nfd, casefold or strip_accents."""
+    """The Arrow function of this name: nfc, nfd, casefold, strip_accents or family."""
     import pyspark.sql.functions as f
 
     def nfc(s: pd.Series) -> pd.Series:
@@ -43,7 +43,17 @@ def arrow_udf(name: str):
 
         return s.map(bare, na_action="ignore")
 
-    return f.pandas_udf({"nfc": nfc, "nfd": nfd, "casefold": casefold, "strip_accents": strip_accents}[name], "string")
+    def family(s: pd.Series) -> pd.Series:
+        groups = {"L": "letter", "M": "mark", "N": "number", "P": "punctuation", "S": "symbol", "Z": "separator", "C": "other"}
+
+        def of(c: str) -> str:
+            kind = unicodedata.category(c)
+            emoji = kind == "So" and 0x1F000 <= ord(c) <= 0x1FAFF
+            return f"{'emoji' if emoji else groups[kind[0]]}/{kind}"
+
+        return s.map(of, na_action="ignore")
+
+    return f.pandas_udf({"family": family, "nfc": nfc, "nfd": nfd, "casefold": casefold, "strip_accents": strip_accents}[name], "string")
 
 
 def guarded(name: str, value: Column, plain: Column) -> Column:
@@ -51,6 +61,11 @@ def guarded(name: str, value: Column, plain: Column) -> Column:
     return F.when(value.rlike(NON_ASCII), arrow_udf(name)(F.when(value.rlike(NON_ASCII), value))).otherwise(plain)
 
 
+def character_family(value: Column) -> Column:
+    """Group and general category of a single character, such as letter/Lu; for distinct characters."""
+    return arrow_udf("family")(value)
+
+
 def nfc(value: Column) -> Column:
     return guarded("nfc", value, value)
 

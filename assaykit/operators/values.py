@@ -240,3 +240,38 @@ def text_profile(df: DataFrame, column: str) -> DataFrame:
     rows = df.where(t.isNotNull()).select(words.alias("w"), lines.alias("l"), digits.alias("d"))
     bucket = F.when(F.col("w") == 0, 0).otherwise(F.length(F.bin("w"))).cast("long")
     return rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("texts"), F.sum("w").alias("words"), F.sum("l").alias("lines"), F.count_if(F.col("l") > 1).alias("multi_line"), F.sum("d").alias("digits"))
+
+
+def character_families(df: DataFrame, column: str) -> DataFrame:
+    """family (a general category and its group), occurrences, characters: the character map by what the characters are.
+
+    Groups are letter, mark, number, punctuation, symbol, separator, other and, apart from symbols, emoji. Only distinct characters are looked at.
+    """
+    return characters(df, column).groupBy(normalize.character_family(F.col("char")).alias("family")).agg(F.sum("occurrences").cast("long").alias("occurrences"), F.count("*").alias("characters"))
+
+
+def derived_lengths(df: DataFrame, column: str) -> DataFrame:
+    """quarter (0 to 4), length: quartiles of the lengths of content values by nearest rank, over counted lengths."""
+    by = lengths(df, column)  # a row for each length
+    w = Window.orderBy("length")
+    ranked = by.withColumn("upto", F.sum("cnt").over(w)).withColumn("all", F.sum("cnt").over(Window.partitionBy()))
+    at = lambda q: F.greatest(F.ceil(F.col("all") * q / 4), F.lit(1))
+    cells = F.array(*[F.struct(F.lit(q).alias("quarter"), F.when((F.col("upto") >= at(q)) & (F.col("upto") - F.col("cnt") < at(q)), F.col("length")).alias("length")) for q in range(5)])
+    return ranked.select(F.explode(cells).alias("x")).where("x.length is not null").select(F.col("x.quarter").cast("long").alias("quarter"), "x.length")
+
+
+def frequency_tail(df: DataFrame, column: str, top: int = 10) -> DataFrame:
+    """One row: distinct values, their occurrences, how many occur once, and the shares of the most frequent value and of the ``top`` most frequent."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    first = counts.orderBy(F.desc("n"), "v").limit(top).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("first"), F.coalesce(F.max("n"), F.lit(0)).alias("most"))
+    whole = counts.agg(F.count("*").alias("distinct_values"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("occurrences"), F.count_if(F.col("n") == 1).alias("once"))
+    share = lambda c: F.round(F.coalesce(F.try_divide(F.col(c), F.col("occurrences")), F.lit(0.0)), 6)
+    return whole.join(F.broadcast(first)).select("distinct_values", "occurrences", "once", share("most").alias("dominant_share"), share("first").alias("top_share"))
+
+
+def temporal_kinds(df: DataFrame, column: str) -> DataFrame:
+    """kind, cnt, distinct_values, first, last (instants in microseconds, see ``detectors.instant``): texts that are dates, by kind; ambiguous and invalid ones are kinds of their own, without instants."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("v")).agg(F.count("*").alias("n"))
+    read = counts.select("n", detectors.let(detectors.date(F.col("v")), lambda d: F.struct(d["state"].alias("state"), d["format"].alias("format"))).alias("d"), detectors.instant(F.col("v")).alias("i")).where("d.state is not null")
+    kind = F.when(F.col("d.state") != "matched", F.col("d.state")).when(F.col("d.format").isin("time", "datetime_naive", "datetime_aware"), F.col("d.format")).otherwise("date")
+    return read.groupBy(kind.alias("kind")).agg(F.sum("n").cast("long").alias("cnt"), F.count("*").alias("distinct_values"), F.min("i").alias("first"), F.max("i").alias("last"))

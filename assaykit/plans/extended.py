@@ -93,6 +93,11 @@ query("missing_blocks_gaps", "gaps", lambda d: relations.missing_blocks(d, ["a",
 query("rank_interval_nations", "nation", lambda d: d.select("n_nationkey", relations.rank_interval(F.col("n_nationkey") / 30.0, F.col("n_nationkey") + 2).alias("x")).select("n_nationkey", "x.lo", "x.hi"), "WITH r AS (SELECT n_nationkey, n_nationkey / 30.0 AS r, n_nationkey + 2 AS n FROM $T), z AS (SELECT *, CASE WHEN n >= 4 THEN 1.96 * sqrt((1 + r * r / 2) / (n - 3)) END AS e FROM r) SELECT n_nationkey, round((exp(2 * (atanh(r) - e)) - 1) / (exp(2 * (atanh(r) - e)) + 1), 6) AS lo, round((exp(2 * (atanh(r) + e)) - 1) / (exp(2 * (atanh(r) + e)) + 1), 6) AS hi FROM z")
 QUERIES["binned_spearman_lineitem"] = lambda spark, d: relations.binned_spearman(load(spark, d, "lineitem"), "l_quantity", "l_extendedprice")
 
+query("character_families_part", "part", lambda d: values.character_families(d, "p_name"), "WITH c AS (SELECT unnest(regexp_extract_all(p_name, '.')) AS ch FROM $T) SELECT CASE WHEN ch = ' ' THEN 'separator/Zs' WHEN regexp_matches(ch, '[a-z]') THEN 'letter/Ll' WHEN regexp_matches(ch, '[A-Z]') THEN 'letter/Lu' WHEN regexp_matches(ch, '[0-9]') THEN 'number/Nd' WHEN ch = '-' THEN 'punctuation/Pd' ELSE 'punctuation/Po' END AS family, count(*) AS occurrences, count(DISTINCT ch) AS characters FROM c GROUP BY 1")
+query("length_quartiles_part", "part", lambda d: values.derived_lengths(d, "p_name"), "WITH r AS (SELECT length(p_name) AS length, row_number() OVER (ORDER BY length(p_name)) AS i, count(*) OVER () AS n FROM $T) SELECT q AS quarter, min(length) AS length FROM r, range(5) t(q) WHERE i = greatest(ceil(n * q / 4), 1) GROUP BY q")
+query("frequency_tail_clerk", "orders", lambda d: values.frequency_tail(d, "o_custkey", 5), "WITH c AS (SELECT o_custkey AS v, count(*) AS n FROM $T GROUP BY 1), f AS (SELECT sum(n) AS s, max(n) AS m FROM (SELECT n FROM c ORDER BY n DESC, v LIMIT 5)) SELECT count(*) AS distinct_values, sum(n)::BIGINT AS occurrences, count(*) FILTER (n = 1) AS once, round(any_value(m) / sum(n), 6) AS dominant_share, round(any_value(s) / sum(n), 6) AS top_share FROM c, f")
+query("temporal_kinds_dirty", "dirty_dates", lambda d: values.temporal_kinds(d, "v"), "WITH k AS (SELECT v, CASE WHEN r = 5 THEN NULL WHEN r = 2 THEN 'invalid' WHEN r = 1 AND d <= 12 AND d <> 3 THEN 'ambiguous' WHEN r = 3 THEN 'datetime_aware' ELSE 'date' END AS kind, CASE WHEN r IN (0, 4) OR r = 1 AND (d > 12 OR d = 3) THEN epoch_us(make_date(2024, 3, d::INTEGER)::TIMESTAMP) WHEN r = 3 THEN epoch_us(TIMESTAMP '2024-03-05 10:00:00') + (id % 60) * 60000000 END AS i FROM $T) SELECT kind, count(*) AS cnt, count(DISTINCT v) AS distinct_values, min(i) AS first, max(i) AS last FROM k WHERE kind IS NOT NULL GROUP BY kind")
+
 # Stores.
 _cells = lambda d: store.observations(d.select("o_orderkey", "o_orderstatus", "o_orderpriority"), "o_orderkey")
 query("store_observations_orders", "orders", lambda d: _cells(d).groupBy("position", "raw").agg(F.count("*").alias("cnt")), "SELECT 0::INTEGER AS position, o_orderstatus AS raw, count(*) AS cnt FROM $T GROUP BY 2 UNION ALL SELECT 1, o_orderpriority, count(*) FROM $T GROUP BY 2")
