@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import functions as F
 
-from assaykit.llm import chat, common, embedding_dedup, licenses, minhash, mixing
+from assaykit.llm import chat, embedding_dedup, licenses, minhash, mixing
 from assaykit.llm.common import components
 
 
@@ -23,8 +23,8 @@ def reach(ids, links):
             return low
 
 
-def test_components(spark, monkeypatch):
-    """Random graphs, long paths, and a hub whose edges lie in many tasks and chunks."""
+def test_components(spark):
+    """Random graphs, long paths, and a hub whose edges lie in many tasks."""
     rnd = random.Random(1)
     path = list(range(2000, 2300))
     rnd.shuffle(path)
@@ -32,10 +32,8 @@ def test_components(spark, monkeypatch):
     want = reach({x for p in links for x in p}, links)
     want = {i: c for i, c in want.items() if i in {x for p in links if p[0] != p[1] for x in p}}
     df = spark.createDataFrame(links, "a long, b long").repartition(9)
-    for size in (1_000_000, 7):
-        monkeypatch.setattr(common, "FOREST", size)
-        got = [(r.id, r.component) for r in components(df).collect()]
-        assert dict(got) == want and len(got) == len(want)
+    got = [(r.id, r.component) for r in components(df).collect()]
+    assert dict(got) == want and len(got) == len(want)
     assert components(df.limit(0)).count() == 0
 
 
