@@ -347,6 +347,37 @@ def pattern(regex: str, name: str) -> Callable[[Column], Column]:
     return lambda v: F.when(v.rlike(f"^(?:{regex})$"), result("matched", name))
 
 
+def starts(v: Column, characters: str) -> Column:
+    return F.substring(v, 1, 1).isin(*characters)
+
+
+def ends(v: Column, characters: str) -> Column:
+    return F.substring(v, -1, 1).isin(*characters)
+
+
+DIGITS, LINE_ENDS = "0123456789", "\n\r\x85\u2028\u2029"
+#: What a text must have for a detector to say anything, without a regular expression. ``$`` also matches before a last line end.
+NEEDS: dict[str, Callable[[Column], Column]] = {
+    "number": lambda v: starts(v, DIGITS + "+-."),
+    "date": lambda v: (F.length(v) <= 40) & ends(v, DIGITS + "Z" + LINE_ENDS) & (v.contains("-") | v.contains("/") | v.contains(".") | v.contains(":") | v.contains(" ")),
+    "email": lambda v: v.contains("@"),
+    "url": lambda v: starts(v, "hHfFwW"),
+    "phone": lambda v: F.length(v).between(10, 24) & starts(v, DIGITS + "+("),
+    "postal_code": lambda v: F.length(v).between(5, 12) & starts(v, DIGITS + "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
+    "currency": lambda v: starts(v, DIGITS + "(+-.ABCDEFGHIJKLMNOPQRSTUVWXYZ$€£¥\x20\xa0\u202f"),
+    "percentage": lambda v: v.contains("%"),
+    "quantity": lambda v: starts(v, DIGITS + "+-.") & ~ends(v, DIGITS),
+    "uuid": lambda v: F.length(v).between(36, 50) & v.contains("-"),
+    "ip_address": lambda v: (v.contains(".") & starts(v, DIGITS)) | v.contains(":"),
+}
+
+
+def told(name: str, v: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of what the detector of this name says, null where it says nothing; most texts cost a look at their ends."""
+    said = let(DETECTORS[name](v), use)
+    return F.when(NEEDS[name](v), said) if name in NEEDS else said
+
+
 DETECTORS: dict[str, Callable[[Column], Column]] = {
     "number": number, "date": date, "boolean": boolean, "email": email, "url": url, "phone": phone, "postal_code": postal_code,
     "currency": currency, "percentage": percentage, "quantity": quantity, "uuid": uuid, "ip_address": ip_address,
@@ -364,7 +395,7 @@ def family(v: Column) -> Column:
     """integer, number, date, boolean or text: the technical family of a content string."""
     day = lambda d: (d["state"] != "invalid") & d["format"].isin("ymd", "dmy", "mdy", "same_day", "dmy_or_mdy", "day_month_name", "month_name_day")
     both = lambda n: F.when(n["format"] == "integer", "integer").when(n.isNotNull(), "number")
-    return F.coalesce(let(number(v), both), F.when(let(date(v), day), F.lit("date")), F.when(F.lower(v).isin("true", "false"), "boolean"), F.when(v.isNotNull(), "text"))
+    return F.coalesce(told("number", v, both), F.when(told("date", v, day), F.lit("date")), F.when((F.length(v) <= 5) & F.lower(v).isin("true", "false"), "boolean"), F.when(v.isNotNull(), "text"))
 
 
 def coverage(values: DataFrame, detector: str | Callable[[Column], Column], value: str = "analytical", cnt: str = "cnt") -> DataFrame:

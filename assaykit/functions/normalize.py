@@ -19,6 +19,8 @@ SPACE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
 BREAKS = r"\n\x0b\x0c\r\x1c\x1d\x1e\x85  "
 MARKERS = ("null", "none", "n/a", "na", "nan", "nil", "-", "--", "?")
 NON_ASCII = r"[^\x00-\x7F]"
+# What can be white space, or can be changed by a stage before case folding, has a character outside printable ASCII.
+ODD = r"[^!-~]"
 CATEGORIES = ("empty", "blank", "marker", "content")
 STAGES = ("raw", "nfc", "trim", "collapse_whitespace", "casefold", "strip_accents")
 
@@ -58,7 +60,7 @@ def arrow_udf(name: str):
 
 def guarded(name: str, value: Column, plain: Column) -> Column:
     """The Arrow function where there is a character outside ASCII, ``plain`` elsewhere."""
-    return F.when(value.rlike(NON_ASCII), arrow_udf(name)(F.when(value.rlike(NON_ASCII), value))).otherwise(plain)
+    return F.coalesce(arrow_udf(name)(F.when(value.rlike(NON_ASCII), value)), plain)
 
 
 def character_family(value: Column) -> Column:
@@ -71,12 +73,14 @@ def nfc(value: Column) -> Column:
 
 
 def trim(value: Column) -> Column:
-    return F.regexp_replace(value, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    # single characters compare by their bytes, and those of printable ASCII at both ends leave nothing to trim
+    visible = F.substring(value, 1, 1).between("!", "~") & F.substring(value, -1, 1).between("!", "~")
+    return F.when(visible, value).otherwise(F.regexp_replace(value, f"^[{SPACE}]+|[{SPACE}]+$", ""))
 
 
 def collapse(value: Column) -> Column:
     """Runs of white space other than line breaks become one space."""
-    return F.regexp_replace(value, f"[{SPACE}&&[^{BREAKS}]]+", " ")
+    return F.when(value.rlike(r"\x20\x20|[^\x20-~]"), F.regexp_replace(value, f"[{SPACE}&&[^{BREAKS}]]+", " ")).otherwise(value)
 
 
 def casefold(value: Column) -> Column:
@@ -99,16 +103,16 @@ def category(value: Column, markers: tuple[str, ...] = MARKERS) -> Column:
     """empty, blank, marker or content of a string; null stays null."""
     return (
         F.when(value == "", "empty")
-        .when(value.rlike(f"^[{SPACE}]+$"), "blank")
-        .when(F.lower(trim(value)).isin(*markers), "marker")
+        .when(~F.substring(value, 1, 1).between("!", "~") & value.rlike(f"^[{SPACE}]+$"), "blank")
+        .when((F.length(trim(value)) <= max(map(len, markers), default=0)) & F.lower(trim(value)).isin(*markers), "marker")
         .when(value.isNotNull(), "content")
     )
 
 
 def shape(value: Column) -> Column:
     """Digits as 9, upper case as A, other letters as a, runs squeezed to one."""
-    flat = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, r"\p{Lu}", "A"), r"[\p{L}&&[^\p{Lu}A]]", "a"), r"\p{Nd}", "9")
-    return F.regexp_replace(flat, r"([Aa9])\1+", "$1")
+    # whole runs are replaced, so none is left to squeeze
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(value, r"\p{Lu}+", "A"), r"[\p{L}&&[^\p{Lu}]]+", "a"), r"\p{Nd}+", "9")
 
 
 def mask(value: Column) -> Column:

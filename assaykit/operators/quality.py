@@ -35,13 +35,27 @@ def text_type(median: float | None) -> str:
 
 
 def measured(values: DataFrame) -> DataFrame:
-    """Per field: what classification and findings need, in one aggregation over the distinct values of ``analysed``."""
+    """Per field: what classification and findings need, from the distinct values of ``analysed``."""
+    return measured_kinds(kinds(values))
+
+
+def kinds(values: DataFrame) -> DataFrame:
+    """The distinct values counted by what is seen of them: category, family, length, and the states that detectors tell.
+
+    Kinds are few, so each value costs one small update, and the many sums of ``measured_kinds`` are made over kinds.
+    """
+    shown = (F.col("native_type") == "string") & (F.col("category") == "content")
+    state = {f"_{n}": detectors.told(n, F.col("analytical"), lambda r: r["state"]) for n in (*CONTACT, *MEASURES, "number")}
+    day = detectors.told("date", F.col("analytical"), lambda r: F.struct(r["state"].alias("state"), r["format"].alias("format")))
+    seen = values.withColumns({n: F.when(shown, s) for n, s in (state | {"_day": day}).items()})
+    by = ("field", "position", "native_type", "category", "family", "length", *state, "_day")
+    return seen.groupBy(*by).agg(F.count("analytical").alias("values"), *[F.sum(c).cast("long").alias(c) for c in ("cnt", "raws", "trimmed", "collapsed")])
+
+
+def measured_kinds(seen: DataFrame) -> DataFrame:
+    """``measured`` from ``kinds``."""
     is_text, cnt, content = F.col("native_type") == "string", F.col("cnt"), F.col("category") == "content"
-    states = {n: detectors.let(detectors.DETECTORS[n](F.col("analytical")), lambda r: r["state"]) for n in CONTACT}
-    states |= {n: detectors.let(detectors.DETECTORS[n](F.col("analytical")), lambda r: r["state"]) for n in MEASURES}
-    states["number"] = detectors.let(detectors.number(F.col("analytical")), lambda r: r["state"])
-    day = detectors.let(detectors.date(F.col("analytical")), lambda r: F.struct(r["state"].alias("state"), r["format"].alias("format")))
-    seen = values.withColumns({f"_{n}": F.when(is_text & content, s) for n, s in states.items()} | {"_day": F.when(is_text & content, day)})
+    states = (*CONTACT, *MEASURES, "number")
     total = lambda c: F.coalesce(F.sum(F.when(c, cnt)), F.lit(0)).cast("long")
     aggs = [total(F.col(f"_{n}") == s).alias(f"{n}_{s}") for n in states for s in ("matched", "ambiguous", "invalid")]
     aggs += [total(F.col("_day.state") == s).alias(f"date_{s}") for s in ("matched", "ambiguous", "invalid")]
@@ -49,20 +63,24 @@ def measured(values: DataFrame) -> DataFrame:
     aggs += [total((F.col("_day.state") == "matched") & F.col("_day.format").startswith("datetime")).alias("datetimes")]
     return seen.groupBy("field", "position", "native_type").agg(
         F.sum("cnt").cast("long").alias("positions"), total(content).alias("present"), total(content & is_text).alias("strings"), *[total(F.col("category") == c).alias(f"n_{c}") for c in ("null", "empty", "blank", "marker")],
-        F.count("analytical").alias("distinct_values"), F.percentile("length", 0.5, F.when(content, cnt).otherwise(0)).alias("median_length"), F.min("length").alias("min_length"), F.max("length").alias("max_length"),
+        F.sum("values").cast("long").alias("distinct_values"), F.percentile("length", 0.5, F.when(content, cnt).otherwise(0)).alias("median_length"), F.min("length").alias("min_length"), F.max("length").alias("max_length"),
         *[total(F.col("family") == f).alias(f"as_{f}") for f in ("integer", "number", "date", "boolean", "text")], *aggs,
         F.coalesce(F.sum(F.when(is_text, F.col("trimmed"))), F.lit(0)).cast("long").alias("surrounding"), F.coalesce(F.sum(F.when(is_text, F.col("collapsed"))), F.lit(0)).cast("long").alias("repeated"),
     )
 
 
-def stand_outs(values: DataFrame) -> DataFrame:
+def stand_outs(values: DataFrame, seen: DataFrame) -> DataFrame:
     """field, kind, count, of, for all fields at once: variant_groups (groups of spellings, of nothing), minority_pattern
-    (distinct values off a shape that 80 % have) and minority_length (strings off a length that 95 % of 20 or more have)."""
-    text = values.where("category = 'content' and native_type = 'string'")
-    keys = text.groupBy("field", normalize.comparison_key(F.col("analytical")).alias("k")).agg(F.sum("raws").alias("n")).where("n >= 2")
+    (distinct values off a shape that 80 % have) and minority_length (strings off a length that 95 % of 20 or more have).
+    ``seen`` are the ``kinds`` of the values. Keys of ASCII values need no Arrow function, so only others pass through it."""
+    content = "category = 'content' and native_type = 'string'"
+    text, value = values.where(content), F.col("analytical")
+    key = lambda ascii, k: text.where(value.rlike(normalize.NON_ASCII) != ascii).select("field", k.alias("k"), "raws")
+    both = key(True, F.lower(value)).unionByName(key(False, normalize.comparison_key(value)))
+    keys = both.groupBy("field", "k").agg(F.sum("raws").alias("n")).where("n >= 2")
     variants = keys.groupBy("field").agg(F.count("*").alias("count")).select("field", F.lit("variant_groups").alias("kind"), "count", F.lit(None).cast("long").alias("of"))
     shapes = text.groupBy("field", normalize.shape(F.col("analytical")).alias("k")).agg(F.count("*").alias("n"))
-    lengths = text.groupBy("field", F.col("length").alias("k")).agg(F.sum("cnt").alias("n"))
+    lengths = seen.where(content).groupBy("field", F.col("length").alias("k")).agg(F.sum("cnt").alias("n"))
 
     def rest(counts: DataFrame, kind: str, least: float, digits: int | None, values_least: int, each: bool) -> DataFrame:
         share = lambda n: n / F.col("all") if digits is None else F.round(n / F.col("all"), digits)
@@ -132,11 +150,12 @@ def class_of(s: dict, share: float) -> tuple:
 def findings(df: DataFrame) -> DataFrame:
     """field, code, class, count, of: what is wrong with the values of each field, for all active codes."""
     values = cut(analysed(df))  # read once for each kind of rule
-    return found(values, cut(measured(values)))
+    seen = cut(kinds(values))
+    return found(values, seen, measured_kinds(seen))
 
 
-def found(values: DataFrame, m: DataFrame) -> DataFrame:
-    """The findings from the values of ``analysed`` and their ``measured``."""
+def found(values: DataFrame, seen: DataFrame, m: DataFrame) -> DataFrame:
+    """The findings from the values of ``analysed``, their ``kinds`` and ``measured``."""
     n, text = F.col("present"), F.col("native_type") == "string"
     numeric = F.col("as_integer") + F.col("as_number")
     best = F.greatest(numeric, "as_date", "as_boolean", "as_text")
@@ -152,7 +171,7 @@ def found(values: DataFrame, m: DataFrame) -> DataFrame:
         "presence.empty_column": (F.when(n == 0, F.col("positions")), F.col("positions")), "values.constant_column": (F.when((F.col("distinct_values") == 1) & (n >= 2), n), n),
     }
     out = spread_rules(m, "code", rules)
-    stand = stand_outs(values)
+    stand = stand_outs(values, seen)
     named = F.when(F.col("kind") == "variant_groups", "categorical.case_variants").when(F.col("kind") == "minority_pattern", "pattern.minority").otherwise("length.minority")
     out = out.unionByName(stand.select("field", named.alias("code"), "count", "of"))
     ids = classified(m).where(F.col("role") == "identifier")
@@ -179,7 +198,8 @@ def observations(df: DataFrame, header: list[str] | None = None, excluded: int =
     and ``excluded`` the records that a tolerant read left out."""
     spark = df.sparkSession
     values = cut(analysed(df))
-    m = measured(values)
+    seen = cut(kinds(values))
+    m = measured_kinds(seen)
     n, numeric = F.col("present"), F.col("as_integer") + F.col("as_number")
     text = F.when(F.col("native_type") == "string", F.col("as_text")).otherwise(0)
     kind = technical_type(n, F.col("as_integer"), F.col("as_number"), F.col("as_date"), F.col("as_boolean"), text)
@@ -190,7 +210,7 @@ def observations(df: DataFrame, header: list[str] | None = None, excluded: int =
         "mixed_types": (F.when(kind == "mixed", n - best), n), "type_outliers": (F.when(kind.isin("integer", "number", "date", "boolean"), n - inside), n),
         "ambiguous_dates": (F.col("date_ambiguous"), F.col("date_matched") + F.col("date_ambiguous")), "trimmed_cells": (F.col("surrounding"), F.col("strings")), "collapsed_whitespace": (F.col("repeated"), F.col("strings")),
     }
-    out = spread_rules(m, "rule", rules).unionByName(stand_outs(values).select("field", F.col("kind").alias("rule"), "count", "of"))
+    out = spread_rules(m, "rule", rules).unionByName(stand_outs(values, seen).select("field", F.col("kind").alias("rule"), "count", "of"))
     unclear = [(x, "ambiguous_header", header.count(x), None) for x in dict.fromkeys(header or []) if not x.strip() or header.count(x) > 1]
     whole = duplicate_stats(df).select(F.lit(None).cast("string").alias("field"), F.lit("duplicate_rows").alias("rule"), F.col("extra_copies").alias("count"), F.col("total").alias("of"))
     out = out.unionByName(spark.createDataFrame(unclear, "field string, rule string, count long, of long")).unionByName(whole.where("count > 0"))

@@ -50,10 +50,11 @@ def sentences(p: DataFrame, classes: DataFrame) -> DataFrame:
 def summary_table(df: DataFrame) -> DataFrame:
     """position, field, family, type, role, sentence, present, missing, missing_share, errors, issues, codes: a row per column."""
     values = cut(analysed(df))  # the table is read once, and its measures are made once
-    m, whole = cut(quality.measured(values)), cut(profiled(values))
+    seen, whole = cut(quality.kinds(values)), cut(profiled(values))
+    m = cut(quality.measured_kinds(seen))
     classes = quality.classified(m)
     p, c = whole.select("position", "field", "positions", "present", "missing"), classes.select("field", "family", "type", "role")
-    found = quality.found(values, m).groupBy("field").agg(
+    found = quality.found(values, seen, m).groupBy("field").agg(
         F.coalesce(F.sum(F.when(F.col("class") == "error", F.col("count"))), F.lit(0)).cast("long").alias("errors"),
         F.coalesce(F.sum(F.when(F.col("class") == "issue", F.col("count"))), F.lit(0)).cast("long").alias("issues"),
         F.array_join(F.array_sort(F.collect_set("code")), ",").alias("codes"),

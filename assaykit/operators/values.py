@@ -51,7 +51,7 @@ def normalised(lvt: DataFrame, unicode: bool = True) -> DataFrame:
     """Add category and analytical to each distinct value."""
     raw = F.col("raw")
     is_text = F.col("native_type") == "string"
-    value = normalize.analytical(raw) if unicode else normalize.collapse(normalize.trim(raw))
+    value = F.when(raw.rlike(normalize.ODD), normalize.analytical(raw) if unicode else normalize.collapse(normalize.trim(raw))).otherwise(raw)
     out = lvt.withColumn("category", F.when(raw.isNull(), "null").when(is_text, normalize.category(raw)).otherwise("content"))
     return out.withColumn("analytical", F.when(F.col("category") == "content", F.when(is_text, value).otherwise(raw)))
 
@@ -74,12 +74,11 @@ def analysed(df: DataFrame) -> DataFrame:
     each stage changes), length and family. The table is read once, and detectors see each analytical value once."""
     step = value_table(df)
     raw, text = F.col("raw"), F.col("native_type") == "string"
-    kept = F.when(text & raw.rlike(f"[{normalize.SPACE}]"), normalize.trim(raw)).otherwise(raw)
-    step = normalised(step).withColumn("_trim", kept)
+    step = normalised(step).withColumn("_trim", F.when(text, normalize.trim(raw)).otherwise(raw))
     changed = lambda c: F.coalesce(F.sum(F.when((F.col("category") == "content") & c, F.col("cnt"))), F.lit(0)).cast("long")
     grouped = step.groupBy("field", "position", "native_type", "category", "analytical").agg(
         F.sum("cnt").cast("long").alias("cnt"), F.count("*").alias("raws"), changed(raw != F.col("_trim")).alias("trimmed"),
-        changed(text & F.col("_trim").rlike(f"[{normalize.SPACE}]") & (F.col("_trim") != normalize.collapse(F.col("_trim")))).alias("collapsed"),
+        changed(text & (F.col("_trim") != normalize.collapse(F.col("_trim")))).alias("collapsed"),
     )
     return typed(grouped)
 
