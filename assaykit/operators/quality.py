@@ -63,7 +63,7 @@ def measured_kinds(seen: DataFrame) -> DataFrame:
     aggs += [total((F.col("_day.state") == "matched") & F.col("_day.format").startswith("datetime")).alias("datetimes")]
     return seen.groupBy("field", "position", "native_type").agg(
         F.sum("cnt").cast("long").alias("positions"), total(content).alias("present"), total(content & is_text).alias("strings"), *[total(F.col("category") == c).alias(f"n_{c}") for c in ("null", "empty", "blank", "marker")],
-        F.sum("values").cast("long").alias("distinct_values"), F.percentile("length", 0.5, F.when(content, cnt).otherwise(0)).alias("median_length"), F.min("length").alias("min_length"), F.max("length").alias("max_length"),
+        F.coalesce(F.sum("values"), F.lit(0)).cast("long").alias("distinct_values"), F.percentile("length", 0.5, F.when(content, cnt).otherwise(0)).alias("median_length"), F.min("length").alias("min_length"), F.max("length").alias("max_length"),
         *[total(F.col("family") == f).alias(f"as_{f}") for f in ("integer", "number", "date", "boolean", "text")], *aggs,
         F.coalesce(F.sum(F.when(is_text, F.col("trimmed"))), F.lit(0)).cast("long").alias("surrounding"), F.coalesce(F.sum(F.when(is_text, F.col("collapsed"))), F.lit(0)).cast("long").alias("repeated"),
     )
