@@ -24,7 +24,8 @@ def strength(score: Column) -> Column:
 def overview(df: DataFrame) -> DataFrame:
     """field, kind, sentence: what a column holds, in one line."""
     values = cut(analysed(df))
-    return sentences(profiled(values), quality.classified(quality.measured(values)))
+    seen = cut(quality.kinds(values))
+    return sentences(profiled(values, seen), quality.classified(quality.measured_kinds(seen)))
 
 
 def sentences(p: DataFrame, classes: DataFrame) -> DataFrame:
@@ -50,8 +51,8 @@ def sentences(p: DataFrame, classes: DataFrame) -> DataFrame:
 def summary_table(df: DataFrame) -> DataFrame:
     """position, field, family, type, role, sentence, present, missing, missing_share, errors, issues, codes: a row per column."""
     values = cut(analysed(df))  # the table is read once, and its measures are made once
-    seen, whole = cut(quality.kinds(values)), cut(profiled(values))
-    m = cut(quality.measured_kinds(seen))
+    seen = cut(quality.kinds(values))
+    m, whole = cut(quality.measured_kinds(seen)), cut(profiled(values, seen))
     classes = quality.classified(m)
     p, c = whole.select("position", "field", "positions", "present", "missing"), classes.select("field", "family", "type", "role")
     found = quality.found(values, seen, m).groupBy("field").agg(

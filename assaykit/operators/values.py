@@ -101,25 +101,26 @@ def profile(df: DataFrame) -> DataFrame:
     return profiled(analysed(df))
 
 
-def profiled(values: DataFrame) -> DataFrame:
-    """The profile from the values of ``analysed``."""
+def profiled(values: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """The profile from the values of ``analysed``; with their ``quality.kinds`` as ``seen``, the sums are made over those."""
     cnt, cat = F.col("cnt"), F.col("category")
     total = lambda cond: F.coalesce(F.sum(F.when(cond, cnt)), F.lit(0)).cast("long")
     shown = ("integer", "number", "date", "boolean")
     content = cat == "content"
-    top = F.min(F.when(content, F.struct((-cnt).alias("n"), F.col("analytical").alias("v"))))
-    rows = values.groupBy("field", "position", "native_type").agg(
+    top = F.min(F.when(content, F.struct((-cnt).alias("n"), F.col("analytical").alias("v")))).alias("_top")
+    sums = (
         F.sum("cnt").cast("long").alias("positions"),
         total(content).alias("present"),
         *[total(cat == c).alias(f"n_{c}") for c in ("null", "empty", "blank", "marker")],
         F.coalesce(F.sum(F.when(content, F.col("raws"))), F.lit(0)).cast("long").alias("distinct_raw"),
-        F.count("analytical").alias("distinct_values"),
+        (F.count("analytical") if seen is None else F.coalesce(F.sum("values"), F.lit(0)).cast("long")).alias("distinct_values"),
         F.min("length").alias("min_length"),
         F.max("length").alias("max_length"),
         F.round(F.sum(F.when(content, F.col("length") * cnt)) / F.sum(F.when(content, cnt)), 6).alias("mean_length"),
         *[total(F.col("family") == f).alias(f"as_{f}") for f in shown],
-        top.alias("_top"),
     )
+    per = lambda d: d.groupBy("field", "position", "native_type")
+    rows = per(values).agg(*sums, top) if seen is None else per(seen).agg(*sums).join(values.groupBy("field").agg(top), "field")
     text = F.col("present") - sum((F.col(f"as_{f}") for f in shown), F.lit(0))
     kind = technical_type(F.col("present"), *[F.col(f"as_{f}") for f in shown], text)
     return rows.select(*[c for c in rows.columns if c != "_top"], kind.alias("technical_type"), F.col("_top.v").alias("top_value"), (-F.col("_top.n")).alias("top_count"), (F.col("positions") - F.col("present")).alias("missing"))

@@ -68,9 +68,17 @@ def test_kinds_stand_for_values(spark):
     assert sizes[0] <= sizes[1] <= 12
 
 
-@pytest.mark.parametrize("name", ["findings_faults", "signals_faults"])
+@pytest.mark.parametrize("name", ["findings_faults", "signals_faults", "table_summary_faults"])
 def test_queries_sum_over_kinds(spark, monkeypatch, name):
     rows, whole = [], quality.measured_kinds
     monkeypatch.setattr(quality, "measured_kinds", lambda seen: rows.append(seen.count()) or whole(seen))
     n = len(catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").collect())
     assert n > 0 and len(rows) == 1 and rows[0] < 120  # of some 4,000 distinct values
+
+
+def test_profile_over_kinds(spark):
+    data = [(None if i % 7 == 0 else "" if i % 11 == 0 else f" a{i % 40}  b", i % 5, "x" * (i % 3)) for i in range(400)]
+    got = values.analysed(spark.createDataFrame(data, "t string, n int, s string")).cache()
+    plain = values.profiled(got)
+    over = values.profiled(got, quality.kinds(got)).select(plain.columns)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, over.collect())) and plain.schema.simpleString() == over.schema.simpleString()
