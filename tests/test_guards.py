@@ -68,7 +68,7 @@ def test_kinds_stand_for_values(spark):
     assert sizes[0] <= sizes[1] <= 12
 
 
-@pytest.mark.parametrize("name", ["findings_faults", "signals_faults", "table_summary_faults", "summary_table_faults"])
+@pytest.mark.parametrize("name", ["findings_faults", "signals_faults", "table_summary_faults", "summary_table_faults", "classify_faults"])
 def test_queries_sum_over_kinds(spark, monkeypatch, name):
     rows, whole = [], quality.measured_kinds
     monkeypatch.setattr(quality, "measured_kinds", lambda seen: rows.append(seen.count()) or whole(seen))
