@@ -40,6 +40,30 @@ def test_bpe_matches_library():
         assert own.decode(ids) == text.encode()
 
 
+def test_bpe_pairs_from_halves(monkeypatch):
+    own, calls, merged = bpe.codec(), [], bpe.Codec.merged
+    own.memo.clear()
+    monkeypatch.setattr(bpe.Codec, "merged", lambda self, data, *least: calls.append(data) or merged(self, data, *least))
+    rnd = random.Random(4)
+    parts = ["the", "tion", "er", "ou", "ch", "ll", "en", "str", "é", "in", "a", "ly"]
+    text = " ".join("".join(rnd.choices(parts, k=rnd.randrange(2, 7))) for _ in range(5000))
+    assert own.decode(own.encode(text)) == text.encode()
+    assert len(calls) == len(set(calls)) and all(x in own.ranks for x in calls)  # tokens are split once, pairs are not merged again
+    monkeypatch.undo()
+    ids, same = list(own.tokens), [i for i, b in own.tokens.items() if len(set(b)) == 1]
+    for _ in range(3000):
+        for of in (ids, same):
+            left, right = rnd.choice(of), rnd.choice(of)
+            assert own.compatible(left, right) == (own.merged(own.tokens[left] + own.tokens[right]) == [left, right])
+    # ranks in an odd order: tokens that come from later ones, and bytes with high ranks
+    for _ in range(200):
+        tokens = [b"a", b"b", b"c", *{bytes(rnd.choices(b"abc", k=rnd.randrange(2, 5))) for _ in range(9)}]
+        odd = bpe.Codec({t: i for t, i in zip(tokens, rnd.sample(range(50), len(tokens)))}, r"\w+")
+        for left in odd.tokens:
+            for right in odd.tokens:
+                assert odd.compatible(left, right) == (odd.merged(odd.tokens[left] + odd.tokens[right]) == [left, right])
+
+
 def test_counts_resynchronise():
     whole = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     own = token_counts.Counter(P.path("word_bpe_49k.json"), 200, 16)
