@@ -46,6 +46,10 @@ def kinds(values: DataFrame) -> DataFrame:
     """
     shown = (F.col("native_type") == "string") & (F.col("category") == "content")
     state = {f"_{n}": detectors.told(n, F.col("analytical"), lambda r: r["state"]) for n in (*CONTACT, *MEASURES, "number")}
+    # the family tells what the number detector said, and no integer has a mark of currency
+    whole = F.col("family") == "integer"
+    state["_number"] = F.when(whole, "matched").when(F.col("family") == "number", state["_number"])
+    state["_currency"] = F.when(~whole, state["_currency"])
     day = detectors.told("date", F.col("analytical"), lambda r: F.struct(r["state"].alias("state"), r["format"].alias("format")))
     seen = values.withColumns({n: F.when(shown, s) for n, s in (state | {"_day": day}).items()})
     by = ("field", "position", "native_type", "category", "family", "length", *state, "_day")

@@ -35,6 +35,12 @@ def text_of(df: DataFrame, name: str) -> Column:
     return c.cast("string")
 
 
+def placed(df: DataFrame, names: list[str]) -> list[Column]:
+    """field, position and native_type of these columns, looked up by position."""
+    of = lambda xs: F.element_at(F.array(*map(F.lit, xs)), F.col("position") + 1)
+    return [of(names).alias("field"), F.col("position"), of([native_type(df.schema[n].dataType) for n in names]).alias("native_type")]
+
+
 def value_table(df: DataFrame, record: str | None = None) -> DataFrame:
     """field, position, native_type, raw, cnt and (with a record number column) first_rec, last_rec."""
     names = [c for c in df.columns if c != record]
@@ -43,15 +49,14 @@ def value_table(df: DataFrame, record: str | None = None) -> DataFrame:
     more = [F.min("rec").alias("first_rec"), F.max("rec").alias("last_rec")] if record else []
     # only the position is shuffled; names are looked up after
     counted = rows.groupBy("position", "raw").agg(F.count("*").alias("cnt"), *more)
-    of = lambda xs: F.element_at(F.array(*map(F.lit, xs)), F.col("position") + 1)
-    return counted.select(of(names).alias("field"), "position", of([native_type(df.schema[n].dataType) for n in names]).alias("native_type"), "raw", "cnt", *[c for c in ("first_rec", "last_rec") if record])
+    return counted.select(*placed(df, names), "raw", "cnt", *[c for c in ("first_rec", "last_rec") if record])
 
 
-def normalised(lvt: DataFrame, unicode: bool = True) -> DataFrame:
-    """Add category and analytical to each distinct value."""
+def normalised(lvt: DataFrame, unicode: bool = True, odd: Column | None = None) -> DataFrame:
+    """Add category and analytical to each distinct value. ``odd`` tells which raw values a stage can change, if that is known."""
     raw = F.col("raw")
     is_text = F.col("native_type") == "string"
-    value = F.when(raw.rlike(normalize.ODD), normalize.analytical(raw) if unicode else normalize.collapse(normalize.trim(raw))).otherwise(raw)
+    value = F.when(raw.rlike(normalize.ODD) if odd is None else odd, normalize.analytical(raw) if unicode else normalize.collapse(normalize.trim(raw))).otherwise(raw)
     out = lvt.withColumn("category", F.when(raw.isNull(), "null").when(is_text, normalize.category(raw)).otherwise("content"))
     return out.withColumn("analytical", F.when(F.col("category") == "content", F.when(is_text, value).otherwise(raw)))
 
@@ -72,14 +77,14 @@ def typed(values: DataFrame) -> DataFrame:
 def analysed(df: DataFrame) -> DataFrame:
     """One row per field, category and analytical value: cnt, raws (spellings), trimmed and collapsed (occurrences that
     each stage changes), length and family. The table is read once, and detectors see each analytical value once."""
-    step = value_table(df)
-    raw, text = F.col("raw"), F.col("native_type") == "string"
-    step = normalised(step).withColumn("_trim", F.when(text, normalize.trim(raw)).otherwise(raw))
-    changed = lambda c: F.coalesce(F.sum(F.when((F.col("category") == "content") & c, F.col("cnt"))), F.lit(0)).cast("long")
-    grouped = step.groupBy("field", "position", "native_type", "category", "analytical").agg(
+    raw, text, odd = F.col("raw"), F.col("native_type") == "string", F.col("_odd")
+    step = value_table(df).withColumn("_odd", raw.rlike(normalize.ODD))  # other values have nothing to trim or collapse
+    step = normalised(step, odd=odd).withColumn("_trim", F.when(text & odd, normalize.trim(raw)).otherwise(raw))
+    changed = lambda c: F.coalesce(F.sum(F.when((F.col("category") == "content") & text & odd & c, F.col("cnt"))), F.lit(0)).cast("long")
+    grouped = step.groupBy("position", "category", "analytical").agg(  # as in the value table, names are looked up after
         F.sum("cnt").cast("long").alias("cnt"), F.count("*").alias("raws"), changed(raw != F.col("_trim")).alias("trimmed"),
-        changed(text & (F.col("_trim") != normalize.collapse(F.col("_trim")))).alias("collapsed"),
-    )
+        changed(F.col("_trim") != normalize.collapse(F.col("_trim"))).alias("collapsed"),
+    ).select(*placed(df, df.columns), "category", "analytical", "cnt", "raws", "trimmed", "collapsed")
     return typed(grouped)
 
 

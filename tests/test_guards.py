@@ -82,3 +82,16 @@ def test_profile_over_kinds(spark):
     plain = values.profiled(got)
     over = values.profiled(got, quality.kinds(got)).select(plain.columns)
     assert sorted(map(str, plain.collect())) == sorted(map(str, over.collect())) and plain.schema.simpleString() == over.schema.simpleString()
+
+
+def test_values_grouped_by_position(spark):
+    texts = ["a b", " a b", "a  b", "a b ", "12", "12 ", "+7", "1,234", "1,50", "€5", "USD 12", "n/a", " ", "", None, "x"]
+    df = spark.createDataFrame([(t, i % 2) for i, t in enumerate(texts)], "t string, n int")
+    got = values.analysed(df)
+    plan = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [" in x]
+    assert len(plan) == 2 and all(x.split("Aggregate [")[1].startswith("position") and "field" not in x.split("]")[0] for x in plan)
+    rows = {r.analytical: (r.cnt, r.raws, r.trimmed, r.collapsed, r.family) for r in got.where("field = 't' and category = 'content'").collect()}
+    assert rows["a b"] == (4, 4, 2, 2, "text") and rows["12"] == (2, 2, 1, 0, "integer") and rows["x"] == (1, 1, 0, 0, "text")
+    m = {r.field: r for r in quality.measured(got).collect()}
+    assert (m["t"].number_matched, m["t"].number_ambiguous, m["t"].currency_matched, m["t"].surrounding, m["t"].repeated) == (4, 1, 2, 3, 2)
+    assert (m["n"].number_matched, m["n"].distinct_values, m["n"].surrounding) == (0, 2, 0)
